@@ -1,0 +1,87 @@
+"""Percentiles of very large columns from signed logarithmic buckets.
+
+A value belongs to the bucket of its sign and of the logarithm of its size, to a fixed relative width; zero has a bucket of
+its own. A sketch is a table (group, bucket, count, least, greatest): sketches of partitions or days are combined by adding
+up. The value returned is one that occurs, and differs from the exact percentile by no more than the relative width; where
+a bucket holds one distinct value, as with the default width and values of up to about seven digits, it is exact.
+
+Ranks are found in two steps, so that no group is ever ordered in one task: buckets are summed to coarse ones, of which a
+group has a bounded number; only the fine buckets of the coarse one that holds a rank are looked at again.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Relative width of a bucket.
+WIDTH = 4e-8
+#: Fine buckets to a coarse one: with the default width 1.3 per mille of a value.
+COARSE = 1 << 15
+
+
+def bucket(v: Column, width: float = WIDTH) -> Column:
+    """Ordinal of the bucket of a finite value; ordinals are in the order of the values."""
+    scale = 1.0 / math.log1p(width)
+    shift = math.ceil(-math.log(5e-324) * scale) + 1
+    size = F.floor(F.log(F.abs(v)) * F.lit(scale)) + F.lit(shift)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
+
+
+def sketch(df: DataFrame, groups: list[str], value: str, width: float = WIDTH) -> DataFrame:
+    """(groups, bucket, n, lo, hi) of the finite values; null, NaN and infinite ones are left out."""
+    v = F.col(f"`{value}`").cast("double")
+    ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return ok.groupBy(*groups, bucket(v, width).alias("bucket")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+
+
+def combine(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """Sketches added up by coarser groups."""
+    return sketches.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def cell(b: Column, coarse: int = COARSE) -> Column:
+    """The coarse bucket of a bucket."""
+    return F.floor(b / F.lit(float(coarse))).cast("bigint")
+
+
+def percentiles(sketches: DataFrame, groups: list[str], percents: list[int], coarse: int = COARSE) -> DataFrame:
+    """(groups, n, least, greatest, p05 ...): for each percent p the value of rank ceil(p n / 100), from sketches of the groups,
+    which are combined here. Null group values are a group; groups without values have no row; an empty table gives none."""
+    g = groups
+    part = sketches.withColumn("cell", cell(F.col("bucket"), coarse)).repartition(*g, "cell")
+    fine = part.groupBy(*g, "cell", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # least and greatest keep both uses of ``part`` alike, so that its exchange serves both
+    cells = fine.groupBy(*g, "cell").agg(F.sum("n").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = Window.partitionBy(*g)
+    cells = cells.withColumn("below", F.sum("m").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
+    cells = cells.withColumn("total", F.sum("m").over(w)).withColumn("least", F.min("lo").over(w)).withColumn("greatest", F.max("hi").over(w))
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.floor((F.col("total") * F.lit(p) + F.lit(99)) / F.lit(100)).cast("bigint").alias("r")) for p in percents])
+    hit = F.filter(ranks, lambda x: (x["r"] > F.col("below")) & (x["r"] <= F.col("below") + F.col("m")))
+    asked = cells.withColumn("asked", hit).where(F.size("asked") > 0).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(g)], F.col("cell").alias("_cell"), "below", "total", "least", "greatest", "asked")
+    same = F.col("cell") == F.col("_cell")
+    for i, c in enumerate(g):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}"))
+    near = fine.join(asked, same).select(*g, "cell", "bucket", "n", "lo", "hi", "below", "total", "least", "greatest", "asked")
+    end = F.col("below") + F.sum("n").over(Window.partitionBy(*g, "cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("end", end)
+    near = near.select(*g, "total", "least", "greatest", "lo", "hi", "n", "end", F.explode("asked").alias("a")).where((F.col("a.r") <= F.col("end")) & (F.col("a.r") > F.col("end") - F.col("n")))
+    # of a bucket with several values the nearer of its ends, both of which occur
+    value = F.when(F.col("a.r") * 2 - (F.col("end") - F.col("n")) * 2 <= F.col("n"), F.col("lo")).otherwise(F.col("hi"))
+    return near.groupBy(*g).agg(F.max("total").alias("n"), F.max("least").alias("least"), F.max("greatest").alias("greatest"), *[F.max(F.when(F.col("a.p") == p, value)).alias(f"p{p:02d}") for p in percents])
+
+
+def daily_percentiles(df: DataFrame, id_col: str, group: str, value: str, loaded: str, percents: list[int], width: float = WIDTH, coarse: int = COARSE, salts: int = 16) -> DataFrame:
+    """(group, n, least, greatest, p..) from sketches per day, the day being that of the first load of a row.
+
+    Rows that repeat (id, group, value) count once. Repeated rows, which share group and value, meet in one exchange with
+    the others of their coarse bucket; salting by id keeps a hot bucket from one task."""
+    v = F.col(f"`{value}`").cast("double")
+    d = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{group}`").alias("g"), v.alias("v"), F.col(f"`{loaded}`").alias("at"))
+    d = d.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    d = d.withColumn("cell", cell(bucket(F.col("v"), width), coarse)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    once = d.repartition("g", "cell", "salt").groupBy("g", "cell", "salt", "id", "v").agg(F.min("at").alias("at"))
+    days = once.groupBy("g", "cell", "salt", F.to_date("at").alias("day"), bucket(F.col("v"), width).alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    merged = days.groupBy("g", "cell", "salt", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("cell", "salt")
+    return percentiles(merged, ["g"], percents, coarse).withColumnRenamed("g", group)

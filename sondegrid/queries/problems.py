@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
+from sondegrid.operators.quantiles import daily_percentiles
+from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
 
 
@@ -34,6 +36,32 @@ def p5_valid(spark, d):
     return _parsed(spark, d).where("reason is null").select("raw_id", "line_no", "x", "y", "z", "w", F.to_json("rest").alias("rest"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_valid": p5_valid}
+def p4_faults(spark, d):
+    """Every faulty sounding with its kinds of fault, its excursion and the tail cutoff of its source."""
+    return faulty(_table(spark, d, "soundings"), _table(spark, d, "xyz_sources"))
 
-SQL: dict[str, str] = {}
+
+def p4_found(spark, d):
+    return p4_faults(spark, d).select("sounding_id")
+
+
+def p6_percentiles(spark, d):
+    """Percentiles of zpos for each data file; files without readings have null percentiles."""
+    got = daily_percentiles(_table(spark, d, "soundings"), "sounding_id", "file_id", "zpos", "loaded_at", [5, 25, 50, 75, 95])
+    names = _table(spark, d, "inf_files").groupBy("file_id").agg(F.min("name").alias("name"))
+    return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "p05", "p25", "p50", "p75", "p95")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+
+SQL = {
+    "p6_percentiles": """
+WITH once AS (SELECT DISTINCT sounding_id, file_id, zpos FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos) AND NOT isinf(zpos)),
+ranked AS (SELECT file_id, zpos, row_number() OVER (PARTITION BY file_id ORDER BY zpos) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM once),
+got AS (SELECT file_id, max(n) AS n, max(CASE WHEN r = (n * 5 + 99) // 100 THEN zpos END) AS p05, max(CASE WHEN r = (n * 25 + 99) // 100 THEN zpos END) AS p25,
+  max(CASE WHEN r = (n * 50 + 99) // 100 THEN zpos END) AS p50, max(CASE WHEN r = (n * 75 + 99) // 100 THEN zpos END) AS p75, max(CASE WHEN r = (n * 95 + 99) // 100 THEN zpos END) AS p95
+  FROM ranked GROUP BY file_id),
+names AS (SELECT file_id, min(name) AS name FROM inf_files GROUP BY file_id)
+SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
+""",
+}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,3 +50,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:
+    """A table for joining: computed once and counted; sent to all executors if it has at most ``most`` rows, else as it is."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
