@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sondegrid.operators.compaction import landed, redundant, without_redundant
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
+from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
+from sondegrid.session import materialize
 
 
 def _table(spark, d, name):
@@ -19,6 +22,15 @@ def p1_found(spark, d):
     return split_packed(_table(spark, d, "datalist_entries"), "entry_id", "metadata")
 
 
+def p2_found(spark, d):
+    return redundant(landed(spark, f"{d}/raw_lines.parquet"), _table(spark, d, "raw_files"))
+
+
+def p2_compacted(spark, d):
+    """Every record of the files that don't only repeat another one's."""
+    return without_redundant(landed(spark, f"{d}/raw_lines.parquet"), _table(spark, d, "raw_files"))
+
+
 def p3_found(spark, d):
     return to_millimetres(_table(spark, d, "spot_heights"), _table(spark, d, "crs_units"))
 
@@ -52,7 +64,15 @@ def p6_percentiles(spark, d):
     return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "p05", "p25", "p50", "p75", "p95")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+def p7_found(spark, d):
+    marks = _table(spark, d, "spot_heights")
+    near = near_pairs(marks, 100.0).select(F.lit("near").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    edges = materialize(regions(_table(spark, d, "inf_files")), "region-edges")
+    held = inside(marks, edges).select(F.lit("inside").alias("kind"), F.col("id").alias("id_a"), F.col("region").alias("id_b"))
+    return near.unionByName(held)
+
+
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
 
 SQL = {
     "p6_percentiles": """
