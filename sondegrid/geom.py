@@ -80,28 +80,3 @@ def within(rings: Column, x: Column, y: Column) -> Column:
     """In the interior: an odd number of crossings over all rings, and on no edge."""
     odd = F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(r, x, y)) % 2 == 1
     return odd & ~F.exists(rings, lambda r: on_edge(r, x, y))
-
-
-def clip_ring(ring: Column, xmin: float, xmax: float, ymin: float, ymax: float) -> Column:
-    """Part of a convex or simple ring inside a box, side by side (open ring)."""
-    def side(r, c, limit, keep_less):
-        value = lambda p: p[c]
-        inside = lambda p: (value(p) <= limit) if keep_less else (value(p) >= limit)
-
-        def cut(e):
-            a, b = e["a"], e["b"]
-            t = (F.lit(limit) - value(a)) / F.nullif(value(b) - value(a), F.lit(0.0))
-            other = "y" if c == "x" else "x"
-            o = a[other] + t * (b[other] - a[other])
-            at = F.struct((F.lit(limit) if c == "x" else o).alias("x"), (o if c == "x" else F.lit(limit)).alias("y"))
-            none = F.array().cast(RING)
-            return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(at)).when(inside(b), F.array(at, b)).otherwise(none)
-
-        return F.flatten(F.transform(_pairs(r), cut))
-
-    # an empty ring has no pairs: guarded by its size
-    out = ring
-    for c, limit, less in (("x", xmin, False), ("x", xmax, True), ("y", ymin, False), ("y", ymax, True)):
-        prev = out
-        out = F.when(F.size(prev) > 0, side(prev, c, float(limit), less)).otherwise(prev)
-    return out

@@ -179,15 +179,17 @@ def _(spark, d):
 
 
 _DIAMOND = [(-89.9, 29.5), (-89.5, 29.93), (-89.07, 29.5), (-89.5, 29.11)]
-_EDGES = ", ".join(f"({a[0]}E0, {a[1]}E0, {b[0]}E0, {b[1]}E0)" for a, b in zip(_DIAMOND, _DIAMOND[1:] + _DIAMOND[:1]))
-INSIDE = f"edges(x1, y1, x2, y2) AS (VALUES {_EDGES}), inside AS (SELECT pid FROM pts, edges GROUP BY pid HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)))"
+_SIDES = [tuple(f"{v}E0" for v in (*a, *b)) for a, b in zip(_DIAMOND, _DIAMOND[1:] + _DIAMOND[:1])]
+_CROSSED = " + ".join(f"CASE WHEN ({b} > y) <> ({e} > y) AND x < {a} + (y - {b}) * ({c} - {a}) / ({e} - {b}) THEN 1 ELSE 0 END" for a, b, c, e in _SIDES)
+_ON = " OR ".join(f"(({c} - {a}) * (y - {b}) - ({e} - {b}) * (x - {a}) = 0 AND x BETWEEN least({a}, {c}) AND greatest({a}, {c}) AND y BETWEEN least({b}, {e}) AND greatest({b}, {e}))" for a, b, c, e in _SIDES)
+WITHIN = f"(({_CROSSED}) % 2 = 1 AND NOT ({_ON}))"
 
 
 def diamond():
     return F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _DIAMOND]))
 
 
-@q("pr01_in_polygon", f"WITH {PTS}, {INSIDE} SELECT pid FROM inside")
+@q("pr01_in_polygon", f"WITH {PTS} SELECT pid FROM pts WHERE {WITHIN}")
 def _(spark, d):
     from sondegrid.geom import within
 
@@ -276,7 +278,7 @@ def _(spark, d):
 
 
 _CENTRES = "centres AS (SELECT row, col, -90.0E0 + col * 0.05E0 AS x, 30.0E0 + row * -0.05E0 AS y FROM lattice)"
-INSIDE_CELLS = INSIDE.replace("pid", "row, col").replace("FROM pts, edges", "FROM centres, edges")
+INSIDE_CELLS = f"inside AS (SELECT row, col FROM centres WHERE {WITHIN})"
 
 
 @q("jn05_clip_polygon", f"WITH {KEPT}, {LATTICE}, {_CENTRES}, {INSIDE_CELLS} SELECT k.pid FROM kept k JOIN inside i ON k.row = i.row AND k.col = i.col")
