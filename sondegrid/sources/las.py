@@ -112,7 +112,7 @@ class LasReader(DataSourceReader):
         whole = lambda v: pa.array(v.astype(np.int32))
         gps = pa.array(a["g"]) if "g" in kind.names else pa.nulls(len(a), pa.float64())
         cols = [pa.array(xyz[c][keep]) for c in "xyz"] + [whole(a["i"]), whole(a["r"] & 7), whole(a["c"]), whole(a["s"]), whole(a["u"]), whole(a["p"]), gps, pa.array([part.path] * len(a), pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, SCHEMA.replace(" double", "").replace(" int", "").replace(" string", "").split(", "))
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class LasSource(DataSource):
