@@ -1,7 +1,7 @@
 """Quantities in different units: an alias dictionary of the distinct spellings, joined to all rows.
 
 Distinct texts are cut into phrases of one to three words. Each distinct phrase is looked up in a lexicon through an
-inverted index of character trigrams; candidates are verified by a weighted edit distance. A text means the unit and the
+inverted index of character n-grams; candidates are verified by a weighted edit distance. A text means the unit and the
 direction of its longest phrase that is known, the earliest of equally long ones.
 """
 
@@ -32,6 +32,8 @@ DIRECTIONS = ("up", "down")
 #: Metres a unit (fixed values).
 METRES = {"metre": 1.0, "degree": 1.0, "decimetre": 0.1, "centimetre": 0.01, "millimetre": 0.001, "foot": 0.3048, "us_foot": 1200 / 3937, "fathom": 1.8288}
 LIKENESS = 0.2
+#: Characters of the index's n-grams; two, so that a swap of neighbours in a short word leaves enough in common.
+GRAM = 2
 
 
 def distance(a: str, b: str) -> float:
@@ -75,7 +77,7 @@ def lexicon(spark) -> DataFrame:
 
 def _grams(c: str) -> Column:
     padded = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)), lambda i: padded.substr(i, F.lit(3))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: padded.substr(i, F.lit(GRAM))))
 
 
 def alias_dictionary(texts: DataFrame, text_col: str) -> DataFrame:
