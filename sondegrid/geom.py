@@ -80,3 +80,32 @@ def within(rings: Column, x: Column, y: Column) -> Column:
     """In the interior: an odd number of crossings over all rings, and on no edge."""
     odd = F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(r, x, y)) % 2 == 1
     return odd & ~F.exists(rings, lambda r: on_edge(r, x, y))
+
+
+def polygons_meet(a, b) -> bool:
+    """Polygons (lists of rings of (x, y)) have a point in common: an edge of one meets an edge of the other, or one lies in the other."""
+    import numpy as np
+
+    def edges(p):
+        return np.array([(*s, *e) for r in p for s, e in zip(r, [*r[1:], r[0]]) if tuple(s) != tuple(e)], float)
+
+    def inside(x, y, e):
+        spans = (e[:, 1] > y) != (e[:, 3] > y)
+        e = e[spans]
+        return bool(np.count_nonzero(x < e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])) % 2)
+
+    ea, eb = edges(a), edges(b)
+    if not len(ea) or not len(eb):
+        return False
+    p, q = ea[:, None, :], eb[None, :, :]
+
+    def side(s, t):
+        d = (s[..., 2] - s[..., 0]) * (t[..., 1] - s[..., 1]) - (s[..., 3] - s[..., 1]) * (t[..., 0] - s[..., 0])
+        f = (s[..., 2] - s[..., 0]) * (t[..., 3] - s[..., 1]) - (s[..., 3] - s[..., 1]) * (t[..., 2] - s[..., 0])
+        return d * f <= 0
+
+    overlap = (np.maximum(p[..., 0], p[..., 2]) >= np.minimum(q[..., 0], q[..., 2])) & (np.minimum(p[..., 0], p[..., 2]) <= np.maximum(q[..., 0], q[..., 2]))
+    overlap &= (np.maximum(p[..., 1], p[..., 3]) >= np.minimum(q[..., 1], q[..., 3])) & (np.minimum(p[..., 1], p[..., 3]) <= np.maximum(q[..., 1], q[..., 3]))
+    if (side(p, q) & side(q, p) & overlap).any():
+        return True
+    return inside(ea[0, 0], ea[0, 1], eb) or inside(eb[0, 0], eb[0, 1], ea)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sondegrid.grid import GridSpec
@@ -97,3 +98,18 @@ def ordered_lookup(ways: DataFrame, nodes: DataFrame, way: str = "way", refs: st
     """(way, pos, node columns): each way's nodes in order; ways keep nodes that repeat, unknown ones are dropped."""
     w = ways.select(way, F.posexplode(refs).alias("pos", node))
     return w.join(nodes, node)
+
+
+def polygon_join(a: DataFrame, b: DataFrame, tile: float, a_id: str, b_id: str, rings: str = "rings") -> DataFrame:
+    """(a_id, b_id) of features (box and rings) whose polygons meet: boxes by tile keys first, polygons only of those pairs."""
+    from sondegrid.geom import polygons_meet
+
+    pairs = overlap_join(a, b, tile, a_id, b_id)
+    j = pairs.join(a.select(a_id, F.col(rings).alias("_ra")), a_id).join(b.select(b_id, F.col(rings).alias("_rb")), b_id)
+
+    @F.pandas_udf("boolean")
+    def meet(x: pd.Series, y: pd.Series) -> pd.Series:
+        plain = lambda p: [[(v["x"], v["y"]) for v in r] for r in p]
+        return pd.Series([polygons_meet(plain(p), plain(r)) for p, r in zip(x, y)], dtype=bool)
+
+    return j.where(meet("_ra", "_rb")).select(a_id, b_id)

@@ -110,3 +110,19 @@ def held_out_errors(points: DataFrame, tile: list[str], power: float = 2.0) -> D
 def apply_curve(proximity: DataFrame, curve: tuple[float, float, float]) -> DataFrame:
     """c1 * v ^ c2 for each cell (no error where there is data)."""
     return proximity.select(*K, (F.lit(curve[1]) * F.pow("v", F.lit(curve[2]))).alias("v"))
+
+
+def converge(sample, sims: int, tolerance: float = 1e-4, enough: int | None = None) -> tuple[tuple[float, float, float], int]:
+    """Repeats sample(sim) -> errors, fits all errors so far, and stops after ``sims`` rounds, when the curve moves by less
+    than the tolerance, or with ``enough`` errors. Errors are written to the shared folder round by round."""
+    from sondegrid.session import materialize
+
+    total, last, curve = None, None, (0.0, 0.1, 0.2)
+    for sim in range(sims):
+        e = materialize(sample(sim).select("error", "distance"), "errors")
+        total = e if total is None else total.unionByName(e)
+        curve = error_curve(total)
+        if (last is not None and sum(abs(a - b) for a, b in zip(curve, last)) < tolerance) or (enough is not None and total.count() >= enough):
+            return curve, sim + 1
+        last = curve
+    return curve, sims

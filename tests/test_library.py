@@ -202,3 +202,28 @@ def test_streaming_extension(spark, tmp_path):
     qy = hourly(ev).writeStream.format("memory").queryName("hourly").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp2").trigger(availableNow=True).start()
     qy.awaitTermination()
     assert spark.table("hourly").columns == ["start", "event_type", "n"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sondegrid import cli
+
+    (tmp_path / "p.xyz").write_text("0.5 9.5 1\n1.2 9.1 3\n4.9 5.1 -2\n")
+    (tmp_path / "l.datalist").write_text(f"file://{tmp_path}/p.xyz 168 1 a,b\n")
+    cli.main(["grid", "-M", "num:mode=m", "-R", "0/10/0/10", "-E", "2", "-O", f"file://{tmp_path}/g", f"file://{tmp_path}/p.xyz"])
+    c, s = sinks.read_grid(spark, f"file://{tmp_path}/g/dem")
+    assert c.count() == 3 and s.nx == 5
+    cli.main(["tool", "split", f"file://{tmp_path}/g/dem", "-O", f"file://{tmp_path}/s"])
+    assert sinks.read_grid(spark, f"file://{tmp_path}/s/lower")[0].count() == 1
+    for what in ("crop", "chunk", "points"):
+        cli.main(["tool", what, f"file://{tmp_path}/g/dem", "-V", "2", "-O", f"file://{tmp_path}/{what}"])
+    cli.main(["tool", "cut", f"file://{tmp_path}/g/dem", "-R", "0/6/4/10", "-O", f"file://{tmp_path}/cut"])
+    cli.main(["tool", "query", f"file://{tmp_path}/g/dem", f"file://{tmp_path}/p.xyz", "-O", f"file://{tmp_path}/q"])
+    assert spark.read.text(f"file://{tmp_path}/q").count() == 3
+    capsys.readouterr()
+    for flag in (["--list"], ["--inf"], []):
+        cli.main(["datalists", f"file://{tmp_path}/l.datalist", *flag])
+    out = capsys.readouterr().out
+    assert f"file://{tmp_path}/p.xyz 168 1.0 a,b" in out and "0.5 9.5 1.0" in out
+    cli.main(["grid", "--save-config"])
+    assert '"module": "num"' in capsys.readouterr().out
+    assert cli.options("IDW:power=2:x=1.5:b=true:c=none:d=t") == ("IDW", {"power": 2, "x": 1.5, "b": True, "c": None, "d": "t"})
