@@ -12,6 +12,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sondegrid.session import checked_broadcast
+
 #: Spellings of units and directions (fixed values); others are found by likeness.
 LEXICON = {
     "metre": "m metre metres meter meters",
@@ -138,10 +140,12 @@ def to_millimetres(marks: DataFrame, units: DataFrame) -> DataFrame:
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e15)
     m = m.where(finite("zpos") & finite("h_unc")).withColumn("number", number(F.col("z_scale")))
     said = [m.where("number is null").select(F.col("z_scale").alias("t")), m.select(F.col("vdatum").alias("t")), m.select(F.col("hdatum").alias("t"))]
-    words = alias_dictionary(reduce(DataFrame.unionByName, said), "t")
+    # distinct spellings are few whatever the rows; sent to all executors if so, and joined by shuffle if not
+    words = checked_broadcast(alias_dictionary(reduce(DataFrame.unionByName, said), "t"), "unit-aliases")
+    codes = checked_broadcast(code_dictionary(m, "epsg", units), "unit-codes")
     for c in ("z_scale", "vdatum", "hdatum"):
         m = m.join(words.select(F.col("text").alias(c), F.col("unit").alias(f"{c}_unit"), F.col("direction").alias(f"{c}_way")), c, "left")
-    m = m.join(code_dictionary(m, "epsg", units).withColumnRenamed("code_text", "epsg"), "epsg", "left")
+    m = m.join(codes.withColumnRenamed("code_text", "epsg"), "epsg", "left")
     unit = F.coalesce("z_scale_unit", "vdatum_unit", "v_unit", F.lit("metre"))
     way = F.coalesce("z_scale_way", "vdatum_way", "v_way", F.lit("up"))
     z = F.when(F.col("number").isNotNull(), F.col("zpos") * F.col("number")).otherwise(F.col("zpos") * F.coalesce(_factor(unit), F.lit(1.0)) * F.when(way == "down", -1).otherwise(1))

@@ -36,7 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "sondegrid-shared")
-    return root.rstrip("/") + "/sondegrid"
+    return root.rstrip("/") + "/sondegrid/" + spark.sparkContext.applicationId
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this application wrote in the shared folder; results that read it are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

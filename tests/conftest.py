@@ -16,6 +16,9 @@ def spark():
     s = get_session("tests", "local[8]", 4, **{"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false", "spark.sql.autoBroadcastJoinThreshold": "10m"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from sondegrid.session import clean_up
+
+    clean_up(s)
     s.stop()
 
 
