@@ -11,6 +11,7 @@ from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
+from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P3, P4, P5, P7
 from sondegrid.session import materialize
 
 
@@ -75,6 +76,13 @@ def p7_found(spark, d):
 QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
 
 SQL = {
+    "p1_found": P1,
+    "p2_found": P2,
+    "p2_compacted": P2_COMPACTED,
+    "p3_found": P3,
+    "p4_found": P4,
+    "p5_found": P5,
+    "p7_found": P7,
     "p6_percentiles": """
 WITH once AS (SELECT DISTINCT sounding_id, file_id, zpos FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos) AND NOT isinf(zpos)),
 ranked AS (SELECT file_id, zpos, row_number() OVER (PARTITION BY file_id ORDER BY zpos) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM once),
