@@ -30,6 +30,15 @@ def queries() -> dict:
     return {"p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found}
 
 
+P10 = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 160),
+w AS (SELECT doc_id, i, md5(substr(text, i, 160)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE h IN (SELECT h FROM s))
+SELECT doc_id, CAST(sum(least(160, i - coalesce(p, i - 160))) AS BIGINT) AS shared_chars FROM f GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    """None: SQL has no byte-pair merges, packing or window hashes over whole texts; tests/llm compares with brute force."""
-    return {}
+    """For passages only: SQL has no byte-pair merges and no packing; tests/llm compares those with a library and brute force."""
+    return {"p10_found": P10}
