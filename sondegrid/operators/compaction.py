@@ -91,3 +91,11 @@ def landed(spark: SparkSession, lines_path: str, name: str = "compact") -> DataF
 def without_redundant(lines: DataFrame, files: DataFrame) -> DataFrame:
     """The lines of all files but the redundant ones, every record once."""
     return lines.join(redundant(lines, files), "raw_id", "left_anti")
+
+
+def consolidate(spark: SparkSession, lines_path: str, files: DataFrame, target: str) -> DataFrame:
+    """Writes every record of the files that don't only repeat another one's once to few well-sized files at ``target``, those
+    of a file together, and returns what was written. Written by replacement, so it may be run again."""
+    out = without_redundant(landed(spark, lines_path), files).hint("rebalance", "raw_id").sortWithinPartitions("raw_id", "line_no")
+    out.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

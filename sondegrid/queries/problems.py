@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondegrid.operators.compaction import landed, redundant, without_redundant
+from sondegrid.operators.compaction import consolidate, landed, redundant, without_redundant
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
 from sondegrid.operators.proximity import inside, near_pairs, regions
@@ -12,7 +12,7 @@ from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
 from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P3, P4, P5, P7
-from sondegrid.session import materialize
+from sondegrid.session import fresh_path, materialize
 
 
 def _table(spark, d, name):
@@ -32,6 +32,12 @@ def p2_compacted(spark, d):
     return without_redundant(landed(spark, f"{d}/raw_lines.parquet"), _table(spark, d, "raw_files"))
 
 
+def p2_files(spark, d):
+    """The consolidated files: records and characters of each."""
+    t = consolidate(spark, f"{d}/raw_lines.parquet", _table(spark, d, "raw_files"), fresh_path(spark, "consolidated"))
+    return t.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("records"), F.sum(F.length("line")).alias("chars"))
+
+
 def p3_found(spark, d):
     return to_millimetres(_table(spark, d, "spot_heights"), _table(spark, d, "crs_units"))
 
@@ -51,7 +57,7 @@ def p5_valid(spark, d):
 
 def p4_faults(spark, d):
     """Every faulty sounding with its kinds of fault, its excursion and the tail cutoff of its source."""
-    return faulty(_table(spark, d, "soundings"), _table(spark, d, "xyz_sources"))
+    return faulty(_table(spark, d, "soundings"), _table(spark, d, "xyz_sources"), time="measured_at")
 
 
 def p4_found(spark, d):
@@ -73,7 +79,7 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
 
 SQL = {
     "p1_found": P1,
