@@ -60,7 +60,18 @@ def redundant(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     Null lines are blank; lines of no file and files without data lines count for nothing; rows that repeat a line change
     nothing; lines are compared whole, by 64-bit hashes; empty tables give no rows."""
-    d = materialize(data_lines(lines, files), "compact-lines")
+    return redundant_sets(data_lines(lines, files))
+
+
+def data_records(records: DataFrame, files: DataFrame, file: str, values: list[str], time: str) -> DataFrame:
+    """(raw_id, fetched_at, h) for each different record of each file, for records that come in columns."""
+    f = files.where(F.col(file).isNotNull()).groupBy(F.col(file).alias("raw_id")).agg(F.min(time).alias("fetched_at"))
+    return records.select(F.col(file).alias("raw_id"), F.xxhash64(*[x for v in values for x in (F.col(v), F.col(v).isNull())]).alias("h")).join(f, "raw_id").select("raw_id", "fetched_at", "h").distinct()
+
+
+def redundant_sets(sets_of: DataFrame) -> DataFrame:
+    """As redundant, from a table (raw_id, fetched_at, h) of the different records of each file."""
+    d = materialize(sets_of, "compact-lines")
     parity = lambda salt: F.bit_xor(_mixed("h", salt))
     sets = d.groupBy("raw_id").agg(F.count("*").alias("n"), parity(1).alias("s1"), parity(2).alias("s2"), F.first("fetched_at").alias("at"))
     at = F.coalesce(F.col("at"), F.to_timestamp(F.lit("9999-01-01 00:00:00")))
@@ -81,11 +92,11 @@ def redundant(lines: DataFrame, files: DataFrame) -> DataFrame:
     return equal.unionByName(alone).unionByName(held.select(F.col("a").alias("raw_id")).distinct())
 
 
-def landed(spark: SparkSession, lines_path: str, name: str = "compact") -> DataFrame:
-    """The lines at a path, compacted into a new folder of the shared one."""
-    root = fresh_path(spark, name)
-    schema = spark.read.parquet(lines_path).schema
-    return compact(spark, lines_path, f"{root}/data", f"{root}/checkpoint", schema, columns=["raw_id", "line_no", "line"])
+def landed(spark: SparkSession, path: str, columns: tuple[str, ...] = ("raw_id", "line_no", "line")) -> DataFrame:
+    """The records at a path, compacted into a new folder of the shared one."""
+    root = fresh_path(spark, "compact")
+    schema = spark.read.parquet(path).schema
+    return compact(spark, path, f"{root}/data", f"{root}/checkpoint", schema, columns=list(columns))
 
 
 def without_redundant(lines: DataFrame, files: DataFrame) -> DataFrame:

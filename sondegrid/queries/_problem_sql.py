@@ -24,6 +24,15 @@ found AS (SELECT DISTINCT a AS raw_id FROM p JOIN n x ON p.a = x.raw_id JOIN n y
 P2 = _P2 + "SELECT raw_id FROM found"
 P2_COMPACTED = _P2 + "SELECT raw_id, line_no, line FROM raw_lines WHERE raw_id NOT IN (SELECT raw_id FROM found)"
 
+P2_SOUNDINGS = """WITH once AS (SELECT DISTINCT sounding_id, file_id, xpos, ypos, zpos, weight FROM soundings),
+f AS (SELECT file_id, min(loaded_at) AS got FROM inf_files GROUP BY file_id),
+d AS (SELECT DISTINCT o.file_id, f.got, coalesce(CAST(xpos AS VARCHAR), '') || ' ' || coalesce(CAST(ypos AS VARCHAR), '') || ' ' || coalesce(CAST(zpos AS VARCHAR), '') || ' ' || coalesce(CAST(weight AS VARCHAR), '') AS t FROM once o JOIN f ON o.file_id = f.file_id),
+n AS (SELECT file_id, got, count(*) AS n FROM d GROUP BY file_id, got),
+p AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS c FROM d a JOIN d b ON a.t = b.t AND a.file_id <> b.file_id GROUP BY 1, 2),
+found AS (SELECT DISTINCT a AS file_id FROM p JOIN n x ON p.a = x.file_id JOIN n y ON p.b = y.file_id
+ WHERE c = x.n AND (y.n > x.n OR (y.n = x.n AND (y.got < x.got OR (y.got = x.got AND y.file_id < x.file_id)))))
+SELECT file_id, count(*) AS records FROM once WHERE file_id NOT IN (SELECT file_id FROM found) GROUP BY file_id"""
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 _UNITS = [("1200.0E0 / 3937", r"us survey f(?:ee|oo)t|survey ft \(us\)|us[_ ]?ft|ftus"), ("0.3048E0", "intl ft|ft|feet|foot"), ("1.8288E0", "fm|fathoms?"), ("0.01E0", "cm|centimet(?:re|er)s?"), ("0.001E0", "mm|millimet(?:re|er)s?"), ("0.1E0", "dm|decimet(?:re|er)s?"), ("1.0E0", "m|met(?:re|er)s?")]
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondegrid.operators.compaction import consolidate, landed, redundant, without_redundant
+from sondegrid.operators.compaction import consolidate, data_records, landed, redundant, redundant_sets, without_redundant
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
 from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
-from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P3, P4, P5, P7
+from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P5, P7
 from sondegrid.session import fresh_path, materialize
 
 
@@ -38,6 +38,14 @@ def p2_files(spark, d):
     return t.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("records"), F.sum(F.length("line")).alias("chars"))
 
 
+def p2_soundings(spark, d):
+    """Records that remain of each data file: each sounding once, without the files that only repeat another one's."""
+    values = ["xpos", "ypos", "zpos", "weight"]
+    once = landed(spark, f"{d}/soundings.parquet", ("sounding_id", "file_id", *values)).dropDuplicates(["sounding_id"])
+    spare = redundant_sets(data_records(once, _table(spark, d, "inf_files"), "file_id", values, "loaded_at"))
+    return once.join(spare.withColumnRenamed("raw_id", "file_id"), "file_id", "left_anti").groupBy("file_id").agg(F.count("*").alias("records"))
+
+
 def p3_found(spark, d):
     return to_millimetres(_table(spark, d, "spot_heights"), _table(spark, d, "crs_units"))
 
@@ -79,12 +87,13 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
 
 SQL = {
     "p1_found": P1,
     "p2_found": P2,
     "p2_compacted": P2_COMPACTED,
+    "p2_soundings": P2_SOUNDINGS,
     "p3_found": P3,
     "p4_found": P4,
     "p5_found": P5,
