@@ -1,7 +1,8 @@
 """Points near other points, and the regions that contain them.
 
-Near: points on the sphere are put in cubes as wide as the distance; a point meets those of its own cube and of half of the
-neighbouring ones, so each pair meets once. Nothing special is needed at the poles or the date line.
+Near: points on the sphere are put in cubes four times as wide as the distance; a point asks in each cube that its
+surroundings reach into, three or four on average, and each point stands in one cube, so a pair meets once. Nothing special
+is needed at the poles or the date line.
 
 Inside: regions come as rings in plane longitude and latitude. A region is listed under the cells of a grid about its own
 size, so under at most four; a point asks once for each grid in use. Points in the box of a region meet the edges in their
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RADIUS = 6_371_008.8
 STRIPS = 32
+WIDE = 4
 FINEST = 1.0 / 64  # degrees, the smallest cells of regions
 
 
@@ -38,14 +40,14 @@ def near_pairs(points: DataFrame, metres: float, id_col: str = "mark_id", x: str
     coordinates, latitudes beyond 90) and without id are in no pair; repeated ids count once; an empty table has none."""
     rad = lambda c: F.radians(F.col(c))
     p = located(points, id_col, x, y)
-    side = metres * 1.0001  # a chord is shorter than its arc
-    for name, c in (("cx", F.cos(rad("lat")) * F.cos(rad("lon"))), ("cy", F.cos(rad("lat")) * F.sin(rad("lon"))), ("cz", F.sin(rad("lat")))):
-        p = p.withColumn(name, F.floor(c * F.lit(radius / side)).cast("int"))
-    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-    cube = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz"), F.lit((i, j, k) == (0, 0, 0)).alias("own")) for i, j, k in around]))
-    a = p.select(F.col("id").alias("a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), cube.alias("c")).select("a", "lon1", "lat1", "c.*")
-    b = p.select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy", "cz")
-    met = a.join(b, ["cx", "cy", "cz"]).where("not own or a < b")
+    reach, side = metres * 1.0001, metres * WIDE  # a chord is shorter than its arc
+    axes = {"cx": F.cos(rad("lat")) * F.cos(rad("lon")), "cy": F.cos(rad("lat")) * F.sin(rad("lon")), "cz": F.sin(rad("lat"))}
+    cube = lambda c, off: F.floor((c * F.lit(radius) + F.lit(off)) / F.lit(side)).cast("int")
+    b = p.select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), *[cube(c, 0.0).alias(n) for n, c in axes.items()])
+    a = p.select(F.col("id").alias("a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), *[F.sequence(cube(c, -reach), cube(c, reach)).alias(n) for n, c in axes.items()])
+    for n in axes:
+        a = a.withColumn(n, F.explode(n))
+    met = a.join(b, list(axes)).where("a < b")
     half = F.pow(F.sin((rad("lat2") - rad("lat1")) / 2), 2) + F.cos(rad("lat1")) * F.cos(rad("lat2")) * F.pow(F.sin((rad("lon2") - rad("lon1")) / 2), 2)
     met = met.where(F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(half))) <= F.lit(metres))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
