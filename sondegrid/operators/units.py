@@ -12,7 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondegrid.session import checked_broadcast
+from sondegrid.session import checked_broadcast, materialize
 
 #: Spellings of units and directions (fixed values); others are found by likeness.
 LEXICON = {
@@ -139,6 +139,7 @@ def to_millimetres(marks: DataFrame, units: DataFrame) -> DataFrame:
     m = marks.select("mark_id", *cols).groupBy("mark_id").agg(F.min(F.struct(*cols)).alias("r")).select("mark_id", "r.*")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e15)
     m = m.where(finite("zpos") & finite("h_unc")).withColumn("number", number(F.col("z_scale")))
+    m = materialize(m, "unit-marks")  # read three times below
     said = [m.where("number is null").select(F.col("z_scale").alias("t")), m.select(F.col("vdatum").alias("t")), m.select(F.col("hdatum").alias("t"))]
     # distinct spellings are few whatever the rows; sent to all executors if so, and joined by shuffle if not
     words = checked_broadcast(alias_dictionary(reduce(DataFrame.unionByName, said), "t"), "unit-aliases")
