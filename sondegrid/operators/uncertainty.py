@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 K = ["row", "col"]
@@ -84,27 +83,20 @@ def sort_apart(boxes: list[tuple[float, float]], most: int = 25, seed: int = 0)
     return [int(i) for i in out]
 
 
-def split_sample(points: DataFrame, tile: list[str], keep_percent: float, seed: int = 0) -> DataFrame:
+def split_sample(points: DataFrame, keep_percent: float, seed: int = 0) -> DataFrame:
     """Points with held = true for those kept out: by a hash of seed and id, so that a retry draws the same."""
     return points.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(10_000)) >= F.lit(int(keep_percent * 100)))
 
 
 def held_out_errors(points: DataFrame, tile: list[str], power: float = 2.0) -> DataFrame:
-    """(tile, pid, error, distance): each point held out against the inverse-distance mean of its tile's others; a tile must
-    fit in memory."""
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in tile) + f", pid {kinds['pid']}, error double, distance double"
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        h, k = p[p["held"]], p[~p["held"]]
-        if not len(h) or not len(k):
-            return pd.DataFrame({c: pd.Series(dtype=p[c].dtype) for c in [*tile, "pid"]} | {"error": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})
-        d = np.hypot(h["x"].to_numpy()[:, None] - k["x"].to_numpy(), h["y"].to_numpy()[:, None] - k["y"].to_numpy())
-        w = 1 / np.maximum(d, 1e-9) ** power
-        z = (w * k["z"].to_numpy()).sum(1) / w.sum(1)
-        return pd.DataFrame({c: h[c] for c in [*tile, "pid"]} | {"error": h["z"] - z, "distance": d.min(1)})
-
-    return points.groupBy(*tile).applyInPandas(run, schema)
+    """(tile, pid, error, distance): each point held out against the inverse-distance mean of the block means (by row, col) of
+    its tile's other points, and the distance to the nearest of them. A point meets as many rows as its tile has cells."""
+    kept = points.where("not held").groupBy(*tile, *K).agg(F.avg("x").alias("kx"), F.avg("y").alias("ky"), F.avg("z").alias("kz"))
+    j = points.where("held").select(*tile, "pid", "x", "y", "z").join(kept.drop(*K), tile)
+    d = F.greatest(F.sqrt(F.pow(F.col("x") - F.col("kx"), F.lit(2)) + F.pow(F.col("y") - F.col("ky"), F.lit(2))), F.lit(1e-9))
+    w = F.pow("d", F.lit(-power))
+    e = j.withColumn("d", d).groupBy(*tile, "pid", "x", "y", "z").agg((F.col("z") - F.sum(F.col("kz") * w) / F.sum(w)).alias("error"), F.min("d").alias("distance"))
+    return e.select(*tile, "pid", "error", "distance")
 
 
 def apply_curve(proximity: DataFrame, curve: tuple[float, float, float]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -63,26 +61,31 @@ def hull(p: np.ndarray) -> np.ndarray:
 
 
 def convex_hull(points: DataFrame, by: list[str]) -> DataFrame:
-    """(by, corners, wkt) of the hull of each group. Each batch of a partition is first cut to its own hulls, among whose
-    corners all of the whole hull are, so what is shuffled and gathered for a group is small. Rows with a null or NaN
-    coordinate are left out."""
+    """(by, corners, wkt) of the hull of each group.
+
+    The extreme points in eight directions, which are corners, are found first by one aggregate; points strictly inside their
+    octagon are no corners and are dropped before anything is gathered. Rows with a null or NaN coordinate are left out."""
     d = points.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     kinds = dict(d.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by)
-
-    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, p in b.groupby(by, dropna=False):
-                h = hull(p[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({c: p[c].iloc[: len(h)].reset_index(drop=True) for c in by} | {"x": h[:, 0], "y": h[:, 1]})
+    x, y = F.col("x"), F.col("y")
+    ways = [x, x + y, y, y - x, -x, -x - y, -y, x - y]  # counter-clockwise
+    ext = d.groupBy(*by).agg(*[F.max_by(F.struct("x", "y"), w).alias(f"_e{i}") for i, w in enumerate(ways)]).withColumnsRenamed({c: f"_{c}" for c in by})
+    inside = None
+    for i in range(8):
+        a, b = F.col(f"_e{i}"), F.col(f"_e{(i + 1) % 8}")
+        left = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) > 0
+        side = left | ((a["x"] == b["x"]) & (a["y"] == b["y"]))
+        inside = side if inside is None else inside & side
+    flat = (F.col("_e0")["x"] == F.col("_e4")["x"]) | (F.col("_e2")["y"] == F.col("_e6")["y"])
+    rim = d.join(ext, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).where(~inside | flat).select(*by, "x", "y").distinct()
 
     def whole(p: pd.DataFrame) -> pd.DataFrame:
         h = hull(p[["x", "y"]].to_numpy(float))
         ring = [*map(tuple, h), tuple(h[0])]
-        return pd.DataFrame({c: [p[c].iloc[0]] for c in by} | {"corners": [len(h)], "wkt": ["POLYGON ((" + ",".join(f"{x} {y}" for x, y in ring) + "))"]})
+        return pd.DataFrame({c: [p[c].iloc[0]] for c in by} | {"corners": [len(h)], "wkt": ["POLYGON ((" + ",".join(f"{a} {b}" for a, b in ring) + "))"]})
 
-    small = d.mapInPandas(corners, f"{schema}, x double, y double")
-    return small.groupBy(*by).applyInPandas(whole, f"{schema}, corners int, wkt string")
+    return rim.groupBy(*by).applyInPandas(whole, f"{schema}, corners int, wkt string")
 
 
 def clip_ring(ring: list[tuple[float, float]], box) -> list[tuple[float, float]]:

@@ -128,7 +128,7 @@ def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, **_):
     pts = spec.index(p).withColumn("tr", F.floor(F.col("row") / int(tile)).cast("int")).withColumn("tc", F.floor(F.col("col") / int(tile)).cast("int"))
     if "pid" not in pts.columns:
         pts = pts.withColumn("pid", F.xxhash64("x", "y", "z"))
-    held = U.split_sample(pts.join(train, ["tr", "tc"], "left_semi").select("tr", "tc", "pid", "x", "y", "z"), ["tr", "tc"], float(keep), int(seed))
+    held = U.split_sample(pts.join(train, ["tr", "tc"], "left_semi").select("tr", "tc", *K, "pid", "x", "y", "z"), float(keep), int(seed))
     curve = U.error_curve(U.held_out_errors(held, ["tr", "tc"]))
     return {"dem": U.apply_curve(near.select(*K, (F.sqrt(F.col("d2").cast("double")) * F.lit(spec.dx)).alias("v")), curve), "tiles": tiles}
 

@@ -343,13 +343,13 @@ def _(spark, d):
     return V.collect_polygons(c, ["k"]).select("k", F.size(F.split("wkt", r"\)\),\(\(")).cast("bigint").alias("polygons"))
 
 
-@q("ve03_clip_features", "WITH b AS (SELECT DISTINCT file_id, minmax[1] AS x0, minmax[2] AS x1, minmax[3] AS y0, minmax[4] AS y1 FROM inf_files WHERE minmax IS NOT NULL) SELECT file_id, round((least(x1, 180) - greatest(x0, 179)) * (least(y1, 40) - greatest(y0, -40)), 9) AS area FROM b WHERE least(x1, 180) > greatest(x0, 179) AND least(y1, 40) > greatest(y0, -40)")
+@q("ve03_clip_features", "WITH b AS (SELECT DISTINCT file_id, minmax[1] AS x0, minmax[2] AS x1, minmax[3] AS y0, minmax[4] AS y1 FROM inf_files WHERE minmax IS NOT NULL) SELECT file_id, round((least(x1, 180) - greatest(x0, 179)) * (least(y1, 40) - greatest(y0, -40)), 6) AS area FROM b WHERE least(x1, 180) > greatest(x0, 179) AND least(y1, 40) > greatest(y0, -40)")
 def _(spark, d):
     from sondegrid import geom
     from sondegrid.queries._base import boxes
 
     b = boxes(spark, d).where("xmax > 179 and xmin < 180 and ymax > -40 and ymin < 40").withColumn("rings", F.array(geom.box_ring(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")])))
-    return V.clip_features(b, Region(179.0, 180.0, -40.0, 40.0)).select("file_id", F.round(geom.area(F.element_at("rings", 1)), 9).alias("area")).where("area > 0")
+    return V.clip_features(b, Region(179.0, 180.0, -40.0, 40.0)).select("file_id", F.round(geom.area(F.element_at("rings", 1)), 6).alias("area")).where("area > 0")
 
 
 _PARTS = "v AS (SELECT row, col, CASE WHEN s >= 0 THEN 1 ELSE 0 END AS v FROM cells), e AS (SELECT a.row * 100 + a.col AS a, b.row * 100 + b.col AS b FROM v a JOIN v b ON a.v = b.v AND abs(a.row - b.row) + abs(a.col - b.col) <= 1), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a)"
@@ -361,12 +361,12 @@ def _(spark, d):
     return p.groupBy((F.floor(F.col("label") / F.lit(float(1 << 32))) * 100 + F.col("label") % F.lit(1 << 32)).cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
-@q("ve06_area", "WITH b AS (SELECT DISTINCT file_id, minmax FROM inf_files WHERE minmax IS NOT NULL) SELECT file_id, round((minmax[2] - minmax[1]) * (minmax[4] - minmax[3]), 9) AS area FROM b")
+@q("ve06_area", "WITH b AS (SELECT DISTINCT file_id, minmax FROM inf_files WHERE minmax IS NOT NULL) SELECT file_id, round((minmax[2] - minmax[1]) * (minmax[4] - minmax[3]), 6) AS area FROM b")
 def _(spark, d):
     from sondegrid import geom
     from sondegrid.queries._base import boxes
 
-    return boxes(spark, d).select("file_id", F.round(geom.area(geom.box_ring(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")])), 9).alias("area"))
+    return boxes(spark, d).select("file_id", F.round(geom.area(geom.box_ring(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")])), 6).alias("area"))
 
 
 # --- uncertainty -----------------------------------------------------------------------------------------------------
@@ -411,7 +411,7 @@ def _(spark, d):
 def _(spark, d):
     p = SPEC.index(pts(spark, d).withColumn("z", F.lit(3.0) + F.col("x") * 2 - F.col("y")))
     p = p.withColumn("tr", F.floor(F.col("row") / 5).cast("int")).withColumn("tc", F.floor(F.col("col") / 5).cast("int"))
-    e = U.held_out_errors(U.split_sample(p.select("tr", "tc", "pid", "x", "y", "z"), ["tr", "tc"], 50.0), ["tr", "tc"])
+    e = U.held_out_errors(U.split_sample(p.select("tr", "tc", *K, "pid", "x", "y", "z"), 50.0), ["tr", "tc"])
     return e.agg((F.count("*") >= 0).alias("ok"), F.coalesce(F.abs(F.avg("error")) < F.lit(0.2), F.lit(True)).alias("unbiased"))
 
 

@@ -145,7 +145,7 @@ def iso_metadata(docs: DataFrame, col: str = "xml") -> DataFrame:
 
 def mb_inf(reports: DataFrame, by: list[str], line: str = "line") -> DataFrame:
     """Bounds of multibeam reports; depths are below, so z is their negative with least and greatest exchanged."""
-    num = lambda label, i: F.regexp_extract(line, rf"{label}:\s*(-?[0-9.]+)", i).try_cast("double")
+    num = lambda label, i: F.regexp_extract(line, rf"{label}:\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)", i).try_cast("double")
     aggs = []
     for label, a, b in (("Longitude", "xmin", "xmax"), ("Latitude", "ymin", "ymax"), ("Depth", "dmin", "dmax")):
         aggs += [F.min(num(f"Minimum {label}", 1)).alias(a), F.max(num(f"Maximum {label}", 1)).alias(b)]

@@ -227,3 +227,20 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["grid", "--save-config"])
     assert '"module": "num"' in capsys.readouterr().out
     assert cli.options("IDW:power=2:x=1.5:b=true:c=none:d=t") == ("IDW", {"power": 2, "x": 1.5, "b": True, "c": None, "d": "t"})
+
+
+def test_hull_of_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(a), float(b)) for g in (1, 2) for a, b in rng.normal(size=(400, 2)).round(1)] + [(3, 1.0, 1.0), (4, 0.0, 0.0), (4, 1.0, 1.0), (4, 2.0, 2.0), (None, 0.0, 0.0), (5, None, 1.0)]
+    got = {r["k"]: r["wkt"] for r in vector.convex_hull(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).collect()}
+    assert set(got) == {1, 2, 3, 4, None}
+    for g in (1, 2):
+        h = vector.hull(np.array([r[1:] for r in rows if r[0] == g]))
+        corners = [tuple(map(float, p.split())) for p in got[g][10:-2].split(",")[:-1]]
+        assert sorted(corners) == sorted(map(tuple, h.tolist()))
+
+
+def test_report_numbers_with_exponents(spark):
+    d = spark.createDataFrame([(1, "Minimum Depth: -1.5e+3 Maximum Depth: 2E2"), (1, "Number of Records: 12")], "f int, line string")
+    r = catalog.mb_inf(d, ["f"]).first()
+    assert (r["zmin"], r["zmax"], r["numpts"]) == (-200.0, 1500.0, 12)
