@@ -10,11 +10,12 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 TOKENIZERS = os.environ.get("SONDEGRID_TOKENIZERS", "/opt/tokenizers")
 #: Code points processed at once, which bounds the memory of a worker (a longer single text is taken whole).
@@ -235,16 +236,22 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(count)])])
 
 
-def slices(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many code points; a null counts as empty."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
+def slices(sizes: Iterable[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many code points together."""
+    a = size = n = 0
+    for n, k in enumerate(sizes, 1):
+        size += k + 1
         if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+            yield a, n
+            a, size = n, 0
+    if a < n:
+        yield a, n
+
+
+def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, list[str]]]:
+    """The texts of a column by slices, so that only one slice at a time exists as Python strings; a null is an empty text."""
+    for a, z in slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), most):
+        yield a, z, [t or "" for t in column.slice(a, z - a).to_pylist()]
 
 
 _ENCODER: dict[int, Encoder] = {}
@@ -275,14 +282,11 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(raw.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in slices(texts):
-                ids, n = enc.encode([t or "" for t in texts[a:z]])
+            for a, z, texts in text_slices(b.column(1)):
+                ids, n = enc.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), lists], ["k", "ids"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("k", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return src.mapInArrow(run, schema).toDF(id_col, ids_col)
 
@@ -296,12 +300,9 @@ def count_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(raw.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in slices(texts):
-                n = enc.lengths([t or "" for t in texts[a:z]])
+            for a, z, texts in text_slices(b.column(1)):
+                n = enc.lengths(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64())], ["k", "n"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("k", kind), T.StructField("n", T.LongType())])
     return src.mapInArrow(run, schema).toDF(id_col, n_col)

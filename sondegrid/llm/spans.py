@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sondegrid.llm.bpe import text_slices
 from sondegrid.session import materialize
 
-SPAN, ANCHOR, SLICE = 160, 32, 1 << 20
+SPAN, ANCHOR = 160, 32
 _MUL = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
@@ -87,17 +88,6 @@ class Windows:
         return t, self.least[a], self.hash(self.at[a] + self.begin[t], self.at[z] + self.begin[t] + self.span), self.at[a], self.at[z]
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for i, n in enumerate(sizes):
-        size += n
-        if size >= SLICE:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
 def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """(id, shared_chars): documents with a character in a passage of at least ``span`` code points that another document holds.
 
@@ -109,9 +99,8 @@ def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in _slices(list(map(len, texts))):
-                w = Windows(texts[a:z], span, anchor)
+            for a, z, texts in text_slices(b.column(1)):
+                w = Windows(texts, span, anchor)
                 t, least, block, lo, hi = w.runs()
                 whole = w.hash(w.begin, w.end)
                 yield pa.RecordBatch.from_arrays(
@@ -141,12 +130,12 @@ def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, parts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for a, z in _slices(list(map(len, texts))):
-                w = Windows(texts[a:z], span, anchor)
-                n = [len(p) for p in parts[a:z]]
+            for a, z, texts in text_slices(b.column(1)):
+                w = Windows(texts, span, anchor)
+                parts = b.column(2).slice(a, z - a).to_pylist()
+                n = list(map(len, parts))
                 text = np.repeat(np.arange(z - a), n)
-                lo, hi = (np.fromiter((x[c] for p in parts[a:z] for x in p), np.int64, sum(n)) for c in ("lo", "hi"))
+                lo, hi = (np.fromiter((x[c] for p in parts for x in p), np.int64, sum(n)) for c in ("lo", "hi"))
                 each = hi - lo + 1
                 text, at = np.repeat(text, each), np.arange(each.sum()) + np.repeat(lo - (np.cumsum(each) - each), each)
                 begin = at + w.begin[text]
