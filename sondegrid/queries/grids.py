@@ -402,7 +402,7 @@ def _(spark, d):
     return _tiles(spark, d).agg(F.round(F.percentile("density", F.lit(0.05)), 6).alias("p5"))
 
 
-@q("un06_training", _TILES + _ZONES + ", y AS (SELECT *, quantile_cont(density, 0.5) OVER (PARTITION BY zone) AS mid FROM z), x AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY density, trow, tcol) AS rank FROM y WHERE density <= mid + 0.01E0) SELECT trow, tcol, zone, rank FROM x WHERE rank <= 25")
+@q("un06_training", _TILES + _ZONES + ", y AS (SELECT *, quantile_cont(density, 0.5) OVER (PARTITION BY zone) AS mid FROM z), x AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY density, trow, tcol) AS rank FROM y WHERE density <= mid + 0.01E0) SELECT trow, tcol, zone, CAST(rank AS INT) AS rank FROM x WHERE rank <= 25")
 def _(spark, d):
     return U.training(U.zones(_tiles(spark, d), 2.0, 8.0)).select("trow", "tcol", "zone", "rank")
 

@@ -296,11 +296,11 @@ def _(spark, d):
     return table(spark, d, "raw_files").select("raw_id", S.without_suffix(F.col("file_name"), ".xyz").alias("base"))
 
 
-@q("fn31_xml_nodes", "SELECT o_orderkey, [o_orderstatus, o_orderpriority] AS texts, o_orderstatus AS status FROM orders")
+@q("fn31_xml_nodes", "SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS texts, o_orderstatus AS status FROM orders")
 def _(spark, d):
     doc = F.concat(F.lit("<order><s>"), "o_orderstatus", F.lit("</s><s>"), "o_orderpriority", F.lit("</s></order>"))
     o = table(spark, d, "orders").select("o_orderkey", doc.alias("x"))
-    return o.select("o_orderkey", F.xpath("x", F.lit("order/s/text()")).alias("texts"), F.xpath_string("x", F.lit("order/s[1]")).alias("status"))
+    return o.select("o_orderkey", F.array_join(F.xpath("x", F.lit("order/s/text()")), "|").alias("texts"), F.xpath_string("x", F.lit("order/s[1]")).alias("status"))
 
 
 @q("fn33_links", "SELECT o_orderkey, 2 AS n, CAST(o_custkey AS VARCHAR) || '.xml' AS first FROM orders")
@@ -524,7 +524,7 @@ def _(spark, d):
     return pages(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total")), "total", 5)
 
 
-@q("so04_first_of_group", "SELECT o_custkey, o_orderkey, r FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
+@q("so04_first_of_group", "SELECT o_custkey, o_orderkey, CAST(r AS INT) AS r FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
 def _(spark, d):
     from pyspark.sql import Window
 
