@@ -1,4 +1,4 @@
-"""Command line: grid, fetches, datalists and grid tools, as thin calls of the library.
+"""Command line: grid, fetch, datalists and grid tools, as thin calls of the library.
 
     python -m sondegrid.cli grid -M num:mode=m -R -90/-89/29/30 -E 0.05 points.xyz -O out
     python -m sondegrid.cli datalists --list my.datalist
@@ -61,7 +61,7 @@ def grid(spark, a) -> None:
         log.info("wrote %s/%s", a.output, k)
 
 
-def fetches(spark, a) -> None:
+def fetch(spark, a) -> None:
     job = FetchJob(Region.parse(a.region) if a.region else None, tuple(a.where), {m: o for m, o in map(options, a.sources)})
     cat = spark.read.parquet(a.catalog)
     if a.index:
@@ -127,13 +127,13 @@ def main(argv: list[str] | None = None) -> None:
     g.add_argument("-G", "--config")
     g.add_argument("--save-config", action="store_true")
     g.set_defaults(run=grid)
-    f = sub.add_parser("fetches")
+    f = sub.add_parser("fetch")
     f.add_argument("catalog")
     f.add_argument("sources", nargs="*")
     f.add_argument("-R", "--region")
     f.add_argument("-W", "--where", action="append", default=[])
     f.add_argument("-i", "--index", action="store_true")
-    f.set_defaults(run=fetches)
+    f.set_defaults(run=fetch)
     d = sub.add_parser("datalists")
     d.add_argument("lists", nargs="+")
     for flag in ("list", "inf", "glob"):

@@ -102,8 +102,8 @@ def _landmask(p, spec, layers: list[DataFrame] | None = None, **_):
     return {"dem": J.vote_mask(spec, [*(layers or []), votes])}
 
 
-@gridder("cudem")
-def _cudem(p, spec, coast: DataFrame | None = None, upper_limit=-0.1, **_):
+@gridder("composite")
+def _composite(p, spec, coast: DataFrame | None = None, upper_limit=-0.1, **_):
     """A bathymetric surface on cells three times as wide, held below a limit and clipped to the wet cells, takes part with
     little weight in a last surface of the data; coast points at height 0 help the first."""
     wide = GridSpec(spec.xmin, spec.ymax, spec.dx * 3, spec.dy * 3, -(-spec.nx // 3), -(-spec.ny // 3))

@@ -152,7 +152,7 @@ def _(spark, d):
     from sondegrid.plans.modules import MODULES
 
     p = pts(spark, d).withColumn("z", F.col("zc") / F.lit(100_000.0))
-    out = MODULES["cudem"](p, SPEC)
+    out = MODULES["composite"](p, SPEC)
     dem = materialize(out["dem"], "dem")
     return dem.agg((F.count("*") >= 350).alias("filled"), F.coalesce(F.max(F.abs("v")) < 1000, F.lit(False)).alias("held"))
 

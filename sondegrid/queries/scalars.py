@@ -401,7 +401,7 @@ def _(spark, d):
     return D.major([e.where("fmt = 168"), e.where("fmt <> 168")])
 
 
-@q("sc06_dispatch", f"WITH {ENTRIES} SELECT entry_id, CASE fmt WHEN -2 THEN 'archive' WHEN -4 THEN 'fetches' WHEN 168 THEN 'xyz' WHEN 200 THEN 'gdal' WHEN 300 THEN 'lasf' END AS reader FROM entries WHERE fmt <> -1")
+@q("sc06_dispatch", f"WITH {ENTRIES} SELECT entry_id, CASE fmt WHEN -2 THEN 'archive' WHEN -4 THEN 'remote' WHEN 168 THEN 'xyz' WHEN 200 THEN 'gdal' WHEN 300 THEN 'lasf' END AS reader FROM entries WHERE fmt <> -1")
 def _(spark, d):
     names = D.format_table(spark).select("fmt", F.col("name").alias("reader")).distinct()
     return entries(spark, d).where("fmt <> -1").join(names, "fmt", "left").select("entry_id", "reader")

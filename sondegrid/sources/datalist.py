@@ -12,7 +12,7 @@ from sondegrid.session import materialize
 FORMATS = {
     -1: ("datalist", "datalist mb-1"),
     -2: ("archive", "zip gz"),
-    -4: ("fetches", "nos dc gmrt srtm_cgiar srtm_plus mar_grav charts mb tnm emodnet chs hrdem cudem"),
+    -4: ("remote", "nos dc gmrt srtm_cgiar srtm_plus mar_grav charts mb tnm emodnet chs hrdem cudem"),
     168: ("xyz", "xyz csv dat ascii"),
     200: ("gdal", "tif img grd nc vrt bag"),
     300: ("lasf", "las laz"),

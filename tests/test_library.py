@@ -112,7 +112,7 @@ def test_modules_and_jobs(spark, micro):
     smooth = GridJob("num", Region(0, 10, 0, 10), 2, extend_proc=0, options={"mode": "m"}, blur=1, split=0.0)
     assert smooth.run(micro)["dem"].count() == 5
     assert GridJob("num", Region(0, 10, 0, 10), 2, extend_proc=0, sample=1.0, options={"mode": "m"}).run(micro)["dem"].count() > 5
-    assert {"surface", "triangulate", "nearest", "num", "IDW", "invdst", "average", "linear", "mbgrid", "cudem", "vdatum", "spat-meta", "coastline", "landmask", "uncertainty"} == set(MODULES)
+    assert {"surface", "triangulate", "nearest", "num", "IDW", "invdst", "average", "linear", "mbgrid", "composite", "vdatum", "spat-meta", "coastline", "landmask", "uncertainty"} == set(MODULES)
     with pytest.raises(ValueError):
         MODULES["vdatum"](micro, SPEC)
     c = spark.createDataFrame([("a", "1", "x/y.xyz,z.txt", "nos", 0.0, 1.0, 0.0, 1.0), ("b", "2", "q.bag", "dc", 5.0, 6.0, 5.0, 6.0)], "Name string, ID string, DataLink string, DataSource string, xmin double, xmax double, ymin double, ymax double")
