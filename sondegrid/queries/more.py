@@ -320,17 +320,13 @@ def _(spark, d):
 
 @q("cn18_fetch_file", "SELECT true AS ok, 5 AS size")
 def _(spark, d):
-    import os
-    import tempfile
-
+    from sondegrid.session import fresh_path
     from sondegrid.sources.catalog import fetch_all
 
-    fd, path = tempfile.mkstemp()
-    os.write(fd, b"bytes")
-    os.close(fd)
-    got = fetch_all(one(spark, "url string", f"file://{path}")).collect()
-    os.remove(path)
-    return one(spark, "ok boolean, size int", got[0]["ok"], len(got[0]["content"]))
+    path = fresh_path(spark, "fetch")
+    one(spark, "value string", "byte").coalesce(1).write.text(path)
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.regexp_replace("path", "^file:/+", "file:///").alias("url"))
+    return fetch_all(files).select("ok", F.length("content").alias("size"))
 
 
 @q("ud01_module_registry", "SELECT 15 AS modules")
