@@ -49,27 +49,29 @@ def cell(b: Column, coarse: int = COARSE) -> Column:
 def percentiles(sketches: DataFrame, groups: list[str], percents: list[int], coarse: int = COARSE) -> DataFrame:
     """(groups, n, least, greatest, p05 ...): for each percent p the value of rank ceil(p n / 100), from sketches of the groups,
     which are combined here. Null group values are a group; groups without values have no row; an empty table gives none."""
-    g = groups
-    part = sketches.withColumn("cell", cell(F.col("bucket"), coarse)).repartition(*g, "cell")
-    fine = part.groupBy(*g, "cell", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # least and greatest keep both uses of ``part`` alike, so that its exchange serves both
-    cells = fine.groupBy(*g, "cell").agg(F.sum("n").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    w = Window.partitionBy(*g)
+    # one key of group and coarse bucket: a struct is never null, so the join is a plain one whose keys the exchange already
+    # has, and no test for nulls is added to one of the two uses of ``part`` only, which then would be two plans
+    place = F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(groups)], cell(F.col("bucket"), coarse).alias("cell"))
+    part = sketches.select(place.alias("k"), "bucket", "n", "lo", "hi").repartition("k")
+    fine = part.groupBy("k", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # least and greatest keep both uses alike too, and so the exchange serves both
+    cells = fine.groupBy("k").agg(F.sum("n").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = {f"_g{i}": F.col("k")[f"g{i}"] for i in range(len(groups))}
+    cells = cells.withColumns(own | {"cell": F.col("k")["cell"]})
+    w = Window.partitionBy(*(own or [F.lit(0)]))
     cells = cells.withColumn("below", F.sum("m").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
     cells = cells.withColumn("total", F.sum("m").over(w)).withColumn("least", F.min("lo").over(w)).withColumn("greatest", F.max("hi").over(w))
     ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.floor((F.col("total") * F.lit(p) + F.lit(99)) / F.lit(100)).cast("bigint").alias("r")) for p in percents])
     hit = F.filter(ranks, lambda x: (x["r"] > F.col("below")) & (x["r"] <= F.col("below") + F.col("m")))
-    asked = cells.withColumn("asked", hit).where(F.size("asked") > 0).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(g)], F.col("cell").alias("_cell"), "below", "total", "least", "greatest", "asked")
-    same = F.col("cell") == F.col("_cell")
-    for i, c in enumerate(g):
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}"))
-    near = fine.join(asked, same).select(*g, "cell", "bucket", "n", "lo", "hi", "below", "total", "least", "greatest", "asked")
-    end = F.col("below") + F.sum("n").over(Window.partitionBy(*g, "cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    asked = cells.withColumn("asked", hit).where(F.size("asked") > 0).select(F.col("k").alias("_k"), "below", "total", "least", "greatest", "asked")
+    near = fine.join(asked, F.col("k") == F.col("_k")).select("k", "bucket", "n", "lo", "hi", "below", "total", "least", "greatest", "asked")
+    end = F.col("below") + F.sum("n").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("end", end)
-    near = near.select(*g, "total", "least", "greatest", "lo", "hi", "n", "end", F.explode("asked").alias("a")).where((F.col("a.r") <= F.col("end")) & (F.col("a.r") > F.col("end") - F.col("n")))
+    near = near.select("k", "total", "least", "greatest", "lo", "hi", "n", "end", F.explode("asked").alias("a")).where((F.col("a.r") <= F.col("end")) & (F.col("a.r") > F.col("end") - F.col("n")))
     # of a bucket with several values the nearer of its ends, both of which occur
     value = F.when(F.col("a.r") * 2 - (F.col("end") - F.col("n")) * 2 <= F.col("n"), F.col("lo")).otherwise(F.col("hi"))
-    return near.groupBy(*g).agg(F.max("total").alias("n"), F.max("least").alias("least"), F.max("greatest").alias("greatest"), *[F.max(F.when(F.col("a.p") == p, value)).alias(f"p{p:02d}") for p in percents])
+    by = [F.col("k")[f"g{i}"].alias(c) for i, c in enumerate(groups)]
+    return near.groupBy(*by).agg(F.max("total").alias("n"), F.max("least").alias("least"), F.max("greatest").alias("greatest"), *[F.max(F.when(F.col("a.p") == p, value)).alias(f"p{p:02d}") for p in percents])
 
 
 def daily_percentiles(df: DataFrame, id_col: str, group: str, value: str, loaded: str, percents: list[int], width: float = WIDTH, coarse: int = COARSE, salts: int = 16) -> DataFrame:

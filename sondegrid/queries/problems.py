@@ -73,10 +73,11 @@ def p4_found(spark, d):
 
 
 def p6_percentiles(spark, d):
-    """Percentiles of zpos for each data file; files without readings have null percentiles."""
-    got = daily_percentiles(_table(spark, d, "soundings"), "sounding_id", "file_id", "zpos", "loaded_at", [5, 25, 50, 75, 95])
+    """Percentiles, least and greatest zpos of each data file; files without readings have null percentiles."""
+    readings = _table(spark, d, "soundings").where("file_id is not null")  # others are in no file
+    got = daily_percentiles(readings, "sounding_id", "file_id", "zpos", "loaded_at", [5, 25, 50, 75, 95])
     names = _table(spark, d, "inf_files").groupBy("file_id").agg(F.min("name").alias("name"))
-    return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "p05", "p25", "p50", "p75", "p95")
+    return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "least", "greatest", "p05", "p25", "p50", "p75", "p95")
 
 
 def p7_found(spark, d):
@@ -101,10 +102,10 @@ SQL = {
     "p6_percentiles": """
 WITH once AS (SELECT DISTINCT sounding_id, file_id, zpos FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos) AND NOT isinf(zpos)),
 ranked AS (SELECT file_id, zpos, row_number() OVER (PARTITION BY file_id ORDER BY zpos) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM once),
-got AS (SELECT file_id, max(n) AS n, max(CASE WHEN r = (n * 5 + 99) // 100 THEN zpos END) AS p05, max(CASE WHEN r = (n * 25 + 99) // 100 THEN zpos END) AS p25,
+got AS (SELECT file_id, max(n) AS n, min(zpos) AS least, max(zpos) AS greatest, max(CASE WHEN r = (n * 5 + 99) // 100 THEN zpos END) AS p05, max(CASE WHEN r = (n * 25 + 99) // 100 THEN zpos END) AS p25,
   max(CASE WHEN r = (n * 50 + 99) // 100 THEN zpos END) AS p50, max(CASE WHEN r = (n * 75 + 99) // 100 THEN zpos END) AS p75, max(CASE WHEN r = (n * 95 + 99) // 100 THEN zpos END) AS p95
   FROM ranked GROUP BY file_id),
 names AS (SELECT file_id, min(name) AS name FROM inf_files GROUP BY file_id)
-SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
+SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, least, greatest, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
 """,
 }
