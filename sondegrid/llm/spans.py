@@ -6,7 +6,8 @@ with one anchor form a run; the hash of all characters of a run is its block. Co
 
 1. anchors: those of a single document are done with;
 2. blocks: where several documents hold a block, all its windows are shared, and one document stands for the others;
-3. windows, only of anchors with several different blocks, one document for each block.
+3. windows, only of anchors with several different blocks, one document for each block. A window of a block that (2) found
+   shared counts as held by several documents, whichever document stands for the block.
 
 The windows found in (2) and (3) are merged into maximal intervals. Documents of which exact copies exist are shared whole
 and only one of them takes part in (1) to (3). Equality is that of 64-bit hashes (of positions' values drawn by a mixing
@@ -126,7 +127,7 @@ def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("one").alias("a"), F.max("other").alias("z")).where("n > 1 and a <> z").select("anchor")
     known = live.join(blocks, ["anchor", "block"])
     held = known.where("one <> other").select("k", "lo", "hi")
-    wanted = known.where("k = one").join(mixed, "anchor", "left_semi").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("parts"))
+    wanted = known.where("k = one").join(mixed, "anchor", "left_semi").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", (F.col("one") != F.col("other")).cast("int").alias("held")))).alias("parts"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,15 +136,16 @@ def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 parts = b.column(2).slice(a, z - a).to_pylist()
                 n = list(map(len, parts))
                 text = np.repeat(np.arange(z - a), n)
-                lo, hi = (np.fromiter((x[c] for p in parts for x in p), np.int64, sum(n)) for c in ("lo", "hi"))
+                lo, hi, several = (np.fromiter((x[c] for p in parts for x in p), np.int64, sum(n)) for c in ("lo", "hi", "held"))
                 each = hi - lo + 1
                 text, at = np.repeat(text, each), np.arange(each.sum()) + np.repeat(lo - (np.cumsum(each) - each), each)
                 begin = at + w.begin[text]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + a)), pa.array(w.hash(begin, begin + span).view(np.int64)), pa.array(at, pa.int32())], ["k", "h", "lo"])
+                columns = [b.column(0).take(pa.array(text + a)), pa.array(w.hash(begin, begin + span).view(np.int64)), pa.array(at, pa.int32()), pa.array(np.repeat(several, each) > 0)]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "h", "lo", "held"])
 
-    windows = materialize(docs.join(wanted, "k").mapInArrow(second, f"k {kind}, h bigint, lo int"), "span-windows")
-    equal = windows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("h")
-    found = held.unionByName(windows.join(equal, "h", "left_semi").select("k", "lo", F.col("lo").alias("hi")))
+    windows = materialize(docs.join(wanted, "k").mapInArrow(second, f"k {kind}, h bigint, lo int, held boolean"), "span-windows")
+    equal = windows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.max("held").alias("held")).where("held or a <> z").select("h")
+    found = held.unionByName(windows.where("not held").join(equal, "h", "left_semi").select("k", "lo", F.col("lo").alias("hi")))
     found = found.join(copies.select("k").distinct(), "k", "left_anti")
     # maximal intervals: each window run adds the characters beyond what the earlier ones reach
     before = F.max("hi").over(Window.partitionBy("k").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)) + F.lit(span)

@@ -177,3 +177,13 @@ def test_shared_edges(spark):
 def test_shared_table(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert found(spark, docs, 160, 32) == brute(docs, 160)
+
+
+@pytest.mark.parametrize("n", [160, 230, 300])
+def test_shared_again_elsewhere(spark, n):
+    """The document that stands for a shared block has the passage a second time, in a block of its own."""
+    rng = random.Random(n)
+    left, p, m, x, y, u, v = ("".join(rng.choice("abcdefghij ") for _ in range(k)) for k in (200, n, 200, 200, 200, 200, 200))
+    docs = [(1, left + p + m + x + "#" + p + "#" + y), (2, u + "!" + left + p + m + "!" + v)]
+    got = found(spark, docs, 160, 32)
+    assert got == brute(docs, 160) and got[1] == 400 + 2 * n
