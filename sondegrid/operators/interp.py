@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sondegrid.grid import GridSpec
-from sondegrid.operators import cells as C
+from sondegrid.operators import cells as C, vector as V
+from sondegrid.session import materialize
 
 K = ["row", "col"]
 
@@ -78,38 +80,16 @@ def nearest(points: DataFrame, spec: GridSpec, radius: float | None = None, z: s
     return j.groupBy(*K).agg(F.min(F.struct("d", "z")).alias("m")).select(*K, F.col("m.z").alias("v"))
 
 
-def _tiled(cells: DataFrame, spec: GridSpec, tile: int, halo: int, kernel) -> DataFrame:
-    """Runs kernel(row, col, v, r0, c0, size) on tiles with a halo; each gives the values of its own cells."""
-    def span(c):
-        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / tile)).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
+def _spread(c: str, f: int, tile: int, halo: int, n: int):
+    """Numbers of the tiles that need a cell of a grid f times as coarse as theirs."""
+    lo, hi = F.floor((F.col(c) * f - (f - 1) * 2 - halo) / tile), F.floor((F.col(c) * f + (f - 1) * 3 + halo) / tile)
+    return F.explode(F.sequence(F.greatest(F.lit(0), lo.cast("int")), F.least(F.lit((n - 1) // tile), hi.cast("int"))))
 
-    d = cells.where("v is not null").select(*K, F.col("v").cast("double").alias("v")).withColumn("tr", span("row")).withColumn("tc", span("col"))
-    nx, ny = spec.nx, spec.ny
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * tile, key[1] * tile
-        r1, c1 = min(r0 + tile, ny), min(c0 + tile, nx)
-        if r0 >= ny or c0 >= nx:
-            return pd.DataFrame({"row": [], "col": [], "v": []})
-        rr, cc = np.mgrid[r0:r1, c0:c1]
-        v = kernel(p["row"].to_numpy(), p["col"].to_numpy(), p["v"].to_numpy(), rr, cc)
-        ok = ~np.isnan(v)
-        return pd.DataFrame({"row": rr[ok].astype("int32"), "col": cc[ok].astype("int32"), "v": v[ok]})
-
-    return d.groupBy("tr", "tc").applyInPandas(run, "row int, col int, v double")
-
-
-def relax(row, col, v, rr, cc, tension: float = 0.85, rounds: int = 1000, halo: int = 8, tol: float = 1e-4):
-    """Continuous-curvature spline in tension on one tile: data cells are fixed, the others relax to the discrete equation
-    (1 - t) biharmonic - t harmonic = 0, by damped sweeps from the nearest data."""
-    r0, c0, r1, c1 = rr.min() - halo, cc.min() - halo, rr.max() + 1 + halo, cc.max() + 1 + halo
-    a = np.full((r1 - r0, c1 - c0), np.nan)
-    a[row - r0, col - c0] = v
-    fixed = ~np.isnan(a)
-    plane = np.linalg.lstsq(np.column_stack([np.ones(len(v)), row, col]), v, rcond=None)[0] if len(v) >= 3 else np.array([v.mean(), 0, 0])
-    gr, gc = np.mgrid[r0:r1, c0:c1]
-    trend = plane[0] + plane[1] * gr + plane[2] * gc
-    u = np.where(fixed, np.nan_to_num(a) - trend, 0.0)
+def relax(u: np.ndarray, fixed: np.ndarray, tension: float, rounds: int = 1000, tol: float = 1e-6) -> np.ndarray:
+    """Continuous-curvature spline in tension: fixed cells stay, the others relax from their start values to the discrete
+    equation (1 - t) biharmonic - t harmonic = 0 by damped sweeps, until none moves by more than tol times the range."""
+    tol *= max(np.ptp(u[fixed]) if fixed.any() else 0.0, 1e-12)
     for _ in range(rounds):
         p = np.pad(u, 2, mode="edge")
         n1 = p[1:-3, 2:-2] + p[3:-1, 2:-2] + p[2:-2, 1:-3] + p[2:-2, 3:-1]
@@ -121,14 +101,100 @@ def relax(row, col, v, rr, cc, tension: float = 0.85, rounds: int = 1000, halo:
         u = new
         if change < tol:
             break
-    full = u + trend
-    return full[rr - r0, cc - c0]
+    return u
+
+
+def _wider(tension: float, s: int) -> float:
+    """Tension of the same equation on cells s times as wide."""
+    return tension * s * s / (1 - tension + tension * s * s)
+
+
+def _between(a: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Values at fractional rows and columns, linear in both, held at the rim."""
+    r, c = np.clip(rows, 0, a.shape[0] - 1), np.clip(cols, 0, a.shape[1] - 1)
+    i, j = np.minimum(r.astype(int), max(a.shape[0] - 2, 0)), np.minimum(c.astype(int), max(a.shape[1] - 2, 0))
+    k, m = np.minimum(i + 1, a.shape[0] - 1), np.minimum(j + 1, a.shape[1] - 1)
+    fr, fc = (r - i)[:, None], (c - j)[None, :]
+    return (1 - fr) * ((1 - fc) * a[np.ix_(i, j)] + fc * a[np.ix_(i, m)]) + fr * ((1 - fc) * a[np.ix_(k, j)] + fc * a[np.ix_(k, m)])
+
+
+def relax_whole(a: np.ndarray, tension: float) -> np.ndarray:
+    """The spline over one array, NaN where there is no data: each grid starts from that of cells twice as wide."""
+    fixed = ~np.isnan(a)
+    if max(a.shape) <= 4:
+        start = np.full(a.shape, a[fixed].mean())
+    else:
+        p = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2)), constant_values=np.nan)
+        p = p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2)
+        n = (~np.isnan(p)).sum((1, 3))
+        half = np.where(n > 0, np.nansum(p, (1, 3)) / np.maximum(n, 1), np.nan)
+        start = _between(relax_whole(half, _wider(tension, 2)), (np.arange(a.shape[0]) - 0.5) / 2, (np.arange(a.shape[1]) - 0.5) / 2)
+    return relax(np.where(fixed, np.nan_to_num(a), start), fixed, tension)
+
+
+def _spline(cells: DataFrame, nx: int, ny: int, tension: float, tile: int, halo: int) -> DataFrame:
+    """(row, col, v) of all cells of a grid. The first grid, of cells so wide that it is one tile, has all the data; each next
+    one has cells half as wide and takes from the last its start and the rim of its tiles. The last grid is relaxed twice,
+    the second time with the rims of the first. Tiles without data get theirs like all others."""
+    scale = 1
+    while -(-max(nx, ny) // scale) > tile:
+        scale *= 2
+    out = None
+    for s, f in [(scale, 0), *((scale >> i, 2) for i in range(1, scale.bit_length())), *([(1, 1)] if scale > 1 else [])]:
+        w, h, t = -(-nx // s), -(-ny // s), _wider(tension, s)
+        at = [F.floor(F.col(c) / s).cast("int").alias(c) for c in K]
+        d = cells.groupBy(*at).agg(F.avg("v").alias("v")).withColumn("data", F.lit(True)).withColumn("tr", _spread("row", 1, tile, halo, h)).withColumn("tc", _spread("col", 1, tile, halo, w))
+        if out is not None:
+            d = d.unionByName(out.withColumn("data", F.lit(False)).withColumn("tr", _spread("row", f, tile, halo, h)).withColumn("tc", _spread("col", f, tile, halo, w)))
+        out = d.groupBy("tr", "tc").applyInPandas(_tile_kernel(w, h, f, t, tile, halo), "row int, col int, v double")
+    return out
+
+
+def _tile_kernel(w: int, h: int, f: int, tension: float, tile: int, halo: int):
+    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = key[0] * tile, key[1] * tile
+        r1, c1 = min(r0 + tile, h), min(c0 + tile, w)
+        ra, ca, rz, cz = max(r0 - halo, 0), max(c0 - halo, 0), min(r1 + halo, h), min(c1 + halo, w)
+        a = np.full((rz - ra, cz - ca), np.nan)
+        d = p[p["data"]]
+        a[d["row"].to_numpy() - ra, d["col"].to_numpy() - ca] = d["v"].to_numpy()
+        if not f:
+            u = relax_whole(a, tension)
+        else:
+            g = p[~p["data"]]
+            gr, gc = g["row"].to_numpy(), g["col"].to_numpy()
+            last = np.zeros((np.ptp(gr) + 1, np.ptp(gc) + 1))
+            last[gr - gr.min(), gc - gc.min()] = g["v"].to_numpy()
+            start = _between(last, (np.arange(ra, rz) - (f - 1) / 2) / f - gr.min(), (np.arange(ca, cz) - (f - 1) / 2) / f - gc.min())
+            fixed = ~np.isnan(a)
+            u = np.where(fixed, np.nan_to_num(a), start)
+            for side, inner in ((np.s_[:2], ra > 0), (np.s_[-2:], rz < h), (np.s_[:, :2], ca > 0), (np.s_[:, -2:], cz < w)):
+                if inner:
+                    fixed[side] = True
+            u = relax(u, fixed, tension)
+        rr, cc = np.mgrid[r0:r1, c0:c1]
+        return pd.DataFrame({"row": rr.ravel().astype("int32"), "col": cc.ravel().astype("int32"), "v": u[r0 - ra : r1 - ra, c0 - ca : c1 - ca].ravel()})
+
+    return run
+
+
+def _plane(cells: DataFrame) -> tuple[float, float, float]:
+    """Least-squares plane v = a + b row + c col; flat across where the cells lie on a line."""
+    r, c, v = (F.col(x).cast("double") for x in (*K, "v"))
+    m = cells.agg(F.avg(r), F.avg(c), F.avg(v), F.var_pop(r), F.covar_pop(r, c), F.var_pop(c), F.covar_pop(r, v), F.covar_pop(c, v)).first()
+    if m[0] is None:
+        return 0.0, 0.0, 0.0
+    b = np.linalg.lstsq(np.array([[m[3], m[4]], [m[4], m[5]]]), np.array([m[6], m[7]]), rcond=1e-9)[0]
+    return float(m[2] - b[0] * m[0] - b[1] * m[1]), float(b[0]), float(b[1])
 
 
 def surface(points: DataFrame, spec: GridSpec, tension: float = 0.85, lower: float | None = None, upper: float | None = None, tile: int = 64, halo: int = 8, z: str = "z") -> DataFrame:
-    """Block means, then splines in tension tile by tile with a halo; results may be held between limits."""
-    means = C.block(points, spec, z).select(*K, F.col("z").alias("v"))
-    out = _tiled(means, spec, tile, halo, lambda r, c, v, rr, cc: relax(r, c, v, rr, cc, tension, halo=halo))
+    """Block means, then a spline in tension over the whole grid, from wide cells to narrow ones and tile by tile with a halo;
+    results may be held between limits."""
+    means = materialize(C.block(points, spec, z).where("z is not null").select(*K, F.col("z").cast("double").alias("v")), "surface-means")
+    a, b, c = _plane(means)
+    trend = F.lit(a) + F.lit(b) * F.col("row") + F.lit(c) * F.col("col")
+    out = _spline(means.withColumn("v", F.col("v") - trend), spec.nx, spec.ny, tension, tile, max(halo, 3)).withColumn("v", F.col("v") + trend)
     v = F.col("v")
     v = F.greatest(v, F.lit(float(lower))) if lower is not None else v
     return out.withColumn("v", F.least(v, F.lit(float(upper))) if upper is not None else v)
@@ -137,7 +203,7 @@ def surface(points: DataFrame, spec: GridSpec, tension: float = 0.85, lower: flo
 def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Triangles (n, 3) of different points by insertion (Bowyer and Watson)."""
     n = len(x)
-    span = max(np.ptp(x), np.ptp(y), 1.0) * 64
+    span = max(np.ptp(x), np.ptp(y), 1.0) * 1e5  # far, so that flat triangles along the hull aren't lost
     mx, my = x.mean(), y.mean()
     px, py = np.concatenate([x, [mx - span, mx + span, mx]]), np.concatenate([y, [my - span, my - span, my + span]])
     tri = np.array([[n, n + 1, n + 2]])
@@ -145,10 +211,11 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     def circle(t):
         ax, ay, bx, by, cx, cy = px[t[:, 0]], py[t[:, 0]], px[t[:, 1]], py[t[:, 1]], px[t[:, 2]], py[t[:, 2]]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
+        d = 2 * (bx * cy - by * cx)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
-            uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
+            ux = ax + (cy * (bx**2 + by**2) - by * (cx**2 + cy**2)) / d
+            uy = ay + (bx * (cx**2 + cy**2) - cx * (bx**2 + by**2)) / d
         r = (ux - ax) ** 2 + (uy - ay) ** 2
         return np.column_stack([ux, uy, np.where(np.isfinite(r), r, np.inf)])
 
@@ -166,11 +233,43 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return tri[(tri < n).all(axis=1)]
 
 
-def barycentric(row, col, v, rr, cc):
-    """Linear interpolation over the triangles of one tile's data; NaN outside them."""
-    out = np.full(rr.shape, np.nan)
+def _clip(ring: np.ndarray, axis: int, limit: float, sign: int) -> np.ndarray:
+    """The part of a convex ring where sign * (coordinate - limit) >= 0."""
+    out = []
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        da, db = sign * (a[axis] - limit), sign * (b[axis] - limit)
+        if da >= 0:
+            out.append(a)
+        if da * db < 0:
+            out.append(a + (b - a) * (da / (da - db)))
+    return np.array(out).reshape(-1, 2)
+
+
+def _inside(ring: np.ndarray, x, y, slack: float = 1e-7):
+    """In a convex counter-clockwise ring or on it."""
+    ok = np.ones(np.shape(x), bool)
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        ok &= (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -slack
+    return ok
+
+
+def _meets(ring: np.ndarray, x: float, y: float, r: float) -> bool:
+    """A circle has a point of a convex ring's area inside it."""
+    if not len(ring):
+        return False
+    if len(ring) > 2 and _inside(ring, x, y):
+        return True
+    a, e = ring, np.roll(ring, -1, axis=0) - ring
+    t = np.clip(((x - a[:, 0]) * e[:, 0] + (y - a[:, 1]) * e[:, 1]) / np.maximum((e**2).sum(1), 1e-300), 0, 1)
+    return bool((np.hypot(a[:, 0] + t * e[:, 0] - x, a[:, 1] + t * e[:, 1] - y) < r * (1 - 1e-9)).any())
+
+
+def barycentric(row, col, v, rr, cc, beyond=()):
+    """Linear interpolation over the triangles of a tile's data: values, NaN outside the triangles, and whether each is settled:
+    the circle about its triangle has none of the areas ``beyond``, where more data may be."""
+    out, sure = np.full(rr.shape, np.nan), np.zeros(rr.shape, bool)
     if len(v) < 3:
-        return out
+        return out, sure
     for t in delaunay(col.astype(float), row.astype(float)):
         x, y, z = col[t].astype(float), row[t].astype(float), v[t]
         d = (y[1] - y[2]) * (x[0] - x[2]) + (x[2] - x[1]) * (y[0] - y[2])
@@ -184,16 +283,67 @@ def barycentric(row, col, v, rr, cc):
         b = ((y[2] - y[0]) * (px - x[2]) + (x[0] - x[2]) * (py - y[2])) / d
         c = 1 - a - b
         hit = (a >= -1e-9) & (b >= -1e-9) & (c >= -1e-9)
+        if not hit.any():
+            continue
         part = out[box]
         part[hit] = (a * z[0] + b * z[1] + c * z[2])[hit]
         out[box] = part
-    return out
+        ex, ey, fx, fy = x[1] - x[0], y[1] - y[0], x[2] - x[0], y[2] - y[0]
+        g = 2 * (ex * fy - ey * fx)
+        ux, uy = (fy * (ex**2 + ey**2) - ey * (fx**2 + fy**2)) / g, (ex * (fx**2 + fy**2) - fx * (ex**2 + ey**2)) / g
+        part = sure[box]
+        part[hit] = not any(_meets(q, x[0] + ux, y[0] + uy, math.hypot(ux, uy)) for q in beyond)
+        sure[box] = part
+    return out, sure
 
 
 def triangulate(points: DataFrame, spec: GridSpec, tile: int = 32, halo: int = 8, z: str = "z") -> DataFrame:
-    """Block means, then linear interpolation over Delaunay triangles, tile by tile with a halo."""
-    means = C.block(points, spec, z).select(*K, F.col("z").alias("v"))
-    return _tiled(means, spec, tile, halo, barycentric)
+    """Block means, then linear interpolation over the Delaunay triangles of all of them, tile by tile. A tile whose triangles
+    data beyond its halo may change, or that has cells of the hull in no triangle, is done again with twice the halo."""
+    means = materialize(C.block(points, spec, z).where("z is not null").select(*K, F.col("z").cast("double").alias("v")), "triangle-means")
+    spark, nx, ny = means.sparkSession, spec.nx, spec.ny
+    schema = "tr int, tc int, row int, col int, v double"
+    corners = V.convex_hull(means.select(F.lit(0).alias("g"), F.col("col").alias("x"), F.col("row").alias("y")), ["g"]).first()
+    ring = np.array([list(map(float, q.split())) for q in corners["wkt"][10:-2].split(",")[:-1]]) if corners else np.zeros((0, 2))
+    if len(ring) < 3:
+        return means.limit(0)
+    w, h = -(-nx // tile), -(-ny // tile)
+    todo = spark.range(w * h).select(F.floor(F.col("id") / w).cast("int").alias("tr"), (F.col("id") % w).cast("int").alias("tc"))
+    done = []
+    while True:
+        run = _triangle_kernel(ring, nx, ny, tile, halo)
+        b = max(tile, halo)  # cells meet tiles by blocks as wide as the halo
+        span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) * tile - halo) / b).cast("int")), F.least(F.lit((n - 1) // b), F.floor((F.col(c) * tile + tile - 1 + halo) / b).cast("int"))))  # noqa: B023, E731
+        need = todo.withColumn("br", span("tr", ny)).withColumn("bc", span("tc", nx))
+        data = means.withColumn("br", F.floor(F.col("row") / b).cast("int")).withColumn("bc", F.floor(F.col("col") / b).cast("int"))
+        near = need.join(data, ["br", "bc"], "left").drop("br", "bc")
+        out = materialize(near.groupBy("tr", "tc").applyInPandas(run, schema), "triangles")
+        done.append(out.where("row is not null").select(*K, "v"))
+        todo = out.where("row is null").select("tr", "tc")
+        if halo >= max(nx, ny) or todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        halo = max(halo * 2, 1)
+
+
+def _triangle_kernel(ring: np.ndarray, nx: int, ny: int, tile: int, halo: int):
+    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = key[0] * tile, key[1] * tile
+        r1, c1 = min(r0 + tile, ny), min(c0 + tile, nx)
+        rr, cc = np.mgrid[r0:r1, c0:c1]
+        want = _inside(ring, cc, rr)
+        none = {"tr": [], "tc": [], "row": [], "col": [], "v": []}
+        if not want.any():
+            return pd.DataFrame(none)
+        p = p[(p["row"] >= r0 - halo) & (p["row"] < r1 + halo) & (p["col"] >= c0 - halo) & (p["col"] < c1 + halo)]
+        beyond = [_clip(ring, *side) for side in ((1, r0 - halo - 1, -1), (1, r1 + halo, 1), (0, c0 - halo - 1, -1), (0, c1 + halo, 1))]
+        beyond = [q for q in beyond if len(q)]
+        v, sure = barycentric(p["row"].to_numpy().astype(int), p["col"].to_numpy().astype(int), p["v"].to_numpy(), rr, cc, beyond)
+        if beyond and not sure[want].all():
+            return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "row": [None], "col": [None], "v": [None]})
+        ok = want & ~np.isnan(v)
+        return pd.DataFrame({"tr": key[0], "tc": key[1], "row": rr[ok].astype("int32"), "col": cc[ok].astype("int32"), "v": v[ok]})
+
+    return run
 
 
 def linear(points: DataFrame, spec: GridSpec, radius: float | None = None, z: str = "z") -> DataFrame:

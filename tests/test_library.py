@@ -80,6 +80,21 @@ def test_surfaces_reproduce_a_plane(spark):
         assert e[0] < 0.05 and e[1] > 330
 
 
+def test_surfaces_cross_wide_gaps(spark):
+    """Corners and centre of a grid many halos wide: every cell is there, and values are those of one tile over the whole grid."""
+    spec = GridSpec(0.0, 100.0, 1.0, -1.0, 100, 100)
+    at = [(1, 1, 0.0), (1, 98, 10.0), (98, 1, 20.0), (98, 98, 5.0), (50, 50, 40.0)]
+    p = spark.createDataFrame([(float(c), 100.0 - r, z) for r, c, z in at], "x double, y double, z double")
+    grid = lambda d: {(r["row"], r["col"]): r["v"] for r in d.collect()}
+    got, whole = grid(interp.surface(p, spec, tile=25)), grid(interp.surface(p, spec, tile=128))
+    assert len(got) == len(whole) == 10_000 and max(abs(got[k] - whole[k]) for k in whole) < 1.0
+    assert all(abs(got[r, c] - z) < 1e-6 for r, c, z in at)
+    got = grid(interp.triangulate(p, spec, tile=16))
+    assert len(got) == 98 * 98 and all(abs(got[r, c] - z) < 1e-9 for r, c, z in at)
+    one = grid(interp.triangulate(p, spec, tile=128))
+    assert max(abs(got[k] - one[k]) for k in one) < 1e-9
+
+
 def test_delaunay_is_empty_of_other_points():
     rng = np.random.default_rng(4)
     x, y = rng.random(60), rng.random(60)
