@@ -1,8 +1,8 @@
 """Lines that fail to parse, apart from the valid records.
 
-A recursive-descent parser reads the lines of a partition as one text. A record starts at a line that its file's ``skip``
-and comment rules admit (the anchor); on an error, a broken quote above all, the parser notes kind, line and column, and
-resumes at the next anchor, so that no error reaches beyond its line.
+A recursive-descent parser reads each line by itself, of those that its file's ``skip`` and comment rules admit. The row
+boundary serves as anchor: on an error, a broken quote above all, the parser notes kind, line and column, and the next row
+starts anew, so that no error reaches beyond its line. A record over several lines isn't put together.
 """
 
 from __future__ import annotations
