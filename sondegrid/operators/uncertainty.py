@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 K = ["row", "col"]
+GUESS = (0.0, 0.1, 0.2)
 
 
 def binned_std(df: DataFrame, x: str, e: str, bins: int = 10) -> DataFrame:
@@ -40,7 +41,8 @@ def fit_power(x: np.ndarray, y: np.ndarray, powers: np.ndarray | None = None) ->
 
 
 def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins: int = 10) -> tuple[float, float, float]:
-    """Coefficients of the error by distance: at most ``bins`` bins, fewer until none is empty; the rows are at most that many."""
+    """Coefficients of the error by distance: at most ``bins`` bins, fewer until none is empty; the rows are at most that many.
+    Without errors it is the guess."""
     while bins > 1:
         b = binned_std(errors, x, e, bins).orderBy("bin").collect()
         if len(b) == bins:
@@ -48,6 +50,8 @@ def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins:
         bins -= 1
     else:
         b = binned_std(errors, x, e, 1).collect()
+    if not b:
+        return GUESS
     return fit_power(np.array([r["x"] for r in b]), np.array([r["std"] for r in b]))
 
 
@@ -109,11 +113,13 @@ def converge(sample, sims: int, tolerance: float = 1e-4, enough: int | None = No
     than the tolerance, or with ``enough`` errors. Errors are written to the shared folder round by round."""
     from sondegrid.session import materialize
 
-    total, last, curve = None, None, (0.0, 0.1, 0.2)
+    total, last, curve = None, None, GUESS
     for sim in range(sims):
         e = materialize(sample(sim).select("error", "distance"), "errors")
         total = e if total is None else total.unionByName(e)
         curve = error_curve(total)
+        if curve == GUESS:  # no errors yet
+            continue
         if (last is not None and sum(abs(a - b) for a, b in zip(curve, last)) < tolerance) or (enough is not None and total.count() >= enough):
             return curve, sim + 1
         last = curve

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +13,7 @@ from sondegrid.grid import GridSpec
 from sondegrid.operators import algebra as A, cells as C, focal as N, interp as I, joins as J, uncertainty as U, vector as V
 from sondegrid.operators.filters import z_pass
 from sondegrid.region import Region
+from sondegrid.session import materialize
 
 K = ["row", "col"]
 MODULES: dict[str, Callable[..., dict[str, DataFrame]]] = {}
@@ -119,18 +121,40 @@ def _composite(p, spec, coast: DataFrame | None = None, upper_limit=-0.1, **_):
 
 
 @gridder("uncertainty")
-def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, **_):
-    """Error by distance to data from split samples of training tiles, applied to the whole grid."""
-    near = N.proximity(C.mask(p, spec), spec)
-    tiles = U.tile_stats(near.select(*K, (F.col("d2") == 0).cast("int").alias("mask"), F.sqrt(F.col("d2").cast("double")).alias("prox")), int(tile))
+def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, sims=10, module="surface", options=None, **_):
+    """Error by distance to data and by slope, from repeated split samples of training tiles, applied to the whole grid.
+
+    Each round holds out block means of all training tiles at once and grids the region again with the module; a tile has the
+    rest of the region as buffer. Errors count where 0 < distance < p95 and slope < p95. The two curves' errors are averaged,
+    slope counting only where there is no data; cells at the rim, which have no slope, have the error by distance."""
+    options = options or {}
+    cells = materialize(C.block(p, spec).where("z is not null").withColumn("pid", F.xxhash64(*K)), "unc-cells")
+    near = lambda c: N.proximity(c.select(*K, F.lit(1).alias("v")), spec).select(*K, F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    whole = materialize(near(cells), "unc-distance")
+    slope = materialize(N.slope(MODULES[module](cells, spec, **options)["dem"], spec).withColumnRenamed("v", "slope"), "unc-slope")
+    tiles = U.tile_stats(whole.select(*K, (F.col("distance") == 0).cast("int").alias("mask"), F.col("distance").alias("prox")), int(tile))
     q = tiles.agg(F.percentile("prox", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    most = [t.agg(F.percentile(c, F.lit(0.95))).first()[0] or 0.0 for t, c in ((whole, "distance"), (slope, "slope"))]
     train = U.training(U.zones(tiles, q[0], q[1])).select(F.col("trow").alias("tr"), F.col("tcol").alias("tc"))
-    pts = spec.index(p).withColumn("tr", F.floor(F.col("row") / int(tile)).cast("int")).withColumn("tc", F.floor(F.col("col") / int(tile)).cast("int"))
-    if "pid" not in pts.columns:
-        pts = pts.withColumn("pid", F.xxhash64("x", "y", "z"))
-    held = U.split_sample(pts.join(train, ["tr", "tc"], "left_semi").select("tr", "tc", *K, "pid", "x", "y", "z"), float(keep), int(seed))
-    curve = U.error_curve(U.held_out_errors(held, ["tr", "tc"]))
-    return {"dem": U.apply_curve(near.select(*K, (F.sqrt(F.col("d2").cast("double")) * F.lit(spec.dx)).alias("v")), curve), "tiles": tiles}
+    at = [F.floor(F.col(c) / int(tile)).cast("int").alias(t) for c, t in zip(K, ("tr", "tc"))]
+    inner = materialize(cells.select("*", *at).join(train, ["tr", "tc"], "left_semi"), "unc-inner")
+    errors = []
+
+    def sample(sim):
+        held = U.split_sample(inner, float(keep), int(seed) + sim).where("held").select(*K, "z")
+        kept = materialize(cells.join(held, K, "left_anti"), "unc-kept")
+        e = held.join(MODULES[module](kept, spec, **options)["dem"], K).join(near(kept), K).join(slope, K, "left")
+        e = e.select((F.col("z") - F.col("v")).alias("error"), "distance", "slope")
+        e = e.where((F.col("distance") > 0) & (F.col("distance") < F.lit(most[0])) & (F.col("slope").isNull() | (F.col("slope") < F.lit(most[1]))))
+        errors.append(materialize(e, "unc-errors"))
+        return errors[-1]
+
+    by_distance, _n = U.converge(sample, int(sims), enough=max(1, spec.nx * spec.ny // 10))
+    by_slope = U.error_curve(reduce(DataFrame.unionByName, errors).where("slope is not null"), "slope")
+    a = U.apply_curve(whole.withColumnRenamed("distance", "v"), by_distance).withColumnRenamed("v", "a")
+    free = slope.join(whole, K).select(*K, F.when(F.col("distance") == 0, 0.0).otherwise(F.col("slope")).alias("v"))
+    both = a.join(U.apply_curve(free, by_slope).withColumnRenamed("v", "b"), K, "left")
+    return {"dem": both.select(*K, ((F.col("a") + F.coalesce("b", "a")) / 2).alias("v")), "tiles": tiles}
 
 
 def spatial_metadata(points: DataFrame, spec: GridSpec, by: str, attributes: DataFrame | None = None) -> DataFrame:

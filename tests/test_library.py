@@ -259,3 +259,20 @@ def test_report_numbers_with_exponents(spark):
     d = spark.createDataFrame([(1, "Minimum Depth: -1.5e+3 Maximum Depth: 2E2"), (1, "Number of Records: 12")], "f int, line string")
     r = catalog.mb_inf(d, ["f"]).first()
     assert (r["zmin"], r["zmax"], r["numpts"]) == (-200.0, 1500.0, 12)
+
+
+def test_uncertainty_grids_again_with_its_module(spark, monkeypatch):
+    """The error is of the module asked for: gridded once with all data and once for each split sample."""
+    rng = np.random.default_rng(2)
+    spec = GridSpec(0.0, 20.0, 1.0, -1.0, 20, 20)
+    p = spark.createDataFrame([(float(x), float(y), float(x * y)) for x, y in rng.uniform(1, 19, (60, 2))], "x double, y double, z double")
+    sizes = []
+
+    def probe(q, s, **_):
+        sizes.append(q.count())
+        return {"dem": interp.nearest(q, s, 8.0)}
+
+    monkeypatch.setitem(MODULES, "probe", probe)
+    v = MODULES["uncertainty"](p, spec, module="probe", sims=2)["dem"].agg(F.count("v"), F.min("v"), F.max("v")).first()
+    assert len(sizes) >= 2 and max(sizes[1:]) < sizes[0]
+    assert v[0] == 400 and v[1] >= 0 and v[2] > 0
