@@ -1,9 +1,14 @@
 """Several values packed in one field: dialects chosen by description length.
 
-A dialect is a set of delimiters and a set of quote marks. The description of a field under a dialect is the code length of
-each value it yields (its share among the values of all fields, or its characters where it occurs nowhere else) plus a
-charge for each structural character that the dialect leaves standing unescaped inside a value: a delimiter outside quotes,
-or a well closed pair of marks around a whole value. The cheapest dialect parses the field; ties go to the wider one.
+A dialect is a set of delimiters and a set of quote marks. The description of a field under a dialect is the sum of the code
+lengths of the values it yields, plus ``escape_bits`` for each structural character of the full grammar (all delimiters, all
+marks) that it leaves standing unescaped: a delimiter outside quotes, or a well closed pair of marks around a whole value.
+
+Code lengths are those of a dictionary of values fitted on all fields, read in the widest dialect. A value that c of the
+different fields hold takes ``log2(total / c)`` bits and its share of the entry that spells it, ``8 (characters + 1) / c``;
+one that no other field holds is spelt where it stands. Fields count once however often they are repeated, so that a field
+delivered often doesn't become a word of its own. Every dialect is scored, the cheapest parses the field, and ties go to the
+wider one.
 """
 
 from __future__ import annotations
@@ -14,68 +19,85 @@ from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sondegrid.session import materialize
+from sondegrid.session import checked_broadcast, materialize
 
 DELIMITERS, QUOTES = ",;|\t", "\"'"
-ESCAPE_BITS = 10_000.0
+ESCAPE_BITS = 16.0
 
 
-def _subsets(chars: str, least: int) -> list[str]:
-    return ["".join(c) for n in range(len(chars), least - 1, -1) for c in combinations(chars, n)]
+def _subsets(chars: str) -> list[str]:
+    return ["".join(c) for n in range(len(chars), -1, -1) for c in combinations(chars, n)]
 
 
 @lru_cache(maxsize=256)
-def _quoted(delims: str, quotes: str) -> re.Pattern | None:
-    """A value in marks that are closed before a delimiter or the end."""
-    each = [rf"{q}((?:[^{q}]|{q}{q})*+){q} *+(?=[{re.escape(delims)}]|\Z)" for q in quotes]
-    return re.compile("|".join(each), re.S) if each else None
+def _value(delims: str, quotes: str, end: str) -> re.Pattern:
+    """A value and what ends it; a mark that isn't closed before a delimiter or the end is literal."""
+    after = f"[{re.escape(delims + end)}]"
+    marked = [rf"{q}((?:[^{q}{re.escape(end)}]|{q}{q})*+){q} *+(?={after})" for q in quotes]
+    return re.compile(rf" *+(?:{'|'.join([*marked, rf'([^{re.escape(delims + end)}]*+)'])}){after}", re.S)
 
 
 @lru_cache(maxsize=64)
-def _plain(delims: str) -> re.Pattern:
-    return re.compile(f"[^{re.escape(delims)}]*+", re.S)
-
-
-def parse(field: str, delims: str = DELIMITERS, quotes: str = QUOTES, charge: tuple[str, str] | None = None) -> tuple[list[str], int]:
-    """Values in order, and the number of structural characters of the grammar ``charge`` (delimiters, marks) that stand
-    unescaped. A mark that isn't closed before a delimiter or the end is literal."""
-    out, at, n, escapes = [], 0, len(field), 0
-    quoted, plain, other = _quoted(delims, quotes), _plain(delims), _quoted(*charge) if charge else None
-    while True:
-        while at < n and field[at] == " ":
-            at += 1
-        if at < n and field[at] in quotes and (m := quoted.match(field, at)):
-            q = field[at]
-            out.append(m[m.lastindex].replace(q * 2, q))
-            at = m.end()
-        else:
-            end = plain.match(field, at).end()
-            value = field[at:end].rstrip(" ")
-            out.append(value)
-            if charge:
-                escapes += sum(map(value.count, charge[0]))
-                escapes += at < n and field[at] in charge[1] and other.match(field, at) is not None
-            at = end
-        if at >= n:
-            return out, escapes
-        at += 1
-
-
-def candidates(field: str, delims: str = DELIMITERS, quotes: str = QUOTES) -> list[tuple[str, str, list[str], int]]:
-    """Different parses of a field with the least number of escapes: delimiters, marks, values, escapes."""
-    here = "".join(c for c in delims if c in field) or delims[0]
-    marks = "".join(c for c in quotes if c in field)
+def _opening(delims: str, mark: str) -> re.Pattern:
+    return re.compile(rf"(?:\A|[{re.escape(delims)}]) *{mark}")
+
+
+def _end(field: str, delims: str, quotes: str) -> str:
+    """A sign for the end: a character that the field doesn't hold."""
+    return next(c for c in map(chr, range(0x110000)) if c not in field and c not in " " + delims + quotes)
+
+
+def parse(field: str, delims: str = DELIMITERS, quotes: str = QUOTES) -> list[str]:
+    """The values of a field under a dialect, in order."""
+    end = _end(field, delims, quotes)
+    found = _value(delims, quotes, end).findall(field + end)
+    if not quotes:
+        return [v.rstrip(" ") for v in found]
+    out = []
+    for *marked, plain in found:
+        value = plain.rstrip(" ")
+        if not value:
+            for q, v in zip(quotes, marked):
+                if v:
+                    value = v.replace(q * 2, q)
+        out.append(value)
+    return out
+
+
+def dialects(field: str, delims: str = DELIMITERS, quotes: str = QUOTES) -> list[tuple[str, str, list[str], int]]:
+    """Every different parse of a field: delimiters, marks, values, structural characters left standing. The widest comes
+    first; dialects that differ in characters the field doesn't hold, or holds within values only, parse it alike.
+
+    Left standing are the delimiters outside quotes that a narrower dialect doesn't split at, and the pairs of marks closed
+    around values that it doesn't take for marks."""
+    here = "".join(c for c in delims if c in field)
+    marks = "".join(c for c in quotes if c in field and (_opening(here, c) if here else _opening(c, c)).search(field))
+    all_ = {(d, q): parse(field, d, q) for d in _subsets(here) for q in _subsets(marks)}
+    n = len(all_[here, marks])
+    end = _end(field, here, marks)
+    pairs = [m.lastindex for m in _value(here, marks, end).finditer(field + end)] if marks else []
     found: dict[tuple, tuple] = {}
-    for d in _subsets(here, 1):
-        for q in _subsets(marks, 0):
-            values, escapes = parse(field, d, q, (delims, quotes))
-            found.setdefault((*values,), (d, q, values, escapes))
-        least = min(x[3] for x in found.values())
-        if not least:  # fewer delimiters can only leave more of them standing
-            break
-    return [x for x in found.values() if x[3] == least]
+    for (d, q), values in all_.items():
+        if (key := (*values,)) not in found:
+            found[key] = (d, q, values, max(0, n - len(all_[d, marks])) + sum(pairs.count(i) for i, c in enumerate(marks, 1) if c not in q))
+    return [*found.values()]
+
+
+_PARSES = "f string, c array<struct<d: string, q: string, vals: array<string>, left: int>>"
+
+
+def _spelt(v: str) -> Column:
+    return F.lit(8.0) * (F.length(v) + 1)
+
+
+def value_codes(parses: DataFrame) -> DataFrame:
+    """(h, bits): hash and code length of each value that several of the different fields hold in the widest dialect."""
+    held = parses.select(F.explode(F.array_distinct(F.col("c")[0]["vals"])).alias("v")).groupBy(F.xxhash64("v").alias("h")).agg(F.count("*").alias("n"), F.max(_spelt("v")).alias("spelt"))
+    held = materialize(held, "packed-values")
+    total = held.agg(F.sum("n")).scalar()
+    return held.where("n > 1").select("h", F.least("spelt", F.log2(total / F.col("n")) + F.col("spelt") / F.col("n")).alias("bits"))
 
 
 def split_packed(df: DataFrame, id_col: str, field_col: str, delims: str = DELIMITERS, quotes: str = QUOTES, escape_bits: float = ESCAPE_BITS) -> DataFrame:
@@ -87,29 +109,17 @@ def split_packed(df: DataFrame, id_col: str, field_col: str, delims: str = DELIM
     rows = df.groupBy(F.col(f"`{id_col}`").alias("k")).agg(F.min(F.col(f"`{field_col}`")).alias("f"))
     rows = rows.where(F.col("f").rlike(r"\S"))
 
-    def parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(f, n, len(c) > 1, d, q, v, float(e)) for f, n in zip(b["f"], b["n"]) for c in [candidates(f, delims, quotes)] for d, q, v, e in c]
-            yield pd.DataFrame(out, columns=["f", "n", "open", "d", "q", "vals", "escapes"])
-
-    fields = rows.groupBy("f").agg(F.count("*").alias("n"))
-    tried = materialize(fields.mapInPandas(parses, "f string, n bigint, open boolean, d string, q string, vals array<string>, escapes double"), "packed-parses")
-    # code lengths of the values of all fields; only fields with several parses left need them
-    codes = tried.select("n", F.explode("vals").alias("v")).groupBy("v").agg(F.sum("n").alias("c"), F.count("*").alias("fields"))
-    codes = codes.withColumn("total", F.lit(tried.select(F.sum(F.col("n") * F.size("vals")).alias("total")).first()["total"] or 0))
-    pieces = tried.where("open").select("f", "d", "q", "escapes", F.explode("vals").alias("v"))
-    priced = pieces.join(codes, "v")
-    literal = F.lit(8.0) * (F.length("v") + 1)
-    bits = F.when(F.col("fields") > 1, F.least(literal, F.log2(F.col("total") / F.col("c")))).otherwise(literal)
-    cost = priced.groupBy("f", "d", "q").agg((F.sum(bits) + F.max("escapes") * F.lit(escape_bits)).alias("bits"))
-    best = cost.groupBy("f").agg(F.min(F.struct("bits", -F.length("d"), -F.length("q"), "d", "q")).alias("b")).select("f", "b.d", "b.q")
-    only = tried.where("not open").select("f", "d", "q")
-    chosen = only.unionByName(best)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "vals": [parse(f, d, q)[0] for f, d, q in zip(b["f"], b["d"], b["q"])]})
-
-    kind = rows.schema["k"].dataType.simpleString()
-    done = rows.join(chosen, "f").select("k", "f", "d", "q").mapInPandas(split, f"k {kind}, vals array<string>")
-    return done.select(F.col("k").alias(id_col), F.posexplode("vals").alias("p", "val")).select(id_col, (F.col("p") + 1).alias("pos"), "val")
+            yield pd.DataFrame({"f": b["f"], "c": [[{"d": d, "q": q, "vals": v, "left": n} for d, q, v, n in dialects(f, delims, quotes)] for f in b["f"]]})
+
+    parses = materialize(rows.select("f").distinct().mapInPandas(each, _PARSES), "packed-parses")
+    tried = parses.where(F.size("c") > 1).select("f", F.posexplode("c").alias("i", "p")).select("f", "i", F.col("p.d").alias("d"), F.col("p.q").alias("q"), F.col("p.left").alias("left"), F.explode("p.vals").alias("v"))
+    # code lengths are joined by 8-byte hashes; sent to all executors if few, else joined by shuffle
+    priced = tried.withColumn("h", F.xxhash64("v")).join(checked_broadcast(value_codes(parses), "packed-codes"), "h", "left")
+    cost = priced.groupBy("f", "i").agg(F.sum(F.coalesce(F.least("bits", _spelt("v")), _spelt("v"))).alias("bits"), F.max("left").alias("left"), F.max(F.length("d")).alias("nd"), F.max(F.length("q")).alias("nq"))
+    order = F.struct(F.round(F.col("bits") + F.col("left") * F.lit(escape_bits), 6), -F.col("nd"), -F.col("nq"), F.col("i"))
+    best = cost.groupBy("f").agg(F.min_by("i", order).alias("i"))
+    chosen = parses.join(best, "f", "left").select("f", F.col("c")[F.coalesce("i", F.lit(0))]["vals"].alias("vals"))
+    out = rows.join(chosen, "f").select("k", F.posexplode("vals").alias("p", "val"))
+    return out.select(F.col("k").alias(id_col), (F.col("p") + 1).alias("pos"), "val")
