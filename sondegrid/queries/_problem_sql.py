@@ -71,7 +71,7 @@ def _spike() -> str:
     return " OR ".join(out)
 
 
-P4 = f"""
+P4_FAULTS = f"""
 WITH r AS (SELECT DISTINCT sounding_id, file_id, line_no, source_id, zpos AS z FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos)),
 w AS (SELECT *, {", ".join(f"lag(z, {k}) OVER o AS a{k}, lead(z, {k}) OVER o AS b{k}" for k in (1, 2, 3))} FROM r WINDOW o AS (PARTITION BY file_id ORDER BY line_no)),
 q AS (SELECT source_id, 8 * quantile_disc(abs(z - a1), 0.75) AS t FROM w WHERE a1 IS NOT NULL AND NOT isinf(z) AND NOT isinf(a1) GROUP BY source_id),
@@ -79,10 +79,10 @@ g AS (SELECT *, sum(CASE WHEN a1 IS NULL OR a1 <> z THEN 1 ELSE 0 END) OVER (PAR
 l AS (SELECT file_id, run, min(source_id) AS source_id, count(*) AS n FROM g GROUP BY file_id, run),
 u AS (SELECT source_id, quantile_disc(n, 0.95) AS usual FROM l GROUP BY source_id),
 s AS (SELECT source_id, CASE WHEN lower_limit > upper_limit THEN upper_limit ELSE lower_limit END AS lo, CASE WHEN lower_limit > upper_limit THEN lower_limit ELSE upper_limit END AS hi FROM xyz_sources)
-SELECT g.sounding_id FROM g LEFT JOIN q ON g.source_id = q.source_id LEFT JOIN s ON g.source_id = s.source_id LEFT JOIN u ON g.source_id = u.source_id
- JOIN l ON g.file_id = l.file_id AND g.run = l.run
-WHERE z < -11000 OR z > 9000 OR z <= lo OR z >= hi OR {_spike()} OR (l.n >= 10 AND l.n > 3 * usual)
+SELECT * FROM (SELECT g.sounding_id, coalesce(z < -11000 OR z > 9000 OR z <= lo OR z >= hi, false) AS impossible, coalesce({_spike()}, false) AS spike, coalesce(l.n >= 10 AND l.n > 3 * usual, false) AS stuck FROM g LEFT JOIN q ON g.source_id = q.source_id LEFT JOIN s ON g.source_id = s.source_id LEFT JOIN u ON g.source_id = u.source_id
+ JOIN l ON g.file_id = l.file_id AND g.run = l.run) WHERE impossible OR spike OR stuck
 """
+P4 = f"SELECT sounding_id FROM ({P4_FAULTS})"
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 _NUM = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"

@@ -11,7 +11,7 @@ from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
-from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P5, P7
+from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P7
 from sondegrid.session import fresh_path, materialize
 
 
@@ -63,11 +63,20 @@ def p5_valid(spark, d):
     return _parsed(spark, d).where("reason is null").select("raw_id", "line_no", "x", "y", "z", "w", F.to_json("rest").alias("rest"))
 
 
-def p4_faults(spark, d):
-    """Every faulty sounding with its kinds of fault, its excursion and the tail cutoff of its source."""
+def _excursions(spark, d):
     return faulty(_table(spark, d, "soundings"), _table(spark, d, "xyz_sources"), time="measured_at")
 
 
+def p4_unusual(spark, d):
+    """Every sounding beyond the tail cutoff of its source, which the exact check of spikes follows on."""
+    return _excursions(spark, d).where("unusual").select("sounding_id", "excursion", "cutoff", "spike")
+
+
+def p4_faults(spark, d):
+    """Every faulty sounding with its kinds of fault."""
+    return _excursions(spark, d).where("impossible or spike or stuck").select("sounding_id", "impossible", "spike", "stuck")
+
+
 def p4_found(spark, d):
     return p4_faults(spark, d).select("sounding_id")
 
@@ -88,7 +97,7 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
 
 SQL = {
     "p1_found": P1,
@@ -97,6 +106,7 @@ SQL = {
     "p2_soundings": P2_SOUNDINGS,
     "p3_found": P3,
     "p4_found": P4,
+    "p4_faults": P4_FAULTS,
     "p5_found": P5,
     "p7_found": P7,
     "p6_percentiles": """
