@@ -2,7 +2,7 @@
 
 Texts are cut into pretokens by array operations over the code points of many documents at once. Each distinct pretoken
 is merged once per worker with a segment tree over its byte positions; all others are found by hash in a table of
-finished pretokens. The vocabulary is read on the driver and sent as one broadcast of a fixed size (under 1 MB).
+finished pretokens, and every hit is verified character by character. The vocabulary is read on the driver and sent as one broadcast of a fixed size (under 1 MB).
 """
 
 from __future__ import annotations
@@ -125,6 +125,13 @@ def starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return start
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers without visible order."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Encoder:
     """Encodes batches of texts; holds the vocabulary and the table of finished pretokens of one worker."""
 
@@ -141,6 +148,9 @@ class Encoder:
         self.val = np.zeros(1 << self.bits, np.int64)
         self.off, self.cnt, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.pool, self.filled = np.zeros(4096, np.int32), 0
+        self.chars, self.spelt = np.zeros(4096, np.uint32), 0  # the pretokens themselves
+        self.at, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.odd: dict[bytes, int] = {}  # pretokens whose hash another one has
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -165,20 +175,53 @@ class Encoder:
             left = left[~hit & (seen != 0)]
         return out
 
-    def _add(self, h: int, ids: list[int]) -> None:
-        mask = (1 << self.bits) - 1
-        s = (h >> (64 - self.bits)) & mask
-        while self.key[s]:
-            s = (s + 1) & mask
-        self.key[s], self.val[s] = h, self.used
+    def _add(self, piece: np.ndarray) -> int:
+        """Merges a pretoken and keeps its characters and ids; returns its index."""
+        ids = merge(piece.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), self.ranks)
         if self.used == len(self.off):
-            self.off, self.cnt = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.cnt))
+            self.off, self.cnt, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.cnt, self.at, self.size))
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.spelt + len(piece) > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
         self.off[self.used], self.cnt[self.used] = self.filled, len(ids)
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.filled += len(ids)
+        self.at[self.used], self.size[self.used] = self.spelt, len(piece)
+        self.chars[self.spelt : self.spelt + len(piece)] = piece
+        self.spelt += len(piece)
         self.used += 1
+        return self.used - 1
+
+    def _enter(self, h: int, index: int) -> None:
+        mask = (1 << self.bits) - 1
+        s = (h >> (64 - self.bits)) & mask
+        while self.key[s]:
+            s = (s + 1) & mask
+        self.key[s], self.val[s] = h, index
+
+    def _verify(self, index: np.ndarray, cp: np.ndarray, text: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Corrects the index of each pretoken that isn't the one found by its hash. text: the characters of all pretokens."""
+        size = e - s
+        found = self.size[index]
+        wrong = found != size
+        if wrong.any():
+            found = np.where(wrong, 0, found)  # not compared
+            text = text[np.repeat(~wrong, size)]
+        end = np.cumsum(found)
+        kind = np.int32 if self.spelt + len(text) < 1 << 31 else np.int64
+        where = np.repeat((self.at[index] - (end - found)).astype(kind), found)
+        where += np.arange(len(where), dtype=kind)
+        stored = self.chars.take(where)
+        differ = np.flatnonzero(stored != text)
+        if differ.size:
+            wrong[np.searchsorted(end, differ, side="right")] = True
+        for k in np.flatnonzero(wrong).tolist():
+            piece = cp[s[k] : e[k]]
+            key = piece.tobytes()
+            if key not in self.odd:
+                self.odd[key] = self._add(piece)
+            index[k] = self.odd[key]
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each pretoken of all texts its index in the table, and for each text its number of pretokens."""
@@ -193,7 +236,7 @@ class Encoder:
         n = len(cp)
         self._powers(n + 1)
         head = np.zeros(n + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(0x51ED27)) * self.power[:n], out=head[1:])
+        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(0x51ED27)) * self.power[:n], out=head[1:])
         at = np.flatnonzero(start)
         edge = cls[at] == EDGE
         s, e = at[~edge], np.append(at[1:], n)[~edge]
@@ -216,8 +259,11 @@ class Encoder:
                     self._clear()
                 new = np.arange(len(h))
             for key, k in zip(distinct.tolist(), new[first].tolist()):
-                self._add(key, merge(cp[s[k] : e[k]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), self.ranks))
+                self._enter(key, self._add(cp[s[k] : e[k]]))
             index = self._find(h)
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        self._verify(index, cp, cp[inner], s, e)
         return index, count
 
     def lengths(self, texts: list[str]) -> np.ndarray:

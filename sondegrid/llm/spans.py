@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sondegrid.llm.bpe import text_slices
+from sondegrid.llm.bpe import mix, text_slices
 from sondegrid.session import materialize
 
 SPAN, ANCHOR = 160, 32
@@ -30,12 +30,6 @@ _MUL = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         n = 1 << (n - 1).bit_length()
@@ -58,7 +52,7 @@ class Windows:
         n = len(cp)
         power, self.inverse = _powers(n + 1)
         self.head = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(cp.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[:n], out=self.head[1:])
+        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[:n], out=self.head[1:])
         self.span = span
         last = np.maximum(self.size - span + 1, 0)  # windows of each text
         self.text = np.repeat(np.arange(len(texts)), last)
@@ -67,7 +61,7 @@ class Windows:
         if not len(where):
             self.least, self.first = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
-        short = _mix((self.head[anchor:] - self.head[: n + 1 - anchor]) * self.inverse[: n + 1 - anchor])
+        short = mix((self.head[anchor:] - self.head[: n + 1 - anchor]) * self.inverse[: n + 1 - anchor])
         width, least = 1, short
         while 2 * width <= span - anchor + 1:
             least = np.minimum(least[:-width], least[width:])
@@ -79,7 +73,7 @@ class Windows:
         self.first[1:] = (self.least[1:] != self.least[:-1]) | (self.text[1:] != self.text[:-1])
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.head[end] - self.head[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        return mix((self.head[end] - self.head[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
 
     def runs(self) -> tuple[np.ndarray, ...]:
         """Text, anchor, block, first and last window of each run."""

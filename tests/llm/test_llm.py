@@ -72,6 +72,23 @@ def test_whole_table_and_edges(spark, sf, library):
     assert sorted(r["n_tokens"] for r in bpe.count_column(df).collect()) == [0, 0, 1, 1]
 
 
+def test_words_of_one_hash(ranks, library, monkeypatch):
+    # Thue-Morse words have one polynomial hash modulo a power of two, whatever the base
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [w[:n] for n in (1024, 2048) for w in (word, word.translate(str.maketrans("ab", "ba")))] + ["x y"]
+    want = [library.encode_ordinary(t) for t in texts]
+    assert want[0] != want[1]
+    assert ids_of(bpe.Encoder(ranks), texts) == want
+    # and where hashes do collide, the characters decide
+    monkeypatch.setattr(bpe, "mix", lambda x: x * np.uint64(0))
+    enc = bpe.Encoder(ranks)
+    for _ in range(2):
+        assert ids_of(enc, texts) == want
+        assert ids_of(enc, ["ab cd", "cd", " cd efg", "gfe"]) == [library.encode_ordinary(t) for t in ("ab cd", "cd", " cd efg", "gfe")]
+
+
 # --- containers ------------------------------------------------------------------------------------------------------
 def fill(histogram, capacity):
     steps, bins = packing.plan(histogram, capacity)
