@@ -58,7 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:
-    """A table for joining: computed once and counted; sent to all executors if it has at most ``most`` rows, else as it is."""
+def checked_broadcast(df: DataFrame, name: str, most: int = 8 << 20) -> DataFrame:
+    """A table for joining: computed once and measured; sent to all executors if it takes at most ``most`` bytes, else as it is.
+
+    A row counts 16 bytes, and a value 16 and the length of its text (that of its JSON, if it is nested)."""
     df = materialize(df, name)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    text = {"string": F.octet_length, "binary": F.octet_length}
+    plain = lambda kind: "<" not in kind
+    long = [text[kind](f"`{c}`") if kind in text else F.length(F.to_json(F.struct(f"`{c}`"))) for c, kind in df.dtypes if kind in text or not plain(kind)]
+    size = sum((F.coalesce(x, F.lit(0)) for x in long), F.lit(16 + 16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
