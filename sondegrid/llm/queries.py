@@ -1,14 +1,29 @@
-"""Queries on documents."""
+"""Queries on documents, and of percentiles."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sondegrid.llm.bpe import count_column, encode_column
 from sondegrid.llm.packing import pack
+from sondegrid.llm.quantiles import daily_percentiles
 from sondegrid.llm.spans import shared_chars
 
 
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
 def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return _table(spark, d, "documents").select("doc_id", "text")
+
+
+def p6_percentiles(spark, d):
+    """Percentiles, least and greatest zpos of each data file; files without readings have null percentiles."""
+    readings = _table(spark, d, "soundings").where("file_id is not null")  # others are in no file
+    got = daily_percentiles(readings, "sounding_id", "file_id", "zpos", "loaded_at", [5, 25, 50, 75, 95])
+    names = _table(spark, d, "inf_files").groupBy("file_id").agg(F.min("name").alias("name"))
+    return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "least", "greatest", "p05", "p25", "p50", "p75", "p95")
 
 
 def p8_ids(spark, d):
@@ -27,8 +42,18 @@ def p10_found(spark, d):
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found}
+    return {"p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found}
+
 
+P6 = """
+WITH once AS (SELECT DISTINCT sounding_id, file_id, zpos FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos) AND NOT isinf(zpos)),
+ranked AS (SELECT file_id, zpos, row_number() OVER (PARTITION BY file_id ORDER BY zpos) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM once),
+got AS (SELECT file_id, max(n) AS n, min(zpos) AS least, max(zpos) AS greatest, max(CASE WHEN r = (n * 5 + 99) // 100 THEN zpos END) AS p05, max(CASE WHEN r = (n * 25 + 99) // 100 THEN zpos END) AS p25,
+  max(CASE WHEN r = (n * 50 + 99) // 100 THEN zpos END) AS p50, max(CASE WHEN r = (n * 75 + 99) // 100 THEN zpos END) AS p75, max(CASE WHEN r = (n * 95 + 99) // 100 THEN zpos END) AS p95
+  FROM ranked GROUP BY file_id),
+names AS (SELECT file_id, min(name) AS name FROM inf_files GROUP BY file_id)
+SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, least, greatest, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
+"""
 
 P10 = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 160),
@@ -40,5 +65,5 @@ SELECT doc_id, CAST(sum(least(160, i - coalesce(p, i - 160))) AS BIGINT) AS shar
 
 
 def oracle_sql() -> dict:
-    """For passages only: SQL has no byte-pair merges and no packing; tests/llm compares those with a library and brute force."""
-    return {"p10_found": P10}
+    """For percentiles and passages: SQL has no byte-pair merges and no packing; tests/llm compares those with a library and brute force."""
+    return {"p6_percentiles": P6, "p10_found": P10}

@@ -1,5 +1,7 @@
 """Encoding, packing and shared passages against a library tokenizer and brute force."""
 
+import datetime as dt
+import math
 import os
 import random
 
@@ -7,8 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from sondegrid.llm import bpe, packing, spans
+from sondegrid.llm import bpe, packing, quantiles, spans
 
+T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 RANKS = f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken"
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary files here")
 
@@ -204,3 +207,61 @@ def test_shared_again_elsewhere(spark, n):
     docs = [(1, left + p + m + x + "#" + p + "#" + y), (2, u + "!" + left + p + m + "!" + v)]
     got = found(spark, docs, 160, 32)
     assert got == brute(docs, 160) and got[1] == 400 + 2 * n
+
+
+# --- percentiles --------------------------------------------------------------------------------------------------
+def test_percentiles_exact_on_short_values(spark):
+    rng = random.Random(1)
+    rows = [(i, g, round(rng.gauss(-50, 40), 2), T0 + dt.timedelta(days=rng.randint(0, 5))) for g in (1, 2, None) for i in range(g or 9, 3000, 3)]
+    rows += rows[:500] + [(-1, 1, math.nan, T0), (-2, 1, math.inf, T0), (-3, 1, None, T0), (-4, 7, 0.0, T0), (-5, 8, None, T0)]
+    df = spark.createDataFrame(rows, "id bigint, g int, v double, at timestamp")
+    r = {x["g"]: x for x in quantiles.daily_percentiles(df, "id", "g", "v", "at", [5, 50, 95]).collect()}
+    for g in (1, 2, None):
+        v = sorted(x[2] for x in {x[:3] for x in rows if x[1] == g and x[2] is not None and math.isfinite(x[2])})
+        assert r[g]["n"] == len(v) and r[g]["least"] == v[0]
+        assert [r[g][f"p{p:02d}"] for p in (5, 50, 95)] == [v[-(-len(v) * p // 100) - 1] for p in (5, 50, 95)]
+    assert r[7]["p50"] == 0.0 and 8 not in r
+    assert quantiles.daily_percentiles(df.limit(0), "id", "g", "v", "at", [50]).count() == 0
+
+
+@given(st.floats(allow_nan=False, allow_infinity=False), st.floats(allow_nan=False, allow_infinity=False))
+@settings(max_examples=200, deadline=None)
+def test_bucket_rule(a, b):
+    scale = 1.0 / math.log1p(quantiles.WIDTH)
+    shift = math.ceil(-math.log(5e-324) * scale) + 1
+    f = lambda v: 0 if v == 0 else int(math.copysign(math.floor(math.log(abs(v)) * scale) + shift, v))
+    if a < b:
+        assert f(a) <= f(b)
+    if f(a) == f(b) and a != b:
+        assert abs(a - b) <= max(abs(a), abs(b)) * quantiles.WIDTH * 1.01 + 1e-300
+
+
+def test_sketches_add_up(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "id % 7 AS day", "pow(id % 997 + 1, 1.5) AS v")
+    whole = quantiles.percentiles(quantiles.sketch(df, ["g"], "v"), ["g"], [25, 50])
+    parts = quantiles.combine(quantiles.sketch(df, ["g", "day"], "v"), ["g"])
+    assert rows_of(whole) == rows_of(quantiles.percentiles(parts, ["g"], [25, 50]))
+    true = rows_of(quantiles.daily_percentiles(df.selectExpr("monotonically_increasing_id() AS id", "g", "v", "timestamp_seconds(day * 86400) AS at"), "id", "g", "v", "at", [25, 50]))
+    for width in (1e-3, 0.01):
+        wide = quantiles.percentiles(quantiles.sketch(df, ["g"], "v", width), ["g"], [25, 50])
+        for a, b in zip(true, rows_of(wide)):
+            assert a[:4] == b[:4] and all(abs(x - y) <= width * abs(x) for x, y in zip(a[4:], b[4:]))
+
+
+def test_ranks_of_stored_day_sketches(spark, sf):
+    df = spark.read.parquet(f"{sf}/soundings.parquet").where("file_id is not null")
+    asked = [5, 25, 50, 75, 95]
+    got = quantiles.daily_percentiles(df, "sounding_id", "file_id", "zpos", "loaded_at", asked, exact=False).collect()
+    v = {}
+    for r in df.where("zpos is not null and not isnan(zpos) and abs(zpos) < double('inf')").select("sounding_id", "file_id", "zpos").distinct().collect():
+        v.setdefault(r["file_id"], []).append(r["zpos"])
+    assert len(got) == len(v)
+    for r in got:
+        x = sorted(v[r["file_id"]])
+        for p in asked:
+            exact = x[-(-len(x) * p // 100) - 1]
+            assert r[f"p{p:02d}"] in x and abs(r[f"p{p:02d}"] - exact) <= quantiles.WIDTH * abs(exact)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
