@@ -16,9 +16,9 @@ from sondegrid.functions.buckets import bucket
 WIDTH = 1e-5
 
 
-def order_statistics(df: DataFrame, groups: list[str], value: str | Column, ranks: Callable[[Column], Column], width: float = WIDTH) -> DataFrame:
+def order_statistics(df: DataFrame, groups: list[str], value: str | Column, ranks: Callable[[Column], Column] | DataFrame, width: float = WIDTH) -> DataFrame:
     """(groups, total, name, v): the values of ranks. ``ranks`` gives, for the number of values of a group, an array of structs
-    (name, r), r from 1.
+    (name, r), r from 1; or it is a table (groups, ranks) with such an array for each group.
 
     Null and NaN are no values; null group values are a group; a group without values has no row; ties are counted each."""
     v = (F.col(f"`{value}`") if isinstance(value, str) else value).cast("double")
@@ -29,7 +29,10 @@ def order_statistics(df: DataFrame, groups: list[str], value: str | Column, rank
     w = Window.partitionBy(*([F.col("k")[f"g{i}"] for i in range(len(groups))] or [F.lit(0)]))
     cells = base.groupBy("k").agg(F.count("*").alias("m"))
     cells = cells.withColumn("upto", F.sum("m").over(w.orderBy(F.col("k")["cell"]).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("m").over(w))
-    hit = F.filter(ranks(F.col("total")), lambda x: (x["r"] > F.col("upto") - F.col("m")) & (x["r"] <= F.col("upto")))
+    if isinstance(ranks, DataFrame):
+        each = ranks.select(F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(groups)]).alias("_g"), F.col("ranks"))
+        cells = cells.join(each, F.struct(*[F.col("k")[f"g{i}"].alias(f"g{i}") for i in range(len(groups))]) == F.col("_g"))
+    hit = F.filter(F.col("ranks") if isinstance(ranks, DataFrame) else ranks(F.col("total")), lambda x: (x["r"] > F.col("upto") - F.col("m")) & (x["r"] <= F.col("upto")))
     asked = cells.withColumn("asked", hit).where(F.size("asked") > 0).select("k", (F.col("upto") - F.col("m")).alias("below"), "total", "asked")
     values = base.join(asked, "k").groupBy("k", "v").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("below", "total", "asked")])
     upto = F.col("below") + F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))

@@ -1,4 +1,4 @@
-"""Queries p1 to p7 over their whole tables."""
+"""Queries p1 to p5 and p7 over their whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from sondegrid.operators.compaction import consolidate, data_records, landed, re
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
 from sondegrid.operators.proximity import inside, near_pairs, regions
-from sondegrid.operators.quantiles import daily_percentiles
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
 from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P7
@@ -81,14 +80,6 @@ def p4_found(spark, d):
     return p4_faults(spark, d).select("sounding_id")
 
 
-def p6_percentiles(spark, d):
-    """Percentiles, least and greatest zpos of each data file; files without readings have null percentiles."""
-    readings = _table(spark, d, "soundings").where("file_id is not null")  # others are in no file
-    got = daily_percentiles(readings, "sounding_id", "file_id", "zpos", "loaded_at", [5, 25, 50, 75, 95])
-    names = _table(spark, d, "inf_files").groupBy("file_id").agg(F.min("name").alias("name"))
-    return names.join(got, "file_id", "left").select("file_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "least", "greatest", "p05", "p25", "p50", "p75", "p95")
-
-
 def p7_found(spark, d):
     marks = _table(spark, d, "spot_heights")
     near = near_pairs(marks, 100.0).select(F.lit("near").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
@@ -97,7 +88,7 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid, "p6_percentiles": p6_percentiles}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid}
 
 SQL = {
     "p1_found": P1,
@@ -109,13 +100,4 @@ SQL = {
     "p4_faults": P4_FAULTS,
     "p5_found": P5,
     "p7_found": P7,
-    "p6_percentiles": """
-WITH once AS (SELECT DISTINCT sounding_id, file_id, zpos FROM soundings WHERE zpos IS NOT NULL AND NOT isnan(zpos) AND NOT isinf(zpos)),
-ranked AS (SELECT file_id, zpos, row_number() OVER (PARTITION BY file_id ORDER BY zpos) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM once),
-got AS (SELECT file_id, max(n) AS n, min(zpos) AS least, max(zpos) AS greatest, max(CASE WHEN r = (n * 5 + 99) // 100 THEN zpos END) AS p05, max(CASE WHEN r = (n * 25 + 99) // 100 THEN zpos END) AS p25,
-  max(CASE WHEN r = (n * 50 + 99) // 100 THEN zpos END) AS p50, max(CASE WHEN r = (n * 75 + 99) // 100 THEN zpos END) AS p75, max(CASE WHEN r = (n * 95 + 99) // 100 THEN zpos END) AS p95
-  FROM ranked GROUP BY file_id),
-names AS (SELECT file_id, min(name) AS name FROM inf_files GROUP BY file_id)
-SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, least, greatest, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
-""",
 }

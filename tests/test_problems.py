@@ -1,4 +1,4 @@
-"""The operators of problems 1 to 7 on small cases, and against brute force on the small tables."""
+"""The operators of problems 1 to 5 and 7 on small cases, and against brute force on the small tables."""
 
 import datetime as dt
 import math
@@ -7,7 +7,7 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from sondegrid.operators import compaction, lineparse, packed, proximity, quantiles, spikes, units
+from sondegrid.operators import compaction, lineparse, packed, proximity, spikes, units
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -307,41 +307,22 @@ def test_lines_of_files(spark):
     assert empty.count() == 0
 
 
-# --- 6: percentiles --------------------------------------------------------------------------------------------------
-def test_percentiles_exact_on_short_values(spark):
-    rng = random.Random(1)
-    rows = [(i, g, round(rng.gauss(-50, 40), 2), T0 + dt.timedelta(days=rng.randint(0, 5))) for g in (1, 2, None) for i in range(g or 9, 3000, 3)]
-    rows += rows[:500] + [(-1, 1, math.nan, T0), (-2, 1, math.inf, T0), (-3, 1, None, T0), (-4, 7, 0.0, T0), (-5, 8, None, T0)]
-    df = spark.createDataFrame(rows, "id bigint, g int, v double, at timestamp")
-    r = {x["g"]: x for x in quantiles.daily_percentiles(df, "id", "g", "v", "at", [5, 50, 95], coarse=1 << 10).collect()}
-    for g in (1, 2, None):
-        v = sorted(x[2] for x in {x[:3] for x in rows if x[1] == g and x[2] is not None and math.isfinite(x[2])})
-        assert r[g]["n"] == len(v) and r[g]["least"] == v[0]
-        assert [r[g][f"p{p:02d}"] for p in (5, 50, 95)] == [v[-(-len(v) * p // 100) - 1] for p in (5, 50, 95)]
-    assert r[7]["p50"] == 0.0 and 8 not in r
-    assert quantiles.daily_percentiles(df.limit(0), "id", "g", "v", "at", [50]).count() == 0
-
-
-@given(st.floats(allow_nan=False, allow_infinity=False), st.floats(allow_nan=False, allow_infinity=False))
-@settings(max_examples=200, deadline=None)
-def test_bucket_rule(a, b):
-    scale = 1.0 / math.log1p(quantiles.WIDTH)
-    shift = math.ceil(-math.log(5e-324) * scale) + 1
-    f = lambda v: 0 if v == 0 else int(math.copysign(math.floor(math.log(abs(v)) * scale) + shift, v))
-    if a < b:
-        assert f(a) <= f(b)
-    if f(a) == f(b) and a != b:
-        assert abs(a - b) <= max(abs(a), abs(b)) * quantiles.WIDTH * 1.01 + 1e-300
-
-
-def test_sketches_add_up(spark):
-    df = spark.range(5000).selectExpr("id % 3 AS g", "id % 7 AS day", "pow(id % 997 + 1, 1.5) AS v")
-    whole = quantiles.percentiles(quantiles.sketch(df, ["g"], "v"), ["g"], [25, 50])
-    parts = quantiles.combine(quantiles.sketch(df, ["g", "day"], "v"), ["g"])
-    assert got(whole) == got(quantiles.percentiles(parts, ["g"], [25, 50]))
-    wide = quantiles.percentiles(quantiles.sketch(df, ["g"], "v", 0.01), ["g"], [25, 50], coarse=8)
-    for a, b in zip(got(whole), got(wide)):
-        assert all(abs(x - y) <= 0.0101 * abs(x) for x, y in zip(a[4:], b[4:]))
+# --- exact percentiles -------------------------------------------------------------------------------------------------
+def test_exact_percentiles(spark):
+    from pyspark.sql import functions as F
+
+    from sondegrid.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(g, round(rng.gauss(-50, 40), 2)) for g in (1, 2, None) for _ in range(500)] + [(1, 7.0)] * 400 + [(3, None), (3, math.nan), (4, math.inf), (4, -math.inf), (4, 0.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    at = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.951, "e": 1.0}
+    want = df.where("not isnan(v)").groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in at.items()]).where("a is not null")
+    for width in (1e-5, 0.5):
+        assert got(ranks.percentiles(df, ["g"], "v", at, width)) == got(want)
+    alone = got(df.where("g = 1").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in at.items()]))
+    assert got(ranks.percentiles(df.where("g = 1"), [], "v", at)) == alone
+    assert got(ranks.percentiles(df.limit(0), [], "v", at)) == [(None,) * 5] and got(ranks.percentiles(df.limit(0), ["g"], "v", at)) == []
 
 
 # --- 7: near and inside ----------------------------------------------------------------------------------------------
