@@ -4,11 +4,12 @@ Near: points on the sphere are put in cubes four times as wide as the distance;
 surroundings reach into, three or four on average, and each point stands in one cube, so a pair meets once. Nothing special
 is needed at the poles or the date line.
 
-Inside: regions come as rings in plane longitude and latitude. A region is listed under the cells of a grid about its own
-size, so under at most four; a point asks once for each grid in use. Points in the box of a region meet the edges in their
-latitude strip of that region; crossings of the ray to the east are counted by point, region and polygon, an odd number
-meaning inside, and a point on an edge is on the boundary. Longitudes are equal modulo 360: regions begin in -180..180, and
-a point is looked up at its longitude there and at the next turn.
+Inside: regions come as rings in plane longitude and latitude. The circle of longitudes is halved again and again; a region
+is listed under the cells of the finest halving that is as wide as it, so under at most four, modulo 360. A point asks once
+for each halving in use; the list of cells is sent to all executors if it is small. Points in the box of a region, at any
+turn of the circle, meet the edges in their latitude strip of that region; crossings of the ray to the east are counted by
+point, region and polygon, an odd number meaning inside, and a point on an edge is on the boundary. A region wider than the
+circle is met once for each turn.
 """
 
 from __future__ import annotations
@@ -20,19 +21,24 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sondegrid.session import checked_broadcast
+
 RADIUS = 6_371_008.8
 STRIPS = 32
 WIDE = 4
-FINEST = 1.0 / 64  # degrees, the smallest cells of regions
+FINEST = 15  # halvings of the circle: the smallest cells of regions are of 0.011 degrees
+#: Bytes of the list of cells that is sent to all executors; a longer one is joined by shuffle.
+LISTED = 64 << 20
 
 
 def located(points: DataFrame, id_col: str = "mark_id", x: str = "xpos", y: str = "ypos") -> DataFrame:
     """(id, lon in -180..180, lat) of the points that have a location; rows that repeat an id count once."""
     lon, lat = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
     p = points.select(F.col(f"`{id_col}`").alias("id"), lon.alias("lon"), lat.alias("lat")).where(F.col("id").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    p = p.where(~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lat") <= 90) & (F.abs("lon") < 1e9))
+    p = p.where(~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lat") <= 90) & (F.abs("lon") < float("inf")))
     p = p.groupBy("id").agg(F.min(F.struct("lon", "lat")).alias("p")).select("id", "p.*")
-    return p.withColumn("lon", F.col("lon") - 360 * F.floor((F.col("lon") + 180) / 360))
+    rest = F.col("lon") % 360
+    return p.withColumn("lon", F.when((F.col("lon") >= -180) & (F.col("lon") < 180), F.col("lon")).when(rest < -180, rest + 360).when(rest >= 180, rest - 360).otherwise(rest))
 
 
 def near_pairs(points: DataFrame, metres: float, id_col: str = "mark_id", x: str = "xpos", y: str = "ypos", radius: float = RADIUS) -> DataFrame:
@@ -118,6 +124,7 @@ def regions(files: DataFrame, id_col: str = "file_id", wkt: str = "wkt", box: st
                 if polygons is None and limits is not None and len(limits) >= 4:
                     x0, x1, y0, y1 = (float("nan") if v is None else float(v) for v in limits[:4])
                     if all(map(math.isfinite, (x0, x1, y0, y1))) and x0 <= x1 and y0 <= y1 and any(v for v in limits if v is not None):
+                        x1 = min(x1, x0 + 720)  # a box wider than two turns holds no more longitudes than one of two
                         polygons = [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]]
                 if not polygons:
                     continue
@@ -138,24 +145,28 @@ def regions(files: DataFrame, id_col: str = "file_id", wkt: str = "wkt", box: st
     return d.mapInPandas(run, f"region {d.schema['region'].dataType.simpleString()}, part int, x1 double, y1 double, x2 double, y2 double, strip int, xmin double, xmax double, ymin double, ymax double, high double")
 
 
-def _floor(c: Column, size: Column) -> Column:
-    return F.floor(c / size).cast("int")
+def _place(c: Column, level: Column) -> Column:
+    return F.floor(c * F.pow(F.lit(2.0), level) / 360).cast("int")
 
 
-def inside(points: DataFrame, edges: DataFrame, id_col: str = "mark_id", x: str = "xpos", y: str = "ypos", boundary: bool = False) -> DataFrame:
+def inside(points: DataFrame, edges: DataFrame, id_col: str = "mark_id", x: str = "xpos", y: str = "ypos", boundary: bool = False, listed_bytes: int = LISTED) -> DataFrame:
     """(id, region): points in the interior of a region; on its boundary too if ``boundary``."""
     box = edges.groupBy("region").agg(*[F.first(c).alias(c) for c in ("xmin", "xmax", "ymin", "ymax", "high")])
     wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    box = box.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(FINEST)) / F.lit(FINEST)))).cast("int"))
-    size = lambda level: F.pow(F.lit(2.0), level) * F.lit(FINEST)
-    span = lambda lo, hi: F.sequence(_floor(F.col(lo), size(F.col("level"))), _floor(F.col(hi), size(F.col("level"))))
-    listed = box.withColumn("gx", F.explode(span("xmin", "xmax"))).withColumn("gy", F.explode(span("ymin", "ymax")))
-    top = math.ceil(math.log2(1440 / FINEST))
-    p = located(points, id_col, x, y).withColumn("lon", F.explode(F.array(F.col("lon"), F.col("lon") + 360)))
-    levels = sorted(r["level"] for r in box.select("level").distinct().where(F.col("level") <= top).collect())  # at most ``top`` numbers
+    fine = F.floor(F.log2(F.lit(360.0) / F.greatest(wide, F.lit(1e-9)))).cast("int")
+    box = box.withColumn("level", F.least(F.lit(FINEST), F.greatest(F.lit(0), fine))).withColumn("lat0", F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("ymin")))).withColumn("lat1", F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("ymax"))))
+    count = F.pow(F.lit(2.0), F.col("level")).cast("int")
+    round_ = F.array_distinct(F.transform(F.sequence(_place(F.col("xmin") + 180, F.col("level")), _place(F.col("xmax") + 180, F.col("level"))), lambda i: F.pmod(i, count)))
+    listed = box.withColumn("gx", F.explode(F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(round_)))
+    listed = listed.withColumn("gy", F.explode(F.sequence(_place(F.col("lat0") + 90, F.col("level")), _place(F.col("lat1") + 90, F.col("level"))))).drop("lat0", "lat1")
+    listed = checked_broadcast(listed, "region-cells", listed_bytes)
+    p = located(points, id_col, x, y)
+    levels = sorted(r["level"] for r in listed.select("level").distinct().collect())  # at most 16 numbers
     p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    p = p.withColumn("gx", _floor(F.col("lon"), size(F.col("level")))).withColumn("gy", _floor(F.col("lat"), size(F.col("level"))))
-    near = p.join(listed, ["level", "gx", "gy"]).where("lon >= xmin and lon <= xmax and lat >= ymin and lat <= ymax")
+    p = p.withColumn("gx", F.pmod(_place(F.col("lon") + 180, F.col("level")), F.pow(F.lit(2.0), F.col("level")).cast("int"))).withColumn("gy", _place(F.col("lat") + 90, F.col("level")))
+    near = p.join(listed, ["level", "gx", "gy"]).where("lat >= ymin and lat <= ymax")
+    turns = F.transform(F.sequence(F.floor((F.col("xmin") - F.col("lon")) / 360), F.ceil((F.col("xmax") - F.col("lon")) / 360)), lambda t: F.col("lon") + t * 360)
+    near = near.withColumn("lon", F.explode(F.filter(turns, lambda v: (v >= F.col("xmin")) & (v <= F.col("xmax")))))
     near = near.select("id", "lon", "lat", "region", F.floor((F.col("lat") - F.col("ymin")) / F.col("high")).cast("int").alias("strip"))
     e = edges.select("region", "part", "x1", "y1", "x2", "y2", "strip")
     met = near.join(e, ["region", "strip"])

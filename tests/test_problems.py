@@ -366,4 +366,14 @@ def test_inside_holes_boxes_and_turns(spark):
     pts = spark.createDataFrame(p, PTS)
     assert got(proximity.inside(pts, r)) == [(1, 1), (1, 2), (3, 1), (3, 2), (4, 5), (5, 5), (8, 2), (9, 1), (9, 2)]
     assert {(6, 1), (7, 1)} <= set(got(proximity.inside(pts, r, boundary=True)))
+    assert got(proximity.inside(pts, r, listed_bytes=0)) == got(proximity.inside(pts, r))
     assert got(proximity.inside(pts.limit(0), r)) == [] and got(proximity.inside(pts, r.limit(0))) == []
+
+
+def test_inside_far_and_wide_regions(spark):
+    files = [(1, None, [-1e12, 1e12, -10.0, 10.0, 0.0, 1.0]), (2, "POLYGON((-300 20,400 20,400 30,-300 30,-300 20))", None), (3, None, [1e6, 1e6 + 1, 40.0, 41.0, 0.0, 1.0]), (4, None, [-170.0, 190.0, -1e9, 1e9, 0.0, 1.0]), (5, None, [0.5, 0.6, 0.5, 0.5001, 0.0, 1.0])]
+    r = proximity.regions(spark.createDataFrame(files, "file_id bigint, wkt string, minmax array<double>"))
+    # 1e6 is 280 beyond whole turns
+    p = [(11, 5.0, 5.0, 0.0), (12, 1e10 + 7, 25.0, 0.0), (13, -79.5, 40.5, 0.0), (14, 179.0, -80.0, 0.0), (15, 0.55, 0.50005, 0.0), (16, -79.5 + 360 * 1e6, 40.5, 0.0)]
+    want = [(11, 1), (11, 4), (12, 2), (12, 4), (13, 3), (13, 4), (14, 4), (15, 1), (15, 4), (15, 5), (16, 3), (16, 4)]
+    assert got(proximity.inside(spark.createDataFrame(p, PTS), r)) == want
