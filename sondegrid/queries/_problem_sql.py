@@ -99,7 +99,7 @@ def _delimited(d: str) -> str:
 
 
 _SPACED = r'(?:"(?:[^"]|"")*"|[^" \t][^ \t]*)'
-P5 = rf"""
+_P5 = rf"""
 WITH d AS (SELECT l.raw_id, l.line_no, l.line, f.fmt, f.delim, f.cols, coalesce(f.skip, 0) AS skip FROM raw_lines l JOIN raw_files f ON l.raw_id = f.raw_id
  WHERE l.line_no > coalesce(f.skip, 0) AND regexp_matches(l.line, '^\s*[^\s#]')),
 h AS (SELECT raw_id, arg_min(line, line_no) AS head FROM d GROUP BY raw_id),
@@ -119,9 +119,20 @@ g AS (SELECT raw_id, line_no, regexp_extract(line, '^\s*(\S+)[ \t]+(\S+)[ \t]+(\
 y AS (SELECT raw_id, line_no, CASE WHEN r.w = '' THEN 'columns'
  WHEN NOT regexp_full_match(r.m, '(?:[ \t]*(?:"(?:[^"]|"")*"[ \t]*|[^" \t,][^,]*|),)*[ \t]*(?:"(?:[^"]|"")*"[ \t]*|[^" \t,][^,]*|)') THEN 'quoting'
  WHEN r.f NOT IN ('-1', '-2', '-4', '168', '200', '300') OR NOT regexp_matches(r.w, '{_NUM}') OR coalesce(TRY_CAST(r.w AS DOUBLE) < 0, true) OR isinf(TRY_CAST(r.w AS DOUBLE)) THEN 'value' END AS reason FROM g)
-SELECT raw_id, line_no, 'quoting' AS reason FROM n WHERE NOT well UNION ALL SELECT raw_id, line_no, 'columns' FROM n WHERE well AND len(v) <> len(c)
+"""
+P5 = (
+    _P5
+    + """SELECT raw_id, line_no, 'quoting' AS reason FROM n WHERE NOT well UNION ALL SELECT raw_id, line_no, 'columns' FROM n WHERE well AND len(v) <> len(c)
  UNION ALL SELECT raw_id, line_no, 'value' FROM b UNION ALL SELECT raw_id, line_no, reason FROM y WHERE reason IS NOT NULL
 """
+)
+P5_NUMBERS = (
+    _P5
+    + """SELECT k.raw_id, k.line_no, CAST(max(CASE WHEN name IN ('x', 'lon') THEN TRY_CAST(t AS DOUBLE) END) AS DOUBLE) AS x, max(CASE WHEN name IN ('y', 'lat') THEN TRY_CAST(t AS DOUBLE) END) AS y,
+ max(CASE WHEN name = 'z' THEN TRY_CAST(t AS DOUBLE) WHEN name = 'depth' THEN -TRY_CAST(t AS DOUBLE) END) AS z, max(CASE WHEN name = 'w' THEN TRY_CAST(t AS DOUBLE) END) AS w
+ FROM k LEFT JOIN b ON k.raw_id = b.raw_id AND k.line_no = b.line_no WHERE b.raw_id IS NULL GROUP BY k.raw_id, k.line_no
+ UNION ALL SELECT y.raw_id, y.line_no, NULL, NULL, NULL, CAST(g.r.w AS DOUBLE) FROM y JOIN g ON y.raw_id = g.raw_id AND y.line_no = g.line_no WHERE reason IS NULL"""
+)
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 _N = r"[+-]?\d+(?:\.\d*)?"

@@ -10,7 +10,7 @@ from sondegrid.operators.packed import split_packed
 from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
-from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P7
+from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P5_NUMBERS, P7
 from sondegrid.session import fresh_path, materialize
 
 
@@ -62,6 +62,11 @@ def p5_valid(spark, d):
     return _parsed(spark, d).where("reason is null").select("raw_id", "line_no", "x", "y", "z", "w", F.to_json("rest").alias("rest"))
 
 
+def p5_numbers(spark, d):
+    """The numbers of every valid record."""
+    return _parsed(spark, d).where("reason is null").select("raw_id", "line_no", "x", "y", "z", "w")
+
+
 def _excursions(spark, d):
     return faulty(_table(spark, d, "soundings"), _table(spark, d, "xyz_sources"), time="measured_at")
 
@@ -88,7 +93,7 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid, "p5_numbers": p5_numbers}
 
 SQL = {
     "p1_found": P1,
@@ -99,5 +104,6 @@ SQL = {
     "p4_found": P4,
     "p4_faults": P4_FAULTS,
     "p5_found": P5,
+    "p5_numbers": P5_NUMBERS,
     "p7_found": P7,
 }

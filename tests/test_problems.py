@@ -297,6 +297,41 @@ def test_reasons():
     assert listed('a 7 1 "x') == "quoting" and listed("a 7 1") == "value" and listed("a 168 -1") == "value" and listed("a 168 1e") == "value"
 
 
+def test_errors_are_located():
+    def at(line, delim=",", cols="x,y,z"):
+        got = dict(lineparse.records(["1,2,3", line, "4,5,6"], lambda g, k: (setattr(g, "delim", delim if k == 1 else ","), g.xyz(cols.split(",")))[1]))
+        assert got[0]["x"] == 1.0 and got[2]["z"] == 6.0  # nothing is lost before or behind the error
+        return got[1].reason, got[1].at + 1
+
+    assert at("12.5,3,bad") == ("value", 8) and at(" 1 , 91 ,3") == ("value", 6) and at("361,2,3") == ("value", 1)
+    assert at('1,2,"3') == ("quoting", 5) and at('1,"2"x,3') == ("quoting", 6) and at('"1,2,3') == ("quoting", 1)
+    assert at("1,2") == ("columns", 4) and at("1,2,3,4") == ("columns", 7) and at("1 2 x", "space") == ("value", 5)
+
+
+def test_plain_lines_are_judged_as_by_the_grammar(spark):
+    rng = random.Random(9)
+    delims = [",", "tab", "space", "|", "/", ":", ";", "."]
+    files = [(i, "f", rng.choice([168, 168, -1]), rng.choice(delims), 0, rng.choice(["x,y,z", "id,lon,lat,depth,note", "lon, lat ,Z,w,qc", "x,lon,z", "x,x,y"]), T0) for i in range(200)]
+    lines = []
+    for f in files:
+        d = {"tab": "\t", "space": " "}.get(f[3], f[3])
+        for k in range(12):
+            n = f[5].count(",") + 1 + rng.choice([0] * 8 + [1, -1])
+            words = [rng.choice(["1", "-2.5", "3e1", "+4.", ".5", "400", "91", "", " 7 ", "x", '"8"', '"9', "1e999", "\t6", "6\r", "6\x01", "١", "-1", "168"]) if rng.random() < 0.3 else str(rng.randint(0, 80)) for _ in range(n)]
+            lines.append((f[0], k + 1, (d * rng.choice([1, 1, 1, 2]) if d == " " else d).join(words)))
+    r = lineparse.parse_lines(spark.createDataFrame(files, FILES), spark.createDataFrame(lines, "raw_id bigint, line_no int, line string")).collect()
+    by = {f[0]: f for f in files}
+    text = {(a, b): t for a, b, t in lines if t.strip() and t.strip()[0] != "#"}
+    assert {(x["raw_id"], x["line_no"]) for x in r} == set(text)
+    for x in r:
+        f, line = by[x["raw_id"]], text[x["raw_id"], x["line_no"]]
+        try:
+            want = lineparse.datalist_record(line) if f[2] == -1 else lineparse.xyz_record(line, {"tab": "\t"}.get(f[3], f[3]), [c.strip() for c in f[5].lower().split(",")])
+            assert (x["reason"], x["x"], x["y"], x["z"], x["w"], x["rest"]) == (None, *(want.get(c) for c in "xyzw"), want["rest"]), line
+        except lineparse.Broken as e:
+            assert (x["reason"], x["col"]) == (e.reason, e.at + 1), line
+
+
 def test_lines_of_files(spark):
     files = [(1, "f", 168, None, 1, "x,y,z", T0), (2, "f", 168, None, 0, "x,y,z", T0), (3, "d", -1, "space", 0, None, T0), (4, "q", 7, ",", 0, None, T0), (5, "n", 168, "tab", None, None, T0)]
     lines = [(1, 1, "a,b"), (1, 2, " # c"), (1, 3, "1/2/3"), (1, 4, "1,2,3"), (2, 1, "1:2:3"), (2, 2, None), (2, 3, " "), (2, 4, "1:2"), (3, 1, "p 168 1"), (3, 2, "p 168"), (4, 1, "x"), (5, 1, "1\t2\t3"), (9, 1, "x"), (2, 5, "1:2:" + "9" * 200_000)]
