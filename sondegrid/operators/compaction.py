@@ -2,23 +2,81 @@
 
 A file source discovers each input file once (its log is in the checkpoint); the available ones are taken in batches, each
 written by replacement under the number of its batch, so that a retried batch replaces what it wrote before. Rows are
-rebalanced to well-sized files by the engine's advisory partition size.
-
-Files that only repeat another one's lines are found on the compacted records. Sets of lines are compared by sums of hashes
-(equal sets) and, between different sets, by probing the rarest line of each set for larger sets that hold it too; what is
-left is counted line by line. No set is ever gathered in one place.
+rebalanced to well-sized files by the engine's advisory partition size. Small batches that follow one another, as from a
+trickle of arrivals, are merged under the range of their numbers. A folder counts once it is complete, and no longer once a
+complete folder covers its range, so a merge that is cut off neither loses nor doubles a record.
+
+Files that only repeat another one's lines are found on the compacted records. Sets of lines are compared by their size and
+two parities (bitwise exclusive or) of line hashes for equality, and, between different sets, by probing the rarest line of
+each set for larger sets that hold it too; what is left is counted line by line. Where a rarest line is that of many sets and
+held by many, the probe goes on to pairs, triples and so on of rarest lines, so that no such line multiplies its sets with
+its holders. No set is ever gathered in one place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sondegrid.session import fresh_path, materialize
+from sondegrid.session import materialize, shared_dir
 
 BLANKS = " \t\r\n\f\x0b"
-
-
-def compact(spark: SparkSession, source: str, target: str, checkpoint: str, schema, files_per_batch: int = 1000, columns: list[str] | None = None) -> DataFrame:
+#: Bytes below which a batch is merged with its neighbours, up to about as many together.
+SMALL = 64 << 20
+#: Sets that ask by a line, times sets that hold it, beyond which the probe takes a further line.
+PROBES = 100_000
+_FOLDER = re.compile(r"batch=(\d+)(?:-(\d+))?")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def live(spark: SparkSession, target: str) -> list[tuple[int, int, str, int]]:
+    """(first batch, last batch, folder, bytes) of the complete folders at ``target`` that no other covers, in order."""
+    fs, path = _fs(spark, target)
+    if not fs.exists(path):
+        return []
+    found = []
+    for f in fs.listStatus(path):  # one entry a batch or merge
+        if m := _FOLDER.fullmatch(f.getPath().getName()):
+            where = f.getPath().toString()
+            if fs.exists(_fs(spark, f"{where}/_SUCCESS")[1]):
+                found.append((int(m[1]), int(m[2] or m[1]), where, fs.getContentSummary(f.getPath()).getLength()))
+    found.sort(key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int, str, int]] = []
+    for x in found:
+        if not out or x[1] > out[-1][1]:
+            out.append(x)
+    return out
+
+
+def merge_small(spark: SparkSession, target: str, schema, small: int = SMALL) -> int:
+    """Merges neighbouring small batches; returns the number of merges. May be cut off and run again at any time between batches."""
+    groups: list[list[tuple[int, int, str, int]]] = [[]]
+    for x in live(spark, target):
+        if groups[-1] and (x[3] >= small or sum(y[3] for y in groups[-1]) >= small):
+            groups.append([])
+        groups[-1].append(x)
+        if x[3] >= small:
+            groups.append([])
+    groups = [g for g in groups if len(g) > 1]
+    for g in groups:
+        rows = spark.read.schema(schema).parquet(*[x[2] for x in g])
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{target}/batch={g[0][0]:012d}-{g[-1][1]:012d}")
+    kept = {x[2] for x in live(spark, target)}
+    fs, path = _fs(spark, target)
+    for x in (x for g in groups for x in g):
+        if x[2] not in kept:
+            fs.delete(_fs(spark, x[2])[1], True)
+    return len(groups)
+
+
+def compact(spark: SparkSession, source: str, target: str, checkpoint: str, schema, files_per_batch: int = 1000, columns: list[str] | None = None, small: int = SMALL) -> DataFrame:
     """Consolidates the parquet files at ``source`` that haven't been taken yet; returns all records compacted so far.
 
     Run again with the same checkpoint it takes new files only, and repeats a batch that was cut off under the same number.
@@ -35,11 +93,9 @@ def compact(spark: SparkSession, source: str, target: str, checkpoint: str, sche
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], kept)
-    return spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(target)
+    merge_small(spark, target, kept, small)
+    folders = [x[2] for x in live(spark, target)]
+    return spark.read.schema(kept).parquet(*folders) if folders else spark.createDataFrame([], kept)
 
 
 def data_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -69,7 +125,7 @@ def data_records(records: DataFrame, files: DataFrame, file: str, values: list[s
     return records.select(F.col(file).alias("raw_id"), F.xxhash64(*[x for v in values for x in (F.col(v), F.col(v).isNull())]).alias("h")).join(f, "raw_id").select("raw_id", "fetched_at", "h").distinct()
 
 
-def redundant_sets(sets_of: DataFrame) -> DataFrame:
+def redundant_sets(sets_of: DataFrame, probes: int = PROBES) -> DataFrame:
     """As redundant, from a table (raw_id, fetched_at, h) of the different records of each file."""
     d = materialize(sets_of, "compact-lines")
     parity = lambda salt: F.bit_xor(_mixed("h", salt))
@@ -83,18 +139,48 @@ def redundant_sets(sets_of: DataFrame) -> DataFrame:
     often = own.groupBy("h").agg(F.count("*").alias("files"), F.max("n").alias("largest"))
     counted = materialize(own.join(often, "h").where("files > 1"), "compact-counted")
     # a set with a line of its own is in no other; its rarest line leads to the sets that may hold it
-    probe = counted.groupBy("raw_id", "n").agg(F.count("*").alias("common"), F.min(F.struct("files", "h", "largest")).alias("r")).where("common = n")
-    alone = probe.where("n = 1 and r.largest > 1").select("raw_id")
-    asked = probe.where("n > 1 and r.largest > n").select(F.col("raw_id").alias("a"), F.col("n").alias("need"), F.col("r.h").alias("h"))
-    pairs = asked.join(counted.select(F.col("raw_id").alias("b"), "n", "h"), "h").where("n > need").select("a", "b", "need")
+    probe = materialize(counted.groupBy("raw_id", "n").agg(F.count("*").alias("common"), F.min(F.struct("files", "h", "largest")).alias("r")).where("common = n and r.largest > n"), "compact-probes")
+    alone = probe.where("n = 1").select("raw_id")
+    asks = probe.where("n > 1").select(F.col("raw_id").alias("a"), F.col("n").alias("need"), F.col("r.h").alias("key"), F.struct("r.files", "r.h").alias("last"), F.col("r.files").alias("held"))
+    pairs, contained = _candidates(asks, counted, probes)
     every = pairs.join(counted.select(F.col("raw_id").alias("a"), "h"), "a")
     held = every.join(counted.select(F.col("raw_id").alias("b"), "h"), ["b", "h"]).groupBy("a", "b", "need").agg(F.count("*").alias("got")).where("got = need")
-    return equal.unionByName(alone).unionByName(held.select(F.col("a").alias("raw_id")).distinct())
+    found = held.select("a").unionByName(contained).distinct()
+    return equal.unionByName(alone).unionByName(found.select(F.col("a").alias("raw_id")))
+
+
+def _candidates(asks: DataFrame, counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, need) of sets that share the rarest lines of a, and sets (a) that are found contained without a pair.
+
+    A key stands for the rarest lines of the sets that ask by it. While a key has too many pairs, its sets take their next
+    rarest line; a set without a further one is contained in every larger holder of its key."""
+    holders = counted.select(F.col("h").alias("key"), F.col("raw_id").alias("b"), "n")
+    own = counted.select(F.col("raw_id").alias("a"), F.struct("files", "h").alias("next"))
+    pairs, contained = [], []
+    while True:
+        hot = asks.groupBy("key").agg(F.count("*").alias("sets"), F.first("held").alias("held")).where(F.col("sets") * F.col("held") > F.lit(most)).select("key")
+        hot = materialize(hot, "compact-hot")
+        pairs.append(asks.join(hot, "key", "left_anti").join(holders, "key").where("n > need").select("a", "b", "need"))
+        if hot.isEmpty():
+            break
+        many = asks.join(hot, "key", "left_semi")
+        onward = many.join(own, "a").where(F.col("next") > F.col("last")).groupBy("a").agg(F.min("next").alias("next"))
+        many = materialize(many.join(onward, "a", "left"), "compact-asks")
+        largest = holders.groupBy("key").agg(F.max("n").alias("n"))
+        contained.append(many.where("next is null").join(largest, "key").where("n > need").select("a"))
+        asks = many.where("next is not null").select("a", "need", F.xxhash64("key", "next.h").alias("key"), F.col("next").alias("last"), F.col("key").alias("before"), "next.h")
+        wanted = asks.select("before", "h", "key").distinct()
+        with_line = holders.withColumnRenamed("key", "before").join(hot.withColumnRenamed("key", "before"), "before", "left_semi").join(counted.select(F.col("raw_id").alias("b"), "h"), "b")
+        holders = materialize(with_line.join(wanted, ["before", "h"]).select("key", "b", "n"), "compact-holders")
+        asks = asks.select("a", "need", "key", "last").join(holders.groupBy("key").agg(F.count("*").alias("held")), "key")
+    none = pairs[0].select("a").limit(0)
+    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, contained, none)
 
 
 def landed(spark: SparkSession, path: str, columns: tuple[str, ...] = ("raw_id", "line_no", "line")) -> DataFrame:
-    """The records at a path, compacted into a new folder of the shared one."""
-    root = fresh_path(spark, "compact")
+    """The records at a path, compacted into a folder of the shared one. The folder and its checkpoint go by the path, so each
+    of its files is taken once in an application, whatever queries ask for it."""
+    root = f"{shared_dir(spark)}/compact-{hashlib.sha256(repr((path, columns)).encode()).hexdigest()[:24]}"
     schema = spark.read.parquet(path).schema
     return compact(spark, path, f"{root}/data", f"{root}/checkpoint", schema, columns=list(columns))
 

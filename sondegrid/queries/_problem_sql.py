@@ -24,6 +24,9 @@ found AS (SELECT DISTINCT a AS raw_id FROM p JOIN n x ON p.a = x.raw_id JOIN n y
 P2 = _P2 + "SELECT raw_id FROM found"
 P2_COMPACTED = _P2 + "SELECT raw_id, line_no, line FROM raw_lines WHERE raw_id NOT IN (SELECT raw_id FROM found)"
 
+P2_SMALL_FILES = """WITH a AS (SELECT count(*) AS records, CAST(sum(length(line)) AS BIGINT) AS chars FROM raw_lines WHERE raw_id IN (SELECT raw_id FROM raw_files WHERE fmt = 168))
+SELECT 'first' AS step, records, chars FROM a UNION ALL SELECT 'again', records, chars FROM a UNION ALL SELECT 'all', count(*), CAST(sum(length(line)) AS BIGINT) FROM raw_lines"""
+
 P2_SOUNDINGS = """WITH once AS (SELECT DISTINCT sounding_id, file_id, xpos, ypos, zpos, weight FROM soundings),
 f AS (SELECT file_id, min(loaded_at) AS got FROM inf_files GROUP BY file_id),
 d AS (SELECT DISTINCT o.file_id, f.got, coalesce(CAST(xpos AS VARCHAR), '') || ' ' || coalesce(CAST(ypos AS VARCHAR), '') || ' ' || coalesce(CAST(zpos AS VARCHAR), '') || ' ' || coalesce(CAST(weight AS VARCHAR), '') AS t FROM once o JOIN f ON o.file_id = f.file_id),

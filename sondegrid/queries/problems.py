@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from sondegrid.operators.compaction import consolidate, data_records, landed, redundant, redundant_sets, without_redundant
+from pyspark.sql import DataFrame, functions as F
+
+from sondegrid.operators.compaction import compact, consolidate, data_records, landed, redundant, redundant_sets, without_redundant
 from sondegrid.operators.lineparse import parse_lines
 from sondegrid.operators.packed import split_packed
 from sondegrid.operators.proximity import inside, near_pairs, regions
 from sondegrid.operators.spikes import faulty
 from sondegrid.operators.units import to_millimetres
-from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P5_NUMBERS, P7
+from sondegrid.queries._problem_sql import P1, P2, P2_COMPACTED, P2_SMALL_FILES, P2_SOUNDINGS, P3, P4, P4_FAULTS, P5, P5_NUMBERS, P7
 from sondegrid.session import fresh_path, materialize
 
 
@@ -37,6 +39,22 @@ def p2_files(spark, d):
     return t.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("records"), F.sum(F.length("line")).alias("chars"))
 
 
+def p2_small_files(spark, d):
+    """Lines that arrive twice as files of at most 2,000 lines: records and characters after the first arrival, after another run
+    without new files, and after the second arrival, always with one checkpoint."""
+    root = fresh_path(spark, "arrivals")
+    src, out, mark = (f"{root}/{x}" for x in ("files", "data", "checkpoint"))
+    lines = _table(spark, d, "raw_lines").select("raw_id", "line_no", "line")
+    points = _table(spark, d, "raw_files").where("fmt = 168").select("raw_id").distinct()
+    steps = []
+    for name, arrival in (("first", lines.join(points, "raw_id", "left_semi")), ("again", None), ("all", lines.join(points, "raw_id", "left_anti"))):
+        if arrival is not None:
+            arrival.write.mode("append").option("maxRecordsPerFile", 2000).parquet(src)
+        kept = compact(spark, src, out, mark, lines.schema, files_per_batch=200)
+        steps.append(materialize(kept.agg(F.lit(name).alias("step"), F.count("*").alias("records"), F.sum(F.length("line")).alias("chars")), "arrival"))
+    return reduce(DataFrame.unionByName, steps)
+
+
 def p2_soundings(spark, d):
     """Records that remain of each data file: each sounding once, without the files that only repeat another one's."""
     values = ["xpos", "ypos", "zpos", "weight"]
@@ -93,13 +111,14 @@ def p7_found(spark, d):
     return near.unionByName(held)
 
 
-QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid, "p5_numbers": p5_numbers}
+QUERIES = {"p2_found": p2_found, "p2_compacted": p2_compacted, "p2_files": p2_files, "p2_soundings": p2_soundings, "p2_small_files": p2_small_files, "p7_found": p7_found, "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_faults": p4_faults, "p4_unusual": p4_unusual, "p5_found": p5_found, "p5_valid": p5_valid, "p5_numbers": p5_numbers}
 
 SQL = {
     "p1_found": P1,
     "p2_found": P2,
     "p2_compacted": P2_COMPACTED,
     "p2_soundings": P2_SOUNDINGS,
+    "p2_small_files": P2_SMALL_FILES,
     "p3_found": P3,
     "p4_found": P4,
     "p4_faults": P4_FAULTS,

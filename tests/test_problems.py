@@ -119,6 +119,40 @@ def test_redundant_random(spark):
     lines = spark.createDataFrame([(i, n + 1, t) for i, s in sets.items() for n, t in enumerate(sorted(s))], "raw_id bigint, line_no int, line string")
     want = sorted((i,) for i, s in sets.items() if any(s <= o and (s != o or j < i) for j, o in sets.items() if j != i))
     assert sorted(got(compaction.redundant(lines, files))) == want
+    d = compaction.data_lines(lines, files)
+    for probes in (0, 50):
+        assert sorted(got(compaction.redundant_sets(d, probes))) == want
+
+
+def test_redundant_sets_with_one_rarest_line(spark):
+    # 400 sets whose rarest line is the same: their probes go on to further lines instead of meeting each other
+    sets = {i: {0, 10_000 + i // 2, 20_000 + i // 4, 30_000 + i % 3} for i in range(400)} | {1000 + i: {0, 10_000 + i, 20_000 + i // 2, 30_000, 30_001, 30_002, 5} for i in range(0, 100, 7)}
+    rows = [(i, T0 + dt.timedelta(seconds=i), h) for i, s in sets.items() for h in s]
+    want = sorted((i,) for i, s in sets.items() if any(s <= o and (s != o or j < i) for j, o in sets.items() if j != i))
+    assert sorted(got(compaction.redundant_sets(spark.createDataFrame(rows, "raw_id bigint, fetched_at timestamp, h bigint"), 100))) == want
+
+
+def test_small_batches_are_merged(spark, tmp_path):
+    src, out, cp = (f"file://{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    schema = "raw_id bigint, line_no int, line string"
+    for k in range(5):
+        spark.range(k * 10, k * 10 + 10).selectExpr("id AS raw_id", "cast(id as int) AS line_no", "string(id) AS line").coalesce(1).write.mode("append").parquet(src)
+        r = compaction.compact(spark, src, out, cp, schema)
+        assert (r.count(), r.distinct().count()) == (10 * k + 10,) * 2
+    assert [x[:2] for x in compaction.live(spark, out)] == [(0, 4)] and len(r.inputFiles()) == 1
+    # a merge that was cut off: without its sign of completion it counts for nothing, and is made again
+    import os
+
+    os.remove(f"{tmp_path}/out/batch=000000000000-000000000004/_SUCCESS")
+    assert compaction.live(spark, out) == []
+    os.rename(f"{tmp_path}/out/batch=000000000000-000000000004", f"{tmp_path}/out/batch=000000000000-000000000003")
+    open(f"{tmp_path}/out/batch=000000000000-000000000003/_SUCCESS", "w").close()
+    spark.range(50, 60).selectExpr("id AS raw_id", "cast(id as int) AS line_no", "string(id) AS line").write.parquet(f"{out}/batch=000000000004")
+    assert compaction.compact(spark, src, out, cp, schema, small=0).count() == 60
+    assert compaction.compact(spark, src, out, cp, schema).count() == 60 and [x[:2] for x in compaction.live(spark, out)] == [(0, 4)]
+    # a folder that a complete merge covers no longer counts, should its removal have been cut off
+    spark.range(3).selectExpr("id AS raw_id", "1 AS line_no", "'x' AS line").write.parquet(f"{out}/batch=000000000002")
+    assert compaction.compact(spark, src, out, cp, schema).count() == 60
 
 
 def test_compactor_resumes_without_repeats(spark, tmp_path):
