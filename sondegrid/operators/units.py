@@ -1,7 +1,10 @@
 """Quantities in different units: an alias dictionary of the distinct spellings, joined to all rows.
 
 Distinct texts are cut into phrases of one to three words. Each distinct phrase is looked up in a lexicon through an
-inverted index of character n-grams; candidates are verified by a weighted edit distance. A text means the unit and the
+inverted index of character n-grams; candidates are verified by a weighted edit distance. The n-grams are single characters
+numbered by occurrence, because of them an edit destroys at most one (a swap of neighbours destroys every 2-gram around it,
+so that no count of 2-grams follows from the distance); an alias is a candidate unless more are missing than the distance
+allows edits, which leaves no spelling out that the verification would accept. A text means the unit and the
 direction of its longest phrase that is known, the earliest of equally long ones.
 """
 
@@ -34,8 +37,8 @@ DIRECTIONS = ("up", "down")
 #: Metres a unit (fixed values).
 METRES = {"metre": 1.0, "degree": 1.0, "decimetre": 0.1, "centimetre": 0.01, "millimetre": 0.001, "foot": 0.3048, "us_foot": 1200 / 3937, "fathom": 1.8288}
 LIKENESS = 0.2
-#: Characters of the index's n-grams; two, so that a swap of neighbours in a short word leaves enough in common.
-GRAM = 2
+#: The least cost of an edit, and the letters below which a word must be spelt exactly.
+EDIT, SHORT = 0.5, 5
 
 
 def distance(a: str, b: str) -> float:
@@ -65,21 +68,24 @@ def unlikeness(phrase: str, alias: str) -> float | None:
     total = 0.0
     for x, y in zip(a, b):
         if x != y:
-            if len(y) < 5 or abs(len(x) - len(y)) > 2 or (d := distance(x, y)) > LIKENESS * len(y):
+            if len(y) < SHORT or abs(len(x) - len(y)) > 2 or (d := distance(x, y)) > LIKENESS * len(y):
                 return None
             total += d
     return total
 
 
 def lexicon(spark) -> DataFrame:
-    """(alias, meaning): the fixed list above, some 50 rows."""
+    """(alias, meaning, need): the fixed list above, some 50 rows, and the characters a spelling of the alias has at least."""
     pairs = [(a, m) for m, words in LEXICON.items() for a in words.split()] + [(a, m) for m, all_ in PHRASES.items() for a in all_]
-    return spark.createDataFrame(pairs, "alias string, meaning string")
+    need = lambda a: sum(len(w) - (int(LIKENESS * len(w) / EDIT + 1e-9) if len(w) >= SHORT else 0) for w in a.split(" "))
+    return spark.createDataFrame([(a, m, need(a)) for a, m in pairs], "alias string, meaning string, need int")
 
 
 def _grams(c: str) -> Column:
-    padded = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: padded.substr(i, F.lit(GRAM))))
+    """The characters of a phrase, each with the number of its occurrence."""
+    chars = F.split(F.replace(F.col(c), F.lit(" "), F.lit("")), "")
+    chars = F.filter(chars, lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
 
 
 def alias_dictionary(texts: DataFrame, text_col: str) -> DataFrame:
@@ -90,10 +96,10 @@ def alias_dictionary(texts: DataFrame, text_col: str) -> DataFrame:
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + n - 1 <= F.size("w")), lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))))
     said = d.select("text", F.explode(spans).alias("s")).select("text", "s.n", "s.i", "s.phrase")
     phrases = said.select("phrase").distinct()
-    index = lexicon(spark).withColumn("size", F.size(_grams("alias"))).withColumn("g", F.explode(_grams("alias")))
+    index = lexicon(spark).withColumn("g", F.explode(_grams("alias")))
     asked = phrases.withColumn("g", F.explode(_grams("phrase")))
-    near = asked.join(index, "g").groupBy("phrase", "alias", "meaning").agg(F.count("*").alias("common"), F.max("size").alias("size"))
-    near = near.where(F.col("common") * 3 >= F.col("size"))
+    near = asked.join(index, "g").groupBy("phrase", "alias", "meaning").agg(F.count("*").alias("common"), F.max("need").alias("need"))
+    near = near.where("common >= need")
 
     @F.pandas_udf("double")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -131,13 +137,13 @@ def _factor(unit: Column) -> Column:
 
 
 def to_millimetres(marks: DataFrame, units: DataFrame) -> DataFrame:
-    """(mark_id, z_mm, h_mm) of each mark with finite zpos and h_unc.
+    """(mark_id, z_mm, h_mm) of each mark with finite zpos and h_unc; a result beyond the range of a bigint is null.
 
     Null, NaN and infinite values give no row; a text that names no known unit counts as missing; rows that repeat a mark_id
     count once; a null mark_id is one mark; other columns are left out; an empty table gives no rows."""
     cols = ["zpos", "h_unc", "z_scale", "epsg", "vdatum", "hdatum"]
     m = marks.select("mark_id", *cols).groupBy("mark_id").agg(F.min(F.struct(*cols)).alias("r")).select("mark_id", "r.*")
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e15)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     m = m.where(finite("zpos") & finite("h_unc")).withColumn("number", number(F.col("z_scale")))
     m = materialize(m, "unit-marks")  # read three times below
     said = [m.where("number is null").select(F.col("z_scale").alias("t")), m.select(F.col("vdatum").alias("t")), m.select(F.col("hdatum").alias("t"))]
@@ -151,4 +157,4 @@ def to_millimetres(marks: DataFrame, units: DataFrame) -> DataFrame:
     way = F.coalesce("z_scale_way", "vdatum_way", "v_way", F.lit("up"))
     z = F.when(F.col("number").isNotNull(), F.col("zpos") * F.col("number")).otherwise(F.col("zpos") * F.coalesce(_factor(unit), F.lit(1.0)) * F.when(way == "down", -1).otherwise(1))
     h = F.col("h_unc") * F.coalesce(_factor(F.coalesce("hdatum_unit", "h_unit", F.lit("metre"))), F.lit(1.0))
-    return m.select("mark_id", F.round(z * 1000).cast("bigint").alias("z_mm"), F.round(h * 1000).cast("bigint").alias("h_mm"))
+    return m.select("mark_id", F.round(z * 1000).try_cast("bigint").alias("z_mm"), F.round(h * 1000).try_cast("bigint").alias("h_mm"))

@@ -211,6 +211,37 @@ def test_distance():
     assert units.unlikeness("up feet", "us feet") is None and units.unlikeness("m", "mm") is None
 
 
+def test_no_accepted_spelling_is_left_out_by_the_index(spark):
+    rng = random.Random(8)
+    aliases = [r["alias"] for r in units.lexicon(spark).collect()]
+    spelt = set()
+    while len(spelt) < 3000:
+        a = rng.choice([x for x in aliases if len(x) > 4])
+        w = list(a)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            if kind == 0 and i:
+                w[i - 1], w[i] = w[i], w[i - 1]
+            elif kind == 1:
+                w[i] = rng.choice("aeioumtr")
+            elif kind == 2 and len(w) > 3:
+                del w[i]
+            else:
+                w.insert(i, w[i])
+        t = "".join(w)
+        if " " not in t.strip() and t not in aliases and any(units.unlikeness(t, x) is not None for x in aliases):
+            spelt.add(t)
+    d = {r["text"] for r in units.alias_dictionary(spark.createDataFrame([(t,) for t in spelt], "t string"), "t").collect()}
+    assert d == spelt
+
+
+def test_units_of_huge_values(spark):
+    u = spark.createDataFrame(CODES, "epsg int, axis string, unit string, positive string")
+    m = spark.createDataFrame([(1, 0.0, 1e15, 1e300, "1", None, None, None, "x")], MARKS)
+    assert got(units.to_millimetres(m, u)) == [(1, 10**18, None)]
+
+
 # --- 4: spikes -------------------------------------------------------------------------------------------------------
 SOUND = "sounding_id bigint, file_id bigint, source_id int, line_no int, zpos double, z double"
 SRC = "source_id int, lower_limit double, upper_limit double"
