@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondegrid.grid import GridSpec
+from sondegrid.session import materialize
 
 K = ["row", "col"]
 
@@ -70,26 +71,39 @@ def outliers(cells: DataFrame, n: int, factor: float = 1.5) -> DataFrame:
     return g.join(f, ["trow", "tcol"]).where(beyond("v", "qv") & beyond("g", "qg")).select(*K, "v")
 
 
-def outliers_iterated(cells: DataFrame, spec: GridSpec, n: int, step: int, factor: float = 1.5, rounds: int = 20) -> DataFrame:
-    """Overlapping windows, repeated within each until nothing is beyond both fences; a cell found in any window is dropped.
-    Windows are spread over tasks; a window holds n by n cells."""
-    up = int(math.ceil(n / step))
-    k = F.sequence(F.greatest(F.lit(0), F.floor(F.col("row") / step).cast("int") - up + 1), F.floor(F.col("row") / step).cast("int"))
-    c = F.sequence(F.greatest(F.lit(0), F.floor(F.col("col") / step).cast("int") - up + 1), F.floor(F.col("col") / step).cast("int"))
-    d = cells.where("v is not null").select(*K, F.col("v").cast("double").alias("v")).withColumn("wr", F.explode(k)).withColumn("wc", F.explode(c))
+def outliers_iterated(cells: DataFrame, spec: GridSpec, n: int | None = None, step: int | None = None, factor: float = 1.5, threshold: float | None = None, slope_threshold: float | None = None) -> DataFrame:
+    """Overlapping windows of n by n cells (0.5 % of the columns, at least 10) at every step (a quarter of n). In a window whose
+    values' standard deviation reaches the threshold (that of the grid), or whose gradient's does, cells beyond the fences of
+    both value and gradient are dropped, again and again until there are none. Windows are judged apart from each other, so
+    they can be spread over tasks; a cell found in any window is dropped from the grid."""
+    n = n or max(10, int(spec.nx * 0.005))
+    step = step or max(1, n // 4)
+    last = [max(1, math.ceil(max(size - n, 0) / step) + 1) - 1 for size in (spec.ny, spec.nx)]
+    if threshold is None:
+        threshold = cells.agg(F.stddev_pop(F.col("v").cast("double"))).first()[0] or 0.0
+    slope_threshold = threshold if slope_threshold is None else slope_threshold
+
+    def under(c: str, most: int):
+        at = F.floor(F.col(c) / step).cast("int")
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.least(at - math.ceil(n / step) + 1, F.lit(most))), F.least(at, F.lit(most))))
+
+    d = cells.where("v is not null").select(*K, F.col("v").cast("double").alias("v")).withColumn("wr", under("row", last[0])).withColumn("wc", under("col", last[1]))
     d = d.where((F.col("row") < F.col("wr") * step + n) & (F.col("col") < F.col("wc") * step + n))
+    ny, nx, none = spec.ny, spec.nx, pd.DataFrame({"row": [], "col": []}).astype("int32")
 
     def run(key, p: pd.DataFrame) -> pd.DataFrame:
-        a = np.full((n, n), np.nan)
+        a = np.full((min(n, ny - key[0] * step), min(n, nx - key[1] * step)), np.nan)
         r, cc = p["row"].to_numpy() - key[0] * step, p["col"].to_numpy() - key[1] * step
         a[r, cc] = p["v"]
-        found = np.zeros((n, n), bool)
-        for _ in range(rounds):
+        if min(a.shape) < 2 or (a == a[0]).all():
+            return none
+        found = np.zeros(a.shape, bool)
+        while True:  # each round drops a cell or is the last
             slope = np.gradient(a, axis=0)
-            bad = np.ones((n, n), bool)
+            if np.isnan(a).all() or np.isnan(slope).all() or (np.nanstd(a) < threshold and np.nanstd(slope) < slope_threshold):
+                break
+            bad = np.ones(a.shape, bool)
             for m in (a, slope):
-                if np.isnan(m).all():
-                    return pd.DataFrame({"row": [], "col": []}).astype("int32")
                 lo, hi = np.nanpercentile(m, [25, 75])
                 with np.errstate(invalid="ignore"):
                     bad &= (m > hi + factor * (hi - lo)) | (m < lo - factor * (hi - lo))
@@ -173,8 +187,9 @@ def proximity(cells: DataFrame, spec: GridSpec) -> DataFrame:
     return d.groupBy("row").applyInPandas(run, "row int, col int, d2 bigint").select(*K, F.when(F.col("d2") >= 0, F.col("d2")).alias("d2"))
 
 
-def fill_nodata(cells: DataFrame, spec: GridSpec, reach: int = 100) -> DataFrame:
-    """Cells without data get the inverse-distance mean of the nearest data in the four directions within reach."""
+def fill_nodata(cells: DataFrame, spec: GridSpec, reach: int = 100, smooth: int = 0) -> DataFrame:
+    """Cells without data get the inverse-distance mean of the nearest data in the four directions within reach; then the filled
+    cells are ``smooth`` times replaced by the mean of the three by three cells around them that have a value."""
     full = spec.lattice(cells.sparkSession).join(cells, K, "left")
     out = full
     for name, by, along, sign in (("u", "col", "row", 1), ("d", "col", "row", -1), ("l", "row", "col", 1), ("r", "row", "col", -1)):
@@ -184,7 +199,13 @@ def fill_nodata(cells: DataFrame, spec: GridSpec, reach: int = 100) -> DataFrame
     ok = lambda n: F.col(f"_{n}d") <= reach
     total = lambda f: sum((F.when(ok(n), f(n)).otherwise(F.lit(0.0)) for n in "udlr"), F.lit(0.0))
     num, den = total(lambda n: F.col(f"_{n}.v") / F.nullif(F.col(f"_{n}d"), F.lit(0))), total(lambda n: 1 / F.nullif(F.col(f"_{n}d").cast("double"), F.lit(0.0)))
-    return out.select(*K, F.coalesce(F.col("v").cast("double"), num / F.nullif(den, F.lit(0.0))).alias("v"))
+    out = out.select(*K, F.coalesce(F.col("v").cast("double"), num / F.nullif(den, F.lit(0.0))).alias("v"), F.col("v").isNull().alias("filled"))
+    ring = [(r, c, 1.0) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    for _ in range(smooth):
+        out = materialize(out, "filled")
+        mean = spread(out.where("v is not null"), spec, ring).groupBy(*K).agg(F.avg("v").alias("m"))
+        out = out.join(mean, K, "left").select(*K, F.when(F.col("filled") & F.col("v").isNotNull(), F.col("m")).otherwise(F.col("v")).alias("v"), "filled")
+    return out.select(*K, "v")
 
 
 def resample(cells: DataFrame, spec: GridSpec, target: GridSpec) -> DataFrame:

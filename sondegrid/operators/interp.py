@@ -86,9 +86,9 @@ def _spread(c: str, f: int, tile: int, halo: int, n: int):
     return F.explode(F.sequence(F.greatest(F.lit(0), lo.cast("int")), F.least(F.lit((n - 1) // tile), hi.cast("int"))))
 
 
-def relax(u: np.ndarray, fixed: np.ndarray, tension: float, rounds: int = 1000, tol: float = 1e-6) -> np.ndarray:
+def relax(u: np.ndarray, fixed: np.ndarray, tension: float, rounds: int = 100_000, tol: float = 1e-6) -> np.ndarray:
     """Continuous-curvature spline in tension: fixed cells stay, the others relax from their start values to the discrete
-    equation (1 - t) biharmonic - t harmonic = 0 by damped sweeps, until none moves by more than tol times the range."""
+    equation (1 - t) biharmonic - t harmonic = 0 by damped sweeps, until none moves by more than tol times the range; an error if that isn't reached."""
     tol *= max(np.ptp(u[fixed]) if fixed.any() else 0.0, 1e-12)
     for _ in range(rounds):
         p = np.pad(u, 2, mode="edge")
@@ -100,8 +100,8 @@ def relax(u: np.ndarray, fixed: np.ndarray, tension: float, rounds: int = 1000,
         change = np.abs(new - u).max()
         u = new
         if change < tol:
-            break
-    return u
+            return u
+    raise ArithmeticError(f"no surface after {rounds} rounds")
 
 
 def _wider(tension: float, s: int) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -41,18 +43,23 @@ def fit_power(x: np.ndarray, y: np.ndarray, powers: np.ndarray | None = None) ->
 
 
 def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins: int = 10) -> tuple[float, float, float]:
-    """Coefficients of the error by distance: at most ``bins`` bins, fewer until none is empty; the rows are at most that many.
-    Without errors it is the guess."""
-    while bins > 1:
-        b = binned_std(errors, x, e, bins).orderBy("bin").collect()
-        if len(b) == bins:
-            break
-        bins -= 1
-    else:
-        b = binned_std(errors, x, e, 1).collect()
-    if not b:
+    """Coefficients of the error by distance: at most ``bins`` bins, fewer until none is empty. One scan counts in bins so fine
+    that each number of bins is made of whole ones. Without errors it is the guess."""
+    fine = math.lcm(*range(1, bins + 1))
+    d = errors.select(F.col(x).cast("double").alias("x"), F.col(e).cast("double").alias("e")).where("x is not null and e is not null")
+    lo, hi = d.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
         return GUESS
-    return fit_power(np.array([r["x"] for r in b]), np.array([r["std"] for r in b]))
+    at = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit((hi - lo) or 1.0) * fine).cast("int"), F.lit(fine - 1))
+    got = d.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("ss")).collect()  # at most ``fine`` rows
+    sums = np.zeros((fine, 3))
+    for r in got:
+        sums[r["bin"]] = r["n"], r["s"], r["ss"]
+    for k in range(bins, 0, -1):
+        n, s, ss = sums.reshape(k, fine // k, 3).sum(1).T
+        if n.all():
+            break
+    return fit_power(lo + np.arange(1, k + 1) * (hi - lo) / k, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0)))
 
 
 def tile_stats(cells: DataFrame, n: int, p: float = 0.95) -> DataFrame:

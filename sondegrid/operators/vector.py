@@ -12,11 +12,11 @@ from sondegrid.session import materialize
 K = ["row", "col"]
 
 
-def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame) -> DataFrame:
     """(row, col, v, label): 4-connected parts of equal value, labelled by their least row * 2^32 + col.
 
     Labels travel along edges by least label, and each round also jumps to the label of the label, so rounds grow with the
-    logarithm of a part's length; every round is written to the shared folder."""
+    logarithm of a part's length; they end when no label changes. Every round is written to the shared folder."""
     key = lambda r, c: F.col(r).cast("bigint") * F.lit(1 << 32) + F.col(c)
     base = cells.where("v is not null").select(*K, "v", key("row", "col").alias("id"))
     shift = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 1), (1, 0))]))
@@ -24,7 +24,7 @@ def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = moved.join(base.select(*K, "v", F.col("id").alias("b")), K).where("v = w").select("a", "b")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "parts-edges")
     lab = materialize(base.select("id", F.col("id").alias("label")), "parts-labels")
-    for _ in range(max_rounds):
+    while True:
         near = e.join(lab, e["b"] == lab["id"]).select(F.col("a").alias("id"), "label")
         new = lab.unionByName(near).groupBy("id").agg(F.min("label").alias("label"))
         # the roots learn what their members found, then all jump

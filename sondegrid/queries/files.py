@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sondegrid import sinks
 from sondegrid.operators import cells as C
-from sondegrid.queries._base import CELLS, KEPT, PTS, SPEC, Registry, pts
+from sondegrid.queries._base import CELLS, KEPT, LATTICE, PTS, SPEC, Registry, pts
 from sondegrid.session import fresh_path, materialize
 from sondegrid.sources import archive, las
 
@@ -21,24 +19,10 @@ def las_points(spark, d):
     """The points as LAS files in the shared folder, read through the data source."""
     p = pts(spark, d).select("x", "y", (F.col("zc") / F.lit(1000.0)).alias("z"), (F.col("pid") % 4 + 1).cast("int").alias("return_num"), (F.col("pid") % 31).cast("int").alias("classification"), F.col("w").cast("int").alias("intensity"))
     path = fresh_path(spark, "las")
-    local = path.removeprefix("file://")
-
-    def save(batches):
-        import os
-
-        for b in batches:
-            for i, c in enumerate(b["content"]):
-                os.makedirs(local, exist_ok=True)
-                name = f"{local}/{zlib.crc32(c):08x}-{len(c)}.las"  # by content, so a retry replaces
-                with open(name + ".part", "wb") as f:
-                    f.write(c)
-                os.replace(name + ".part", name)
-                yield pd.DataFrame({"n": [int(b["n"].iloc[i])]})
-
-    sinks.las_files(p.repartition(8, "x", "y")).mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+    files = sinks.las_files(p.repartition(8, "x", "y")).select(F.concat(F.sha1("content"), F.lit(".las")).alias("name"), "content")  # by content, so a retry replaces
+    sinks.write_files(files, path)
     las.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("las").load(local)
+    return spark.read.format("las").load(path)
 
 
 @q("sc20_las_points", f"WITH {PTS} SELECT count(*) AS n, CAST(sum(zc) AS BIGINT) AS s, round(min(x), 4) AS x0, round(max(y), 4) AS y1 FROM pts")
@@ -88,25 +72,23 @@ def _(spark, d):
     return spark.createDataFrame([(same and recs[1]["data"] == b"abc", len(recs))], "same boolean, records int")
 
 
-@q("sc09_archive_points", f"WITH {PTS} SELECT count(*) AS n, CAST(sum(zc) AS BIGINT) AS s, CAST(sum(w) AS BIGINT) AS w FROM (SELECT zc, 3 AS w FROM pts WHERE src % 5 = 0)")
+@q("sc09_archive_points", f"WITH {PTS} SELECT count(*) AS n, CAST(sum(zc) AS BIGINT) AS s, CAST(sum(w) AS BIGINT) AS w FROM (SELECT zc, 3 AS w FROM pts)")
 def _(spark, d):
     import io
     import zipfile
 
-    path = fresh_path(spark, "archive").removeprefix("file://")
-    lines = pts(spark, d).where("src % 5 = 0").select(F.pmod("pid", F.lit(8)).alias("part"), F.format_string("%.4f %.4f %d", "x", "y", "zc").alias("line"))
-
-    def save(key, p: pd.DataFrame) -> pd.DataFrame:
-        import os
+    path = fresh_path(spark, "archive")
+    lines = pts(spark, d).select(F.pmod(F.xxhash64("pid"), F.lit(64)).alias("part"), F.format_string("%.4f %.4f %d", "x", "y", "zc").alias("line"))
 
-        os.makedirs(path, exist_ok=True)
-        with zipfile.ZipFile(f"{path}/{key[0]}.zip", "w") as z:
+    def pack(key, p: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
             z.writestr(f"a{key[0]}.xyz", "\n".join(p["line"]))
             z.writestr("readme.txt", "no points")
-        return pd.DataFrame({"n": [len(p)]})
+        return pd.DataFrame({"name": [f"{key[0]}.zip"], "content": [raw.getvalue()]})
 
-    lines.groupBy("part").applyInPandas(save, "n bigint").agg(F.sum("n")).collect()
-    p = archive.archive_points(spark, f"file://{path}", 3.0)
+    sinks.write_files(lines.groupBy("part").applyInPandas(pack, "name string, content binary"), path)
+    p = archive.archive_points(spark, path, 3.0)
     return p.agg(F.count("*").alias("n"), F.sum(F.col("z").cast("bigint")).alias("s"), F.sum("w").cast("bigint").alias("w"))
 
 
@@ -137,14 +119,25 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("chunk_row", "chunk_col").agg(F.count("*").alias("n"))
 
 
-@q("wn11_fill_nodata", f"WITH {CELLS} SELECT 400 AS filled, count(*) AS kept FROM cells WHERE n % 3 <> 0")
+_NEAR = """e AS (SELECT row, col, n AS v FROM cells WHERE n % 3 <> 0),
+ near AS (SELECT l.row, l.col, max(CASE WHEN l.row = e.row AND l.col = e.col THEN v END) AS own, arg_max(v, e.row) FILTER (WHERE e.col = l.col AND e.row < l.row) AS u, l.row - max(e.row) FILTER (WHERE e.col = l.col AND e.row < l.row) AS ud,
+ arg_min(v, e.row) FILTER (WHERE e.col = l.col AND e.row > l.row) AS d, min(e.row) FILTER (WHERE e.col = l.col AND e.row > l.row) - l.row AS dd, arg_max(v, e.col) FILTER (WHERE e.row = l.row AND e.col < l.col) AS f, l.col - max(e.col) FILTER (WHERE e.row = l.row AND e.col < l.col) AS fd,
+ arg_min(v, e.col) FILTER (WHERE e.row = l.row AND e.col > l.col) AS g, min(e.col) FILTER (WHERE e.row = l.row AND e.col > l.col) - l.col AS gd FROM lattice l JOIN e ON e.row = l.row OR e.col = l.col GROUP BY l.row, l.col),
+ filled AS (SELECT row, col, own IS NULL AS new, coalesce(own, (coalesce(u / CAST(ud AS DOUBLE), 0) + coalesce(d / CAST(dd AS DOUBLE), 0) + coalesce(f / CAST(fd AS DOUBLE), 0) + coalesce(g / CAST(gd AS DOUBLE), 0)) / (coalesce(1.0E0 / ud, 0) + coalesce(1.0E0 / dd, 0) + coalesce(1.0E0 / fd, 0) + coalesce(1.0E0 / gd, 0))) AS v FROM near)"""
+
+
+@q("wn11_fill_nodata", f"WITH {CELLS}, {LATTICE}, {_NEAR} SELECT row, col, round(v, 6) AS v FROM filled")
+def _(spark, d):
+    from sondegrid.operators.focal import fill_nodata
+
+    return fill_nodata(C.count(pts(spark, d), SPEC).where("v % 3 <> 0"), SPEC).select(*K, F.round("v", 6).alias("v"))
+
+
+@q("wn11_fill_smoothed", f"WITH {CELLS}, {LATTICE}, {_NEAR}, s AS (SELECT a.row, a.col, CASE WHEN any_value(a.new) THEN avg(b.v) ELSE any_value(a.v) END AS v FROM filled a JOIN filled b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col) SELECT row, col, round(v, 5) AS v FROM s")
 def _(spark, d):
     from sondegrid.operators.focal import fill_nodata
 
-    c = C.count(pts(spark, d), SPEC).where("v % 3 <> 0")
-    f = fill_nodata(c, SPEC)
-    same = f.join(c.withColumnRenamed("v", "o"), K, "left")
-    return same.agg(F.count("v").cast("int").alias("filled"), F.sum((F.col("v") == F.col("o")).cast("bigint")).alias("kept"))
+    return fill_nodata(C.count(pts(spark, d), SPEC).where("v % 3 <> 0"), SPEC, smooth=1).select(*K, F.round("v", 5).alias("v"))
 
 
 @q("gr11_composite", "SELECT true AS filled, true AS held")

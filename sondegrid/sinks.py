@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +125,25 @@ def las_files(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([len(d)], pa.int64()), pa.array([las_header(len(d), box, counts, 1, scale) + a.tobytes()], pa.binary())], ["n", "content"])
 
     return points.select(*cols).mapInArrow(run, "n bigint, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (name, content) as files of a folder on any file system that pyarrow knows; returns their number. Each is written
+    aside and then moved, so a retried task replaces what it wrote."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        n = 0
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs, root = pafs.FileSystem.from_uri(folder)
+                fs.create_dir(root, recursive=True)
+                aside = f"{root}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as f:
+                    f.write(content)
+                fs.move(aside, f"{root}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("name", "content").mapInArrow(save, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -52,20 +52,22 @@ def _key(path: Column) -> Column:
     return F.when(F.size(parts) == 1, F.element_at(F.split(path, ":"), 1)).otherwise(F.element_at(parts, -1))
 
 
-def walk(edges: DataFrame, root, max_depth: int = 32) -> DataFrame:
+def walk(edges: DataFrame, root) -> DataFrame:
     """(parent, path, fmt, weight, depth) of all entries below a root, weights multiplied along the way; ``edges`` has parent,
-    path, fmt, weight. One join a level; a path that occurs twice is walked once a level, so cycles end at max_depth."""
-    spark = edges.sparkSession
-    level = edges.where(F.col("parent") == F.lit(root)).withColumn("depth", F.lit(1))
-    out = [level]
+    path, fmt, weight. One join a level, to any depth. A list that is named several times is walked for each naming, with its
+    weight; one that names itself, directly or by others, isn't walked again below itself."""
+    level = edges.where(F.col("parent") == F.lit(root)).withColumn("depth", F.lit(1)).withColumn("_above", F.array(F.col("parent")))
+    out = [level.drop("_above")]
     e = edges.select(F.col("parent").alias("_p"), F.col("path").alias("_c"), F.col("fmt").alias("_f"), F.col("weight").alias("_w"))
-    for depth in range(2, max_depth + 1):
-        lists = level.where("fmt = -1").groupBy("path").agg(F.max("weight").alias("w"))
-        level = lists.join(e, F.col("path") == F.col("_p")).select(F.col("_p").alias("parent"), F.col("_c").alias("path"), F.col("_f").alias("fmt"), (F.col("w") * F.col("_w")).alias("weight"), F.lit(depth).alias("depth"))
+    depth = 1
+    while True:
+        depth += 1
+        lists = level.where((F.col("fmt") == -1) & ~F.array_contains("_above", F.col("path"))).select("path", F.col("weight").alias("w"), F.array_append("_above", F.col("path")).alias("_above"))
+        level = lists.join(e, F.col("path") == F.col("_p")).select(F.col("_p").alias("parent"), F.col("_c").alias("path"), F.col("_f").alias("fmt"), (F.col("w") * F.col("_w")).alias("weight"), F.lit(depth).alias("depth"), "_above")
         level = materialize(level, "datalist-level")
         if level.isEmpty():
             break
-        out.append(level)
+        out.append(level.drop("_above"))
     return union_all(out).where("fmt <> -1")
 
 

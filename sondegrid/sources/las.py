@@ -1,9 +1,11 @@
-"""LAS files (point formats 0 and 1): a data source that reads byte ranges as Arrow batches."""
+"""LAS files (point formats 0 to 10): a data source that reads shares of files as Arrow batches.
+
+The driver only lists files and their sizes; each task opens its file, reads the header, and takes its share of the points.
+Paths may be of any file system that pyarrow knows."""
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 import struct
 
 import numpy as np
@@ -22,9 +24,12 @@ HEADER_FIELDS = [
 _HEADER = struct.Struct("<" + "".join(code for _, code, _ in HEADER_FIELDS))
 _VLR = struct.Struct("<H16sHH32s")
 BASE = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "<u2"), ("r", "u1"), ("c", "u1"), ("s", "i1"), ("u", "u1"), ("p", "<u2")]
-FORMATS = {0: np.dtype(BASE), 1: np.dtype([*BASE, ("g", "<f8")])}
+LATER = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "<u2"), ("r", "u1"), ("f", "u1"), ("c", "u1"), ("u", "u1"), ("s", "<i2"), ("p", "<u2"), ("g", "<f8")]
+#: The leading fields of each point format; what follows them (colours, wave packets) is passed over.
+FORMATS = {0: np.dtype(BASE), 1: np.dtype([*BASE, ("g", "<f8")]), 2: np.dtype(BASE)} | dict.fromkeys((3, 4, 5), np.dtype([*BASE, ("g", "<f8")])) | dict.fromkeys(range(6, 11), np.dtype(LATER))
 SCHEMA = "x double, y double, z double, intensity int, return_num int, classification int, scan_angle int, user_data int, point_source int, gps_time double, path string"
-BLOCK = 1 << 20  # points of a partition
+SHARE = 32 << 20  # bytes of a partition
+_COUNT = struct.Struct("<Q")  # number of points, at byte 247 of headers from version 1.4 on
 
 
 def is_las(content: Column) -> Column:
@@ -51,15 +56,40 @@ def parse_vlrs(raw: bytes, header: dict) -> list[dict]:
     return out
 
 
-class LasRange(InputPartition):
-    def __init__(self, path: str, first: int, n: int):
-        self.path, self.first, self.n = path, first, n
+def _open(path: str):
+    from pyarrow import fs as pafs  # in the tasks only: it starts threads
+
+    fs, name = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path with its scheme, size) of the files at a path: a folder, of which those named *.las count, a pattern, or one file."""
+    from pyarrow import fs as pafs
+
+    path = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    fs, name = pafs.FileSystem.from_uri(path.split("*")[0].split("?")[0].split("[")[0])
+    prefix = path[: path.index(name)]
+    whole, pattern = path[len(prefix) :], name != path[len(prefix) :]
+    if pattern:
+        name = name.rpartition("/")[0]
+    info = fs.get_file_info(name)
+    if info.type == pafs.FileType.File:
+        found = [info]
+    else:
+        found = [f for f in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True, recursive=True)) if f.type == pafs.FileType.File]
+        found = [f for f in found if (fnmatch.fnmatch(f.path, whole) if pattern else f.path.lower().endswith(".las"))]
+    return sorted((prefix + f.path, f.size) for f in found)
+
+
+class LasShare(InputPartition):
+    def __init__(self, path: str, k: int, n: int):
+        self.path, self.k, self.n = path, k, n  # the k-th of n shares
 
 
 class LasReader(DataSourceReader):
     def __init__(self, options: dict):
-        root = options["path"].removeprefix("file://").removeprefix("file:")
-        self.paths = sorted(glob.glob(os.path.join(root, "**", "*.las"), recursive=True)) if os.path.isdir(root) else sorted(glob.glob(root))
+        self.path = options["path"]
         self.lo, self.hi, self.classes = {}, {}, None
 
     def pushFilters(self, filters):
@@ -79,24 +109,27 @@ class LasReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        out = []
-        for p in self.paths:
-            with open(p, "rb") as f:
-                h = parse_header(f.read(_HEADER.size))
-            if any(h[f"{c}max"] < v for c, v in self.lo.items()) or any(h[f"{c}min"] > v for c, v in self.hi.items()):
-                continue
-            out += [LasRange(p, a, min(BLOCK, h["numptrecords"] - a)) for a in range(0, h["numptrecords"], BLOCK)]
-        return out or [LasRange("", 0, 0)]
+        return [LasShare(p, k, n) for p, size in listed(self.path) for n in [max(1, -(-size // SHARE))] for k in range(n)] or [LasShare("", 0, 1)]
 
     def read(self, part):
-        if not part.n:
+        if not part.path:
+            return
+        with _open(part.path) as f:
+            first = f.read(375)
+            h = parse_header(first)
+            if any(h[f"{c}max"] < v for c, v in self.lo.items()) or any(h[f"{c}min"] > v for c, v in self.hi.items()):
+                return
+            if (form := h["pointformat"] & 63) not in FORMATS:
+                raise ValueError(f"unknown point format {form} in {part.path}")
+            n = h["numptrecords"]
+            if (h["vermajor"], h["verminor"]) >= (1, 4) and h["headersize"] >= 375:
+                n = _COUNT.unpack_from(first, 247)[0] or n
+            kind, width = FORMATS[form], h["pointreclen"]
+            begin, end = n * part.k // part.n, n * (part.k + 1) // part.n
+            f.seek(h["offset"] + begin * width)
+            raw = np.frombuffer(f.read((end - begin) * width), np.uint8).reshape(end - begin, width)[:, : kind.itemsize]
+        if not len(raw):
             return
-        with open(part.path, "rb") as f:
-            h = parse_header(f.read(_HEADER.size))
-            kind = FORMATS[h["pointformat"]]
-            width = h["pointreclen"]
-            f.seek(h["offset"] + part.first * width)
-            raw = np.frombuffer(f.read(part.n * width), np.uint8).reshape(part.n, width)[:, : kind.itemsize]
         a = np.ascontiguousarray(raw).view(kind)[:, 0]
         keep = np.ones(len(a), bool)
         xyz = {}
@@ -111,7 +144,7 @@ class LasReader(DataSourceReader):
         a = a[keep]
         whole = lambda v: pa.array(v.astype(np.int32))
         gps = pa.array(a["g"]) if "g" in kind.names else pa.nulls(len(a), pa.float64())
-        cols = [pa.array(xyz[c][keep]) for c in "xyz"] + [whole(a["i"]), whole(a["r"] & 7), whole(a["c"]), whole(a["s"]), whole(a["u"]), whole(a["p"]), gps, pa.array([part.path] * len(a), pa.string())]
+        cols = [pa.array(xyz[c][keep]) for c in "xyz"] + [whole(a["i"]), whole(a["r"] & (15 if form > 5 else 7)), whole(a["c"]), whole(a["s"]), whole(a["u"]), whole(a["p"]), gps, pa.array([part.path] * len(a), pa.string())]
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
