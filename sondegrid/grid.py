@@ -30,6 +30,7 @@ class GridSpec:
     registration: str = "node"
     ndv: float = -9999.0
     epsg: int = 4326
+    border: bool = False  # do points on the border of the region count? those at the places of cells need it
 
     @classmethod
     def from_region(cls, region: Region, inc: float, y_inc: float | None = None, **kw) -> GridSpec:
@@ -66,7 +67,7 @@ class GridSpec:
 
     def index(self, points: DataFrame, strict: bool = True) -> DataFrame:
         """Adds row and col; points outside, and those whose index is beyond the last cell, are dropped."""
-        d = points.where(self.region().contains(strict=True)) if strict else points
+        d = points.where(self.region().contains(strict=not self.border)) if strict else points
         d = d.withColumn("row", self.row()).withColumn("col", self.col())
         return d.where(f"row >= 0 and row < {self.ny} and col >= 0 and col < {self.nx}")
 

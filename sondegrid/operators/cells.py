@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sondegrid.grid import GridSpec
+from sondegrid.operators import ranks
 
 K = ["row", "col"]
 
@@ -54,7 +55,22 @@ def block_centre(points: DataFrame, spec: GridSpec, z: str = "z") -> DataFrame:
 
 
 def block_median(points: DataFrame, spec: GridSpec, z: str = "z") -> DataFrame:
-    return aggregate(points, spec, F.percentile(z, F.lit(0.5)).alias("z"))
+    """Exact medians; a cell of any number of points is never held in one place."""
+    return ranks.percentiles(spec.index(points).select(*K, F.col(z).cast("double").alias("z")), K, "z", {"z": 0.5})
+
+
+def half_medians(points: DataFrame, spec: GridSpec, z: str = "z") -> DataFrame:
+    """(row, col, q1, q3): medians of the two halves of each cell's ordered values, the lower half without its last."""
+    half = lambda n: F.floor(n / 2)
+
+    def places(n: Column) -> Column:
+        below, above = half(n) - 1, n - half(n)  # how many values either half has
+        ends = [("q1", below, F.lit(0)), ("q3", above, half(n))]
+        return F.array(*[F.struct(F.lit(name).alias("name"), (f((m - 1) / 2) + 1 + base).cast("bigint").alias("r"), (m > 0).alias("ok")) for name, m, base in ends for f in (F.floor, F.ceil)])
+
+    found = ranks.order_statistics(spec.index(points).select(*K, F.col(z).cast("double").alias("z")), K, "z", lambda n: F.filter(places(n), lambda x: x["ok"]))
+    # where both ranks are one value it comes once or twice, and the mean is that value
+    return found.groupBy(*K).agg(*[F.avg(F.when(F.col("name") == q, F.col("v"))).alias(q) for q in ("q1", "q3")])
 
 
 def block_lists(points: DataFrame, spec: GridSpec) -> DataFrame:
@@ -88,4 +104,4 @@ def moments(v: str) -> dict[str, Column]:
     """Aggregates of a distribution; skew is that of samples, divided by n - 1."""
     c = F.col(v).cast("double")
     n = F.count(c)
-    return {"n": n, "least": F.min(c), "greatest": F.max(c), "mean": F.avg(c), "std": F.stddev_pop(c), "median": F.percentile(c, F.lit(0.5)), "skew": F.skewness(c) * n / F.nullif(n - 1, F.lit(0)), "kurt": F.kurtosis(c), "rms": F.sqrt(F.avg(c * c))}
+    return {"n": n, "least": F.min(c), "greatest": F.max(c), "mean": F.avg(c), "std": F.stddev_pop(c), "skew": F.skewness(c) * n / F.nullif(n - 1, F.lit(0)), "kurt": F.kurtosis(c), "rms": F.sqrt(F.avg(c * c))}

@@ -201,36 +201,36 @@ def surface(points: DataFrame, spec: GridSpec, tension: float = 0.85, lower: flo
 
 
 def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Triangles (n, 3) of different points by insertion (Bowyer and Watson)."""
+    """Triangles (n, 3), counter-clockwise, of different points by insertion (Bowyer and Watson); none if all lie on a line.
+
+    Each edge of the hull has a triangle with a point at infinity, whose circle is the half-plane beyond the edge. So nothing
+    depends on far away coordinates, and points on a grid are judged exactly."""
     n = len(x)
-    span = max(np.ptp(x), np.ptp(y), 1.0) * 1e5  # far, so that flat triangles along the hull aren't lost
-    mx, my = x.mean(), y.mean()
-    px, py = np.concatenate([x, [mx - span, mx + span, mx]]), np.concatenate([y, [my - span, my - span, my + span]])
-    tri = np.array([[n, n + 1, n + 2]])
-    circ = np.empty((0, 3))
-
-    def circle(t):
-        ax, ay, bx, by, cx, cy = px[t[:, 0]], py[t[:, 0]], px[t[:, 1]], py[t[:, 1]], px[t[:, 2]], py[t[:, 2]]
-        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
-        d = 2 * (bx * cy - by * cx)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ux = ax + (cy * (bx**2 + by**2) - by * (cx**2 + cy**2)) / d
-            uy = ay + (bx * (cx**2 + cy**2) - cx * (bx**2 + by**2)) / d
-        r = (ux - ax) ** 2 + (uy - ay) ** 2
-        return np.column_stack([ux, uy, np.where(np.isfinite(r), r, np.inf)])
-
-    circ = circle(tri)
-    for i in range(n):
-        bad = (circ[:, 0] - px[i]) ** 2 + (circ[:, 1] - py[i]) ** 2 < circ[:, 2] * (1 + 1e-12)
-        if not bad.any():
+    px, py = np.append(x - x.min(), 0.0) if n else x, np.append(y - y.min(), 0.0) if n else y
+    turn = lambda a, b, c: (px[b] - px[a]) * (py[c] - py[a]) - (py[b] - py[a]) * (px[c] - px[a])
+    if n < 3:
+        return np.empty((0, 3), int)
+    third = np.flatnonzero(turn(0, 1, np.arange(n)))
+    if not len(third):
+        return np.empty((0, 3), int)
+    a, b, c = (0, 1, int(third[0])) if turn(0, 1, int(third[0])) > 0 else (1, 0, int(third[0]))
+    tri = np.array([[a, b, c], [b, a, n], [c, b, n], [a, c, n]])
+    for i in range(2, n):
+        if i == c:
             continue
+        u, v, w = tri.T
+        far = w == n
+        ux, uy, vx, vy, wx, wy = px[u] - px[i], py[u] - py[i], px[v] - px[i], py[v] - py[i], px[w] - px[i], py[w] - py[i]
+        circle = (ux * ux + uy * uy) * (vx * wy - vy * wx) + (vx * vx + vy * vy) * (wx * uy - wy * ux) + (wx * wx + wy * wy) * (ux * vy - uy * vx)
+        side = ux * vy - uy * vx  # of the edge u v, seen from the point
+        bad = np.where(far, (side > 0) | ((side == 0) & (ux * vx + uy * vy < 0)), circle > 0)
         e = tri[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-        s = np.sort(e, axis=1)
-        _, at, cnt = np.unique(s, axis=0, return_index=True, return_counts=True)
-        rim = e[at[cnt == 1]]
+        rim = e[~np.isin(e[:, 0] * (n + 1) + e[:, 1], e[:, 1] * (n + 1) + e[:, 0])]
         new = np.column_stack([rim, np.full(len(rim), i)])
-        tri, circ = np.concatenate([tri[~bad], new]), np.concatenate([circ[~bad], circle(new)])
-    return tri[(tri < n).all(axis=1)]
+        new[rim[:, 0] == n] = new[rim[:, 0] == n][:, [1, 2, 0]]  # the point at infinity comes last
+        new[rim[:, 1] == n] = new[rim[:, 1] == n][:, [2, 0, 1]]
+        tri = np.concatenate([tri[~bad], new])
+    return tri[tri[:, 2] < n]
 
 
 def _clip(ring: np.ndarray, axis: int, limit: float, sign: int) -> np.ndarray:

@@ -7,6 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sondegrid.operators import ranks
+
 K = ["row", "col"]
 GUESS = (0.0, 0.1, 0.2)
 
@@ -42,14 +44,14 @@ def fit_power(x: np.ndarray, y: np.ndarray, powers: np.ndarray | None = None) ->
     return best[1:]
 
 
-def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins: int = 10) -> tuple[float, float, float]:
-    """Coefficients of the error by distance: at most ``bins`` bins, fewer until none is empty. One scan counts in bins so fine
-    that each number of bins is made of whole ones. Without errors it is the guess."""
+def error_bins(errors: DataFrame, x: str = "distance", e: str = "error", bins: int = 10) -> tuple[np.ndarray, np.ndarray] | None:
+    """Upper ends and standard deviations of the errors in at most ``bins`` equal bins, fewer until none is empty; None without
+    errors. One scan counts in bins so fine that each number of bins is made of whole ones."""
     fine = math.lcm(*range(1, bins + 1))
     d = errors.select(F.col(x).cast("double").alias("x"), F.col(e).cast("double").alias("e")).where("x is not null and e is not null")
     lo, hi = d.agg(F.min("x"), F.max("x")).first()
     if lo is None:
-        return GUESS
+        return None
     at = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit((hi - lo) or 1.0) * fine).cast("int"), F.lit(fine - 1))
     got = d.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("ss")).collect()  # at most ``fine`` rows
     sums = np.zeros((fine, 3))
@@ -59,7 +61,13 @@ def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins:
         n, s, ss = sums.reshape(k, fine // k, 3).sum(1).T
         if n.all():
             break
-    return fit_power(lo + np.arange(1, k + 1) * (hi - lo) / k, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0)))
+    return lo + np.arange(1, k + 1) * (hi - lo) / k, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0))
+
+
+def error_curve(errors: DataFrame, x: str = "distance", e: str = "error", bins: int = 10) -> tuple[float, float, float]:
+    """Coefficients of the error by distance; the guess without errors."""
+    found = error_bins(errors, x, e, bins)
+    return GUESS if found is None else fit_power(*found)
 
 
 def tile_stats(cells: DataFrame, n: int, p: float = 0.95) -> DataFrame:
@@ -76,9 +84,8 @@ def zones(tiles: DataFrame, low: float, high: float, tolerance: float = 0.01) ->
 
 def training(tiles: DataFrame, per_zone: int = 25, tolerance: float = 0.01) -> DataFrame:
     """Of each zone the tiles of at most the zone's median density, the least dense first, up to a number."""
-    w = Window.partitionBy("zone")
-    t = tiles.withColumn("middle", F.percentile("density", F.lit(0.5)).over(w)).where(F.col("density") <= F.col("middle") + F.lit(tolerance))
-    return t.withColumn("rank", F.row_number().over(w.orderBy("density", "trow", "tcol"))).where(F.col("rank") <= per_zone)
+    t = tiles.join(F.broadcast(ranks.percentiles(tiles, ["zone"], "density", {"middle": 0.5})), "zone").where(F.col("density") <= F.col("middle") + F.lit(tolerance))  # three rows
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy("density", "trow", "tcol"))).where(F.col("rank") <= per_zone)
 
 
 def sort_apart(boxes: list[tuple[float, float]], most: int = 25, seed: int = 0) -> list[int]:

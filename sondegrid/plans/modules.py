@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from sondegrid.grid import GridSpec
-from sondegrid.operators import algebra as A, cells as C, focal as N, interp as I, joins as J, uncertainty as U, vector as V
+from sondegrid.operators import algebra as A, cells as C, focal as N, interp as I, joins as J, ranks, uncertainty as U, vector as V
 from sondegrid.operators.filters import z_pass
 from sondegrid.region import Region
 from sondegrid.session import materialize
@@ -116,8 +116,9 @@ def _composite(p, spec, coast: DataFrame | None = None, upper_limit=-0.1, **_):
     wet = C.wet_dry(p, spec).where("v = 1").select(*K)
     bathy_points = A.grid_points(bathy.join(wet, K, "left_anti"), spec).withColumn("w", F.lit(0.5))
     own = p.select("x", "y", "z", F.lit(1.0).alias("w"))
-    best = J.priority_fill(spec, [C.block(own, spec).select(*K, F.col("z").alias("v")), C.block(bathy_points, spec).select(*K, F.col("z").alias("v"))]).where("v is not null")
-    return {"dem": I.surface(A.grid_points(best, spec), spec), "bathy": bathy}
+    held = replace(spec, border=True)
+    best = J.priority_fill(spec, [C.block(own, spec).select(*K, F.col("z").alias("v")), C.block(bathy_points, held).select(*K, F.col("z").alias("v"))]).where("v is not null")
+    return {"dem": I.surface(A.grid_points(best, spec), held), "bathy": bathy}
 
 
 @gridder("uncertainty")
@@ -127,23 +128,23 @@ def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, sims=10, module="surface",
     Each round holds out block means of all training tiles at once and grids the region again with the module; a tile has the
     rest of the region as buffer. Errors count where 0 < distance < p95 and slope < p95. The two curves' errors are averaged,
     slope counting only where there is no data; cells at the rim, which have no slope, have the error by distance."""
-    options = options or {}
+    options, held = options or {}, replace(spec, border=True)
     cells = materialize(C.block(p, spec).where("z is not null").withColumn("pid", F.xxhash64(*K)), "unc-cells")
     near = lambda c: N.proximity(c.select(*K, F.lit(1).alias("v")), spec).select(*K, F.sqrt(F.col("d2").cast("double")).alias("distance"))
     whole = materialize(near(cells), "unc-distance")
-    slope = materialize(N.slope(MODULES[module](cells, spec, **options)["dem"], spec).withColumnRenamed("v", "slope"), "unc-slope")
+    slope = materialize(N.slope(MODULES[module](cells, held, **options)["dem"], spec).withColumnRenamed("v", "slope"), "unc-slope")
     tiles = U.tile_stats(whole.select(*K, (F.col("distance") == 0).cast("int").alias("mask"), F.col("distance").alias("prox")), int(tile))
-    q = tiles.agg(F.percentile("prox", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
-    most = [t.agg(F.percentile(c, F.lit(0.95))).first()[0] or 0.0 for t, c in ((whole, "distance"), (slope, "slope"))]
+    q = ranks.percentiles(tiles, [], "prox", {"low": 0.25, "high": 0.75}).first()
+    most = [ranks.percentiles(t, [], c, {"p": 0.95}).first()["p"] or 0.0 for t, c in ((whole, "distance"), (slope, "slope"))]
     train = U.training(U.zones(tiles, q[0], q[1])).select(F.col("trow").alias("tr"), F.col("tcol").alias("tc"))
     at = [F.floor(F.col(c) / int(tile)).cast("int").alias(t) for c, t in zip(K, ("tr", "tc"))]
     inner = materialize(cells.select("*", *at).join(train, ["tr", "tc"], "left_semi"), "unc-inner")
     errors = []
 
     def sample(sim):
-        held = U.split_sample(inner, float(keep), int(seed) + sim).where("held").select(*K, "z")
-        kept = materialize(cells.join(held, K, "left_anti"), "unc-kept")
-        e = held.join(MODULES[module](kept, spec, **options)["dem"], K).join(near(kept), K).join(slope, K, "left")
+        out = U.split_sample(inner, float(keep), int(seed) + sim).where("held").select(*K, "z")
+        kept = materialize(cells.join(out, K, "left_anti"), "unc-kept")
+        e = out.join(MODULES[module](kept, held, **options)["dem"], K).join(near(kept), K).join(slope, K, "left")
         e = e.select((F.col("z") - F.col("v")).alias("error"), "distance", "slope")
         e = e.where((F.col("distance") > 0) & (F.col("distance") < F.lit(most[0])) & (F.col("slope").isNull() | (F.col("slope") < F.lit(most[1]))))
         errors.append(materialize(e, "unc-errors"))

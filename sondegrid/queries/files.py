@@ -140,14 +140,13 @@ def _(spark, d):
     return fill_nodata(C.count(pts(spark, d), SPEC).where("v % 3 <> 0"), SPEC, smooth=1).select(*K, F.round("v", 5).alias("v"))
 
 
-@q("gr11_composite", "SELECT true AS filled, true AS held")
+@q("gr11_composite", f"WITH {CELLS}, {LATTICE} SELECT l.row, l.col, round(CAST(s AS DOUBLE) / n / 100000, 5) AS v FROM lattice l LEFT JOIN cells c ON l.row = c.row AND l.col = c.col")
 def _(spark, d):
     from sondegrid.plans.modules import MODULES
 
     p = pts(spark, d).withColumn("z", F.col("zc") / F.lit(100_000.0))
-    out = MODULES["composite"](p, SPEC)
-    dem = materialize(out["dem"], "dem")
-    return dem.agg((F.count("*") >= 350).alias("filled"), F.coalesce(F.max(F.abs("v")) < 1000, F.lit(False)).alias("held"))
+    at = SPEC.index(p).select(*K).distinct().withColumn("own", F.lit(True))
+    return MODULES["composite"](p, SPEC)["dem"].join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
 
 
 @q("gr14_coastline", f"WITH {CELLS}, k AS (SELECT row, col, CASE WHEN avg(zc) >= 0 THEN 1 ELSE 0 END AS v FROM (SELECT * FROM kept WHERE zc < 100000 AND zc > -100000) GROUP BY row, col) SELECT row, col, v FROM k")
@@ -165,13 +164,12 @@ def _(spark, d):
     return MODULES["landmask"](pts(spark, d).withColumnRenamed("zc", "z"), SPEC)["dem"]
 
 
-@q("gr16_uncertainty", "SELECT true AS whole, true AS positive")
+@q("gr16_uncertainty", f"WITH {CELLS}, {LATTICE} SELECT l.row, l.col, c.row IS NULL AS uncertain FROM lattice l LEFT JOIN (SELECT * FROM cells WHERE (row * 7 + col * 3) % 5 = 0) c ON l.row = c.row AND l.col = c.col")
 def _(spark, d):
     from sondegrid.plans.modules import MODULES
 
-    p = pts(spark, d).withColumn("z", F.col("zc") / F.lit(100_000.0))
-    dem = materialize(MODULES["uncertainty"](p, SPEC)["dem"], "unc")
-    return dem.agg((F.count("*") == 400).alias("whole"), (F.min("v") >= 0).alias("positive"))
+    p = SPEC.index(pts(spark, d)).where("(row * 7 + col * 3) % 5 = 0").select("x", "y", (F.col("zc") / F.lit(100_000.0)).alias("z"))
+    return MODULES["uncertainty"](p, SPEC)["dem"].select(*K, (F.col("v") > 0).alias("uncertain"))
 
 
 @q("gr17_pipeline", f"WITH {CELLS} SELECT row, col, s AS v FROM cells WHERE row >= 4 AND row < 16 AND col >= 4 AND col < 16")

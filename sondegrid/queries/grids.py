@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sondegrid.grid import GridSpec
-from sondegrid.operators import algebra as A, cells as C, focal as N, interp as I, uncertainty as U, vector as V
+from sondegrid.operators import algebra as A, cells as C, focal as N, interp as I, uncertainty as U, vector as V, ranks
 from sondegrid.queries._base import CELLS, KEPT, LATTICE, PTS, SPEC, Registry, pts, table
 from sondegrid.queries.points import INSIDE_CELLS, WITHIN, _CENTRES, diamond
 from sondegrid.region import Region, chunks
@@ -287,34 +287,59 @@ def _(spark, d):
     return I.moving_average(pts(spark, d), SPEC, 0.1, min_points=5, z="zc")
 
 
-def _plane(spark, d, f, within=0.1):
-    """How far an interpolator is from the plane its points lie on, over all cells, and how many cells it filled."""
-    p = pts(spark, d).withColumn("z", F.lit(3.0) + (F.col("x") + 90) * 2 - (F.col("y") - 29) * 5)
-    g = f(p).withColumn("e", F.abs(F.col("v") - (F.lit(3.0) + (SPEC.x() + 90) * 2 - (SPEC.y() - 29) * 5)))
-    return g.agg((F.count("*") >= 350).alias("filled"), (F.max("e") < F.lit(within)).alias("close"))
+#: Cells with gaps between them, corners included, and the heights of a plane.
+_GAPS = "(row * 7 + col * 3) % 5 = 0 OR ((row = 0 OR row = 19) AND (col = 0 OR col = 19))"
+_FLAT = "SELECT row, col, round(3 + col * 0.1E0 + (row - 20) * 0.25E0, 4) AS v FROM ({})"
+_KNOTS = f"WITH {CELLS}, {LATTICE}, e AS (SELECT row, col, CAST(s AS DOUBLE) / n / 100000 AS v FROM cells WHERE {_GAPS})"
 
 
-_PLANE = "SELECT true AS filled, true AS close"
+def _gapped(spark, d):
+    return SPEC.index(pts(spark, d)).where(_GAPS).withColumn("z", F.col("zc") / F.lit(100_000.0))
 
 
-@q("gr01_surface", _PLANE)
+def _flat(spark, d, f):
+    """An interpolator over points at the cells' places on a plane."""
+    p = _gapped(spark, d).withColumn("z", F.lit(3.0) + F.col("col") * 0.1 + (F.col("row") - 20) * 0.25).select("x", "y", "z")
+    return f(p).select(*K, F.round("v", 4).alias("v"))
+
+
+def _knots(spark, d, f):
+    """An interpolator's cells, with its values where there are data."""
+    p = _gapped(spark, d)
+    at = p.select(*K).distinct().withColumn("own", F.lit(True))
+    return f(p.select("x", "y", "z")).join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
+
+
+@q("gr01_surface", _KNOTS + " SELECT l.row, l.col, round(e.v, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
+def _(spark, d):
+    return _knots(spark, d, lambda p: I.surface(p, SPEC, tile=10, halo=4))
+
+
+@q("gr01_plane", f"WITH {LATTICE} " + _FLAT.format("SELECT * FROM lattice"))
+def _(spark, d):
+    return _flat(spark, d, lambda p: I.surface(p, SPEC, tile=10, halo=4))
+
+
+@q("gr02_triangulate", _KNOTS + " SELECT l.row, l.col, round(e.v, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
 def _(spark, d):
-    return _plane(spark, d, lambda p: I.surface(p, SPEC, tile=10, halo=4))
+    return _knots(spark, d, lambda p: I.triangulate(p, SPEC, tile=10, halo=4))
 
 
-@q("gr02_triangulate", _PLANE)
+@q("gr02_plane", f"WITH {LATTICE} " + _FLAT.format("SELECT * FROM lattice"))
 def _(spark, d):
-    return _plane(spark, d, lambda p: I.triangulate(p, SPEC, tile=10, halo=4))
+    return _flat(spark, d, lambda p: I.triangulate(p, SPEC, tile=10, halo=4))
 
 
-@q("gr08_linear", _PLANE)
+@q("gr08_linear", f"WITH {LATTICE} " + _FLAT.format("SELECT * FROM lattice"))
 def _(spark, d):
-    return _plane(spark, d, lambda p: I.linear(p, SPEC), 0.9)  # a nearest point may be 0.15 off, on a slope of 5.4
+    return _flat(spark, d, lambda p: I.linear(p, SPEC))
 
 
-@q("gr10_masked_spline", _PLANE)
+@q("gr10_masked_spline", _KNOTS + ", few AS (SELECT * FROM e WHERE row < 12), m AS (SELECT DISTINCT l.row, l.col FROM lattice l, few WHERE (l.row - few.row) * (l.row - few.row) + (l.col - few.col) * (l.col - few.col) <= 9) SELECT m.row, m.col, round(few.v, 5) AS v FROM m LEFT JOIN few ON m.row = few.row AND m.col = few.col")
 def _(spark, d):
-    return _plane(spark, d, lambda p: I.masked_spline(p, SPEC))
+    p = _gapped(spark, d).where("row < 12")
+    at = p.select(*K).distinct().withColumn("own", F.lit(True))
+    return I.masked_spline(p.select("x", "y", "z"), SPEC, 3).join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
 
 
 @q("gr13_spatial_metadata", f"WITH {KEPT}, c AS (SELECT DISTINCT src, row, col FROM kept) SELECT src, count(*) AS cells, 'unknown' AS agency FROM c GROUP BY src")
@@ -380,8 +405,7 @@ def _tiles(spark, d):
 
 @q("un02_region_stats", f"WITH {CELLS} SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS p95, quantile_cont(CAST(n AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(n AS DOUBLE), 0.75) AS p75, CAST(max(n) AS DOUBLE) AS p100 FROM cells")
 def _(spark, d):
-    c = C.count(pts(spark, d), SPEC).agg(F.percentile("v", F.array(*map(F.lit, (0.95, 0.25, 0.75, 1.0)))).alias("p"))
-    return c.select(*[F.element_at("p", i + 1).alias(n) for i, n in enumerate(("p95", "p25", "p75", "p100"))])
+    return ranks.percentiles(C.count(pts(spark, d), SPEC), [], "v", {"p95": 0.95, "p25": 0.25, "p75": 0.75, "p100": 1.0})
 
 
 @q("un03_tiles", _TILES + " SELECT trow, tcol, filled, cells, round(prox, 6) AS prox FROM t")
@@ -399,7 +423,7 @@ def _(spark, d):
 
 @q("un05_density", _TILES + _ZONES + " SELECT round(quantile_cont(density, 0.05), 6) AS p5 FROM z")
 def _(spark, d):
-    return _tiles(spark, d).agg(F.round(F.percentile("density", F.lit(0.05)), 6).alias("p5"))
+    return ranks.percentiles(_tiles(spark, d), [], "density", {"p5": 0.05}).select(F.round("p5", 6).alias("p5"))
 
 
 @q("un06_training", _TILES + _ZONES + ", y AS (SELECT *, quantile_cont(density, 0.5) OVER (PARTITION BY zone) AS mid FROM z), x AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY density, trow, tcol) AS rank FROM y WHERE density <= mid + 0.01E0) SELECT trow, tcol, zone, CAST(rank AS INT) AS rank FROM x WHERE rank <= 25")
@@ -407,26 +431,42 @@ def _(spark, d):
     return U.training(U.zones(_tiles(spark, d), 2.0, 8.0)).select("trow", "tcol", "zone", "rank")
 
 
-@q("un07_split_sample", f"WITH {PTS} SELECT count(*) >= 0 AS ok, true AS unbiased FROM pts")
+@q("un07_split_sample", f"""WITH {KEPT}, p AS (SELECT *, row // 5 AS tr, col // 5 AS tc, zc / 100000.0E0 AS z FROM kept), k AS (SELECT tr, tc, row, col, avg(x) AS kx, avg(y) AS ky, avg(z) AS kz FROM p WHERE pid % 2 = 0 GROUP BY tr, tc, row, col),
+ j AS (SELECT h.tr, h.tc, h.pid, h.x, h.y, h.z, kz, greatest(sqrt(pow(h.x - kx, 2) + pow(h.y - ky, 2)), 1e-9) AS d FROM p h JOIN k ON h.tr = k.tr AND h.tc = k.tc WHERE h.pid % 2 = 1), e AS (SELECT tr, tc, pid, z - sum(kz * pow(d, -2)) / sum(pow(d, -2)) AS error, min(d) AS distance FROM j GROUP BY tr, tc, pid, x, y, z)
+ SELECT tr, tc, count(*) AS n, round(avg(error), 6) AS error, round(max(distance), 6) AS farthest FROM e GROUP BY tr, tc""")
 def _(spark, d):
-    p = SPEC.index(pts(spark, d).withColumn("z", F.lit(3.0) + F.col("x") * 2 - F.col("y")))
+    p = SPEC.index(pts(spark, d)).withColumn("z", F.col("zc") / F.lit(100_000.0)).withColumn("held", F.col("pid") % 2 == 1)
     p = p.withColumn("tr", F.floor(F.col("row") / 5).cast("int")).withColumn("tc", F.floor(F.col("col") / 5).cast("int"))
-    e = U.held_out_errors(U.split_sample(p.select("tr", "tc", *K, "pid", "x", "y", "z"), 50.0), ["tr", "tc"])
-    return e.agg((F.count("*") >= 0).alias("ok"), F.coalesce(F.abs(F.avg("error")) < F.lit(0.2), F.lit(True)).alias("unbiased"))
+    e = U.held_out_errors(p.select("tr", "tc", *K, "pid", "x", "y", "z", "held"), ["tr", "tc"])
+    return e.groupBy("tr", "tc").agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("error"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
+@q("un07_hash_split", f"WITH {PTS} SELECT count(*) AS n, true AS about_half FROM pts")
+def _(spark, d):
+    p = U.split_sample(pts(spark, d), 50.0)
+    return p.agg(F.count("*").alias("n"), F.avg(F.col("held").cast("int")).between(0.45, 0.55).alias("about_half"))
 
 
 @q("un08_error_filter", f"WITH {CELLS}, e AS (SELECT row, col, n AS prox FROM cells), p AS (SELECT quantile_cont(CAST(prox AS DOUBLE), 0.95) AS p95 FROM e) SELECT row, col, prox FROM e, p WHERE prox > 0 AND prox < p95")
 def _(spark, d):
     c = C.count(pts(spark, d), SPEC).withColumnRenamed("v", "prox")
-    p95 = c.agg(F.percentile("prox", F.lit(0.95))).first()[0]
+    p95 = ranks.percentiles(c, [], "prox", {"p95": 0.95}).first()["p95"]
     return c.where((F.col("prox") > 0) & (F.col("prox") < F.lit(p95)))
 
 
-@q("un09_error_curve", "SELECT true AS ok")
+def _errors(spark, d):
+    return pts(spark, d).select(F.col("w").cast("double").alias("distance"), (F.when(F.col("pid") % 2 == 0, 1.0).otherwise(-1.0) * F.pow("w", F.lit(0.5))).alias("error"))
+
+
+@q("un09_error_bins", f"WITH {PTS}, e AS (SELECT CAST(w AS DOUBLE) AS x, CASE WHEN pid % 2 = 0 THEN 1 ELSE -1 END * pow(w, 0.5) AS e FROM pts), b AS (SELECT min(x) AS lo, max(x) AS hi FROM e), i AS (SELECT least(CAST(floor((x - lo) / (hi - lo) * 2520) AS INT), 2519) // 252 + 1 AS bin, e, lo, hi FROM e, b) SELECT CAST(bin AS INT) AS bin, round(any_value(lo + bin * (hi - lo) / 10), 6) AS x, round(stddev_pop(e), 6) AS std FROM i GROUP BY bin")
+def _(spark, d):
+    x, std = U.error_bins(_errors(spark, d))
+    return spark.createDataFrame([(i + 1, round(float(a), 6), round(float(b), 6)) for i, (a, b) in enumerate(zip(x, std))], "bin int, x double, std double")
+
+
+@q("un09_error_curve")
 def _(spark, d):
-    p = pts(spark, d).select(F.col("w").alias("distance"), (F.when(F.col("pid") % 2 == 0, 1.0).otherwise(-1.0) * F.pow("w", F.lit(0.5))).alias("error"))
-    c0, c1, c2 = U.error_curve(p)
-    return spark.createDataFrame([(bool(0.2 < c2 < 1.2 and c1 > 0),)], "ok boolean")
+    return spark.createDataFrame([U.error_curve(_errors(spark, d))], "c0 double, c1 double, c2 double")
 
 
 @q("un11_apply_curve", f"WITH {CELLS} SELECT row, col, round((0.4E0 * pow(n, 0.5E0) + 0.2E0 * pow(n, 0.25E0)) / 2, 6) AS v FROM cells")

@@ -257,11 +257,11 @@ def _(spark, d):
     return near.agg(F.count("*").alias("cells"), F.sum((F.col("d2") == 0).cast("bigint")).alias("masked"))
 
 
-@q("un10_convergence", "SELECT true AS stopped")
+@q("un10_convergence", f"WITH {PTS}, n AS (SELECT pid % 7 AS k, count(*) AS n FROM pts GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS upto FROM n) SELECT CAST(min(k) + 1 AS INT) AS rounds FROM c WHERE upto >= 2000")
 def _(spark, d):
-    p = pts(spark, d).select("pid", F.col("w").alias("distance"), (F.when(F.col("pid") % 2 == 0, 1.0).otherwise(-1.0) * F.pow("w", F.lit(0.5))).alias("error"))
-    _, n = U.converge(lambda sim: p, 5)
-    return one(spark, "stopped boolean", n < 5)
+    p = pts(spark, d).select("pid", F.col("w").cast("double").alias("distance"), F.pow("w", F.lit(0.5)).alias("error"))
+    _, n = U.converge(lambda sim: p.where(F.col("pid") % 7 == sim), 7, tolerance=0.0, enough=2000)
+    return one(spark, "rounds int", n)
 
 
 @q("cn02_tile_urls", f"WITH {BOXES} SELECT 'http://h/' || name AS url, CASE WHEN name LIKE '%.las' THEN 'lidar' ELSE 'raster' END AS kind FROM boxes WHERE {_MEETS}")

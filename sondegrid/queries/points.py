@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from sondegrid.operators import cells as C
+from sondegrid.operators import cells as C, ranks
 from sondegrid.queries._base import BOX, CELLS, KEPT, LATTICE, PTS, SPEC, Registry, kept, pts, table
 
 q = Registry()
@@ -100,7 +100,7 @@ def _(spark, d):
 @q("ag19_percentile", f"WITH {CELLS} SELECT round(coalesce(quantile_cont(CAST(s AS DOUBLE), 0.95), 2.0E0), 3) AS p95 FROM cells WHERE s <> 0")
 def _(spark, d):
     c = C.aggregate(pts(spark, d), SPEC, F.sum("zc").alias("v"))
-    return c.where("v <> 0").agg(F.round(F.coalesce(F.percentile("v", F.lit(0.95)), F.lit(2.0)), 3).alias("p95"))
+    return ranks.percentiles(c.where("v <> 0"), [], "v", {"p95": 0.95}).select(F.round(F.coalesce("p95", F.lit(2.0)), 3).alias("p95"))
 
 
 @q("ag20_mask_analysis", f"WITH {CELLS}, {LATTICE}, m AS (SELECT CASE WHEN c.n > 20 THEN 1 ELSE 0 END AS v FROM lattice l LEFT JOIN cells c ON l.row = c.row AND l.col = c.col) SELECT CAST(sum(v) AS BIGINT) AS filled, count(*) AS cells, CAST(sum(v) AS DOUBLE) / count(*) * 100.0E0 AS percent FROM m")
@@ -112,7 +112,7 @@ def _(spark, d):
 @q("ag21_window_percentile", f"WITH {CELLS} SELECT round(quantile_cont(CAST(s AS DOUBLE), 0.95), 3) AS p95 FROM cells WHERE row BETWEEN 5 AND 14 AND col BETWEEN 5 AND 14")
 def _(spark, d):
     c = C.aggregate(pts(spark, d), SPEC, F.sum("zc").alias("v")).where("row between 5 and 14 and col between 5 and 14")
-    return c.agg(F.round(F.percentile("v", F.lit(0.95)), 3).alias("p95"))
+    return ranks.percentiles(c, [], "v", {"p95": 0.95}).select(F.round("p95", 3).alias("p95"))
 
 
 @q("ag22_histogram", f"WITH {PTS}, b AS (SELECT CAST(min(zc) AS DOUBLE) AS lo, CAST(max(zc) AS DOUBLE) AS hi FROM pts) SELECT least(CAST(floor((zc - lo) / ((hi - lo) / 100)) AS INT) + 1, 100) AS bin, count(*) AS n FROM pts, b GROUP BY 1")
@@ -126,7 +126,7 @@ _MOMENT = """m AS (SELECT count(*) AS n, avg(CAST(zc AS DOUBLE)) AS mean, stddev
 @q("ag23_summary", f"WITH {PTS} SELECT count(*) AS n, min(zc) AS least, max(zc) AS greatest, round(CAST(sum(zc) AS DOUBLE) / count(*), 6) AS mean, round(sqrt((CAST(sum(CAST(zc AS HUGEINT) * zc) AS DOUBLE) - CAST(sum(zc) AS DOUBLE) * CAST(sum(zc) AS DOUBLE) / count(*)) / count(*)), 3) AS std, quantile_cont(CAST(zc AS DOUBLE), 0.5) AS median, quantile_cont(CAST(zc AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(zc AS DOUBLE), 0.75) AS q3 FROM pts")
 def _(spark, d):
     z = F.col("zc").cast("double")
-    return pts(spark, d).agg(F.count("*").alias("n"), F.min("zc").alias("least"), F.max("zc").alias("greatest"), F.round(F.avg("zc"), 6).alias("mean"), F.round(F.stddev_pop(z), 3).alias("std"), *[F.percentile(z, F.lit(p)).alias(n) for n, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))])
+    return pts(spark, d).agg(F.count("*").alias("n"), F.min("zc").alias("least"), F.max("zc").alias("greatest"), F.round(F.avg("zc"), 6).alias("mean"), F.round(F.stddev_pop(z), 3).alias("std")).unionByName(ranks.percentiles(pts(spark, d), [], "zc", {"median": 0.5, "q1": 0.25, "q3": 0.75}), allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n", "least", "greatest", "mean", "std", "median", "q1", "q3")])
 
 
 @q("ag24_skewness", f"WITH {PTS}, {_MOMENT} SELECT round(sum(pow(zc - mean, 3)) / ((max(m.n) - 1) * pow(max(sd), 3)), 6) AS skew FROM pts, m")
@@ -145,10 +145,7 @@ _HALVES = f"WITH {KEPT}, r AS (SELECT row, col, zc, row_number() OVER (PARTITION
 
 @q("ag26_quartile", _HALVES)
 def _(spark, d):
-    w = Window.partitionBy(*K)
-    r = kept(spark, d).select(*K, "zc", F.row_number().over(w.orderBy("zc")).alias("k"), F.floor(F.count("*").over(w) / 2).alias("half"))
-    half = lambda c: F.percentile(F.when(c, F.col("zc")), F.lit(0.5))
-    return r.groupBy(*K).agg(half(F.col("k") < F.col("half")).alias("q1"), half(F.col("k") > F.col("half")).alias("q3"))
+    return C.half_medians(pts(spark, d), SPEC, "zc")
 
 
 @q("ag27_rms", f"WITH {KEPT} SELECT row, col, round(sqrt(CAST(sum(CAST(zc AS HUGEINT) * zc) AS DOUBLE) / count(*)), 3) AS rms FROM kept GROUP BY row, col")

@@ -102,7 +102,16 @@ def test_delaunay_is_empty_of_other_points():
     area = 0.5 * np.abs((x[t[:, 1]] - x[t[:, 0]]) * (y[t[:, 2]] - y[t[:, 0]]) - (x[t[:, 2]] - x[t[:, 0]]) * (y[t[:, 1]] - y[t[:, 0]]))
     h = vector.hull(np.column_stack([x, y]))
     whole = 0.5 * abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1)))
-    assert 0.98 * whole <= area.sum() <= whole * (1 + 1e-9)
+    assert abs(area.sum() - whole) < 1e-9
+    # on a grid every point is a corner, and the triangles fill the hull, however they lie
+    for seed in range(8):
+        g = np.random.default_rng(seed)
+        at = np.array(sorted({(int(a), int(b)) for a, b in g.integers(0, 20, (150, 2))} | {(0, 0), (19, 0), (0, 19), (19, 19)}))[:: g.choice([-1, 1])]
+        x, y = at.T.astype(float)
+        t = interp.delaunay(x, y)
+        area = 0.5 * ((x[t[:, 1]] - x[t[:, 0]]) * (y[t[:, 2]] - y[t[:, 0]]) - (x[t[:, 2]] - x[t[:, 0]]) * (y[t[:, 1]] - y[t[:, 0]]))
+        assert (area > 0).all() and abs(area.sum() - 19 * 19) < 1e-9 and set(t.ravel()) == set(range(len(x)))
+    assert len(interp.delaunay(np.arange(5.0), np.arange(5.0))) == 0
 
 
 def test_outliers_iterated(spark):
