@@ -4,7 +4,7 @@ A value belongs to the bucket of its sign and of the logarithm of its size, to a
 its own. A sketch is a table (group, day, bucket, n, lo, hi). Sketches of partitions or days are written to storage and
 combined by adding up the counts of equal buckets; nothing else is needed, and no order matters. A percentile is the value
 at either end of the bucket that holds its rank: it occurs among the values, and differs from the exact percentile by no
-more than the relative width. A group has a bounded number of buckets, whatever its rows: with the default width 2,300 for
+more than the relative width. A group has a bounded number of buckets, whatever its rows: with the default width 23,000 for
 each power of ten and sign.
 
 ``exact`` reads again only the values in buckets that hold an asked rank and several different values.
@@ -19,8 +19,9 @@ from sondegrid.operators.ranks import order_statistics
 from sondegrid.session import checked_broadcast, materialize
 
 #: Relative width of a bucket.
-WIDTH = 1e-3
-SALTS = 16
+WIDTH = 1e-4
+#: Rows of a group beyond which each of its buckets is spread over several tasks.
+HOT = 1 << 20
 #: Bytes of the keys of buckets to look up again that are sent to all executors; more are joined by shuffle.
 KEYS = 32 << 20
 
@@ -40,15 +41,17 @@ def combine(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def daily_sketches(df: DataFrame, id_col: str, group: str, value: str, loaded: str, width: float = WIDTH, salts: int = SALTS) -> DataFrame:
+def daily_sketches(df: DataFrame, id_col: str, group: str, value: str, loaded: str, width: float = WIDTH, hot: int = HOT) -> DataFrame:
     """(group, day, bucket, n, lo, hi), the day being that of the first load of a row.
 
-    Rows that repeat (id, group, value) count once. They share their bucket, so one exchange by group, bucket and a salt of
-    the id both removes them and adds up the sketches of the days; the salt keeps a hot bucket from one task, which is why a
-    bucket of a day may come in several rows."""
+    Rows that repeat (id, group, value) count once. They share their bucket, so one exchange by group and bucket both removes
+    them and adds up the sketches of the days. Groups of more than ``hot`` rows are counted first; their buckets are spread by
+    a salt of the id, so that no hot bucket falls to one task, and may come in several rows of a day."""
     v = F.col(f"`{value}`").cast("double")
     d = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{group}`").alias("g"), v.alias("v"), F.col(f"`{loaded}`").alias("at")).where(_finite(F.col("v")))
-    d = d.withColumn("bucket", bucket(F.col("v"), width)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    many = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(hot))
+    d = d.join(checked_broadcast(many, "hot-groups"), F.col("g").eqNullSafe(F.col("_g")), "left").withColumn("bucket", bucket(F.col("v"), width))
+    d = d.withColumn("salt", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / F.lit(hot)))).otherwise(F.lit(0)).cast("int"))
     once = d.repartition("g", "bucket", "salt").groupBy("g", "bucket", "salt", "id", "v").agg(F.min("at").alias("at"))
     days = once.groupBy("g", "bucket", "salt", F.to_date("at").alias("day")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return days.select(F.col("g").alias(group), "day", "bucket", "n", "lo", "hi")
@@ -77,12 +80,12 @@ def percentiles(sketches: DataFrame, groups: list[str], percents: list[int]) ->
     return _table(at.withColumn("v", nearer), groups, percents)
 
 
-def daily_percentiles(df: DataFrame, id_col: str, group: str, value: str, loaded: str, percents: list[int], width: float = WIDTH, salts: int = SALTS, exact: bool = True) -> DataFrame:
+def daily_percentiles(df: DataFrame, id_col: str, group: str, value: str, loaded: str, percents: list[int], width: float = WIDTH, hot: int = HOT, exact: bool = True) -> DataFrame:
     """(group, n, least, greatest, p..) from sketches per day, written to storage and combined from there.
 
     Rows that repeat (id, group, value) count once. Without ``exact`` values are within the relative width; with it, a bucket
     that holds a rank and several values is looked up again among the rows."""
-    stored = materialize(daily_sketches(df, id_col, group, value, loaded, width, salts).withColumnRenamed(group, "g"), "day-sketches")
+    stored = materialize(daily_sketches(df, id_col, group, value, loaded, width, hot).withColumnRenamed(group, "g"), "day-sketches")
     if not exact:
         return percentiles(stored, ["g"], percents).withColumnRenamed("g", group)
     at = materialize(located(stored, ["g"], percents), "ranks")
