@@ -18,7 +18,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sondegrid.session import checked_broadcast, materialize
@@ -85,7 +87,30 @@ def dialects(field: str, delims: str = DELIMITERS, quotes: str = QUOTES) -> list
     return [*found.values()]
 
 
-_PARSES = "f string, c array<struct<d: string, q: string, vals: array<string>, left: int>>"
+_PARSES = "h1 bigint, h2 bigint, c array<struct<d: string, q: string, vals: array<string>, left: int>>"
+
+
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many characters, since a field is held once for each dialect."""
+    a = size = 0
+    for z, n in enumerate(pc.utf8_length(batch.column(2)).to_pylist(), 1):
+        size += n
+        if size >= most or z == batch.num_rows:
+            yield batch.slice(a, z - a)
+            a, size = z, 0
+
+
+def _all_dialects(delims: str, quotes: str):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in _parts(batch)):
+            found = [dialects(f, delims, quotes) for f in b.column(2).to_pylist()]
+            flat = [x for c in found for x in c]
+            lists = lambda sizes, inner: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), inner)
+            vals = lists([len(x[2]) for x in flat], pa.array([v for x in flat for v in x[2]], pa.string()))
+            each = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), vals, pa.array([x[3] for x in flat], pa.int32())], ["d", "q", "vals", "left"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists([len(c) for c in found], each)], ["h1", "h2", "c"])
+
+    return each
 
 
 def _spelt(v: str) -> Column:
@@ -105,21 +130,17 @@ def split_packed(df: DataFrame, id_col: str, field_col: str, delims: str = DELIM
 
     Null and blank fields give no rows; empty values count, also after a last delimiter; spaces around a value are dropped;
     rows that repeat an id count once (with the least field, should they differ), a null id being one id; other columns are
-    left out; an empty table gives no rows; fields of any length are parsed whole."""
+    left out; an empty table gives no rows; fields of any length are parsed whole. Fields are told apart by two 64-bit hashes."""
     rows = df.groupBy(F.col(f"`{id_col}`").alias("k")).agg(F.min(F.col(f"`{field_col}`")).alias("f"))
-    rows = rows.where(F.col("f").rlike(r"\S"))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"f": b["f"], "c": [[{"d": d, "q": q, "vals": v, "left": n} for d, q, v, n in dialects(f, delims, quotes)] for f in b["f"]]})
-
-    parses = materialize(rows.select("f").distinct().mapInPandas(each, _PARSES), "packed-parses")
-    tried = parses.where(F.size("c") > 1).select("f", F.posexplode("c").alias("i", "p")).select("f", "i", F.col("p.d").alias("d"), F.col("p.q").alias("q"), F.col("p.left").alias("left"), F.explode("p.vals").alias("v"))
+    rows = rows.where(F.col("f").rlike(r"\S")).select("k", F.xxhash64("f").alias("h1"), F.xxhash64(F.lit(1), "f").alias("h2"), "f")
+    distinct = rows.groupBy("h1", "h2").agg(F.any_value("f").alias("f"))
+    parses = materialize(distinct.mapInArrow(_all_dialects(delims, quotes), _PARSES), "packed-parses")
+    tried = parses.where(F.size("c") > 1).select("h1", "h2", F.posexplode("c").alias("i", "p")).select("h1", "h2", "i", F.length("p.d").alias("nd"), F.length("p.q").alias("nq"), F.col("p.left").alias("left"), F.explode("p.vals").alias("v"))
     # code lengths are joined by 8-byte hashes; sent to all executors if few, else joined by shuffle
-    priced = tried.withColumn("h", F.xxhash64("v")).join(checked_broadcast(value_codes(parses), "packed-codes"), "h", "left")
-    cost = priced.groupBy("f", "i").agg(F.sum(F.coalesce(F.least("bits", _spelt("v")), _spelt("v"))).alias("bits"), F.max("left").alias("left"), F.max(F.length("d")).alias("nd"), F.max(F.length("q")).alias("nq"))
+    priced = tried.select("h1", "h2", "i", "nd", "nq", "left", F.xxhash64("v").alias("h"), _spelt("v").alias("spelt")).join(checked_broadcast(value_codes(parses), "packed-codes"), "h", "left")
+    cost = priced.groupBy("h1", "h2", "i").agg(F.sum(F.coalesce(F.least("bits", "spelt"), "spelt")).alias("bits"), *[F.first(c).alias(c) for c in ("left", "nd", "nq")])
     order = F.struct(F.round(F.col("bits") + F.col("left") * F.lit(escape_bits), 6), -F.col("nd"), -F.col("nq"), F.col("i"))
-    best = cost.groupBy("f").agg(F.min_by("i", order).alias("i"))
-    chosen = parses.join(best, "f", "left").select("f", F.col("c")[F.coalesce("i", F.lit(0))]["vals"].alias("vals"))
-    out = rows.join(chosen, "f").select("k", F.posexplode("vals").alias("p", "val"))
+    best = cost.groupBy("h1", "h2").agg(F.min_by("i", order).alias("i"))
+    chosen = parses.join(best, ["h1", "h2"], "left").select("h1", "h2", F.col("c")[F.coalesce("i", F.lit(0))]["vals"].alias("vals"))
+    out = rows.drop("f").join(chosen, ["h1", "h2"]).select("k", F.posexplode("vals").alias("p", "val"))
     return out.select(F.col("k").alias(id_col), (F.col("p") + 1).alias("pos"), "val")
