@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import sys
 
 from pyspark.sql import functions as F
 
@@ -110,6 +111,17 @@ def tool(spark, a) -> None:
         J.query_grid(_points(spark, a.data), cells, spec).write.csv(a.output, sep=" ")
 
 
+def _joined(argv: list[str]) -> list[str]:
+    """A region that begins with a minus sign belongs to the option before it."""
+    out: list[str] = []
+    for x in argv:
+        if out and out[-1] in ("-R", "--region") and x.startswith("-"):
+            out[-1] = f"--region={x}"
+        else:
+            out.append(x)
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sondegrid", description=__doc__)
     p.add_argument("--master")
@@ -148,7 +160,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("-R", "--region")
     t.add_argument("-V", "--value", type=float, default=0.0)
     t.set_defaults(run=tool)
-    a = p.parse_args(argv)
+    a = p.parse_args(_joined(sys.argv[1:] if argv is None else argv))
     logging.basicConfig(level=logging.INFO)
     a.run(get_session(master=a.master), a)
 

