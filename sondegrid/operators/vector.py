@@ -38,6 +38,82 @@ def components(cells: DataFrame) -> DataFrame:
     return base.join(lab, "id").select(*K, "v", "label")
 
 
+def _chain(edges: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Rings of directed unit edges (x1, y1, x2, y2) that have the interior to their left, y growing northwards. Where four edges
+    meet, a ring turns left, so that areas which only touch at a corner stay apart. Points on straight lines are left out."""
+    onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x1, y1, x2, y2 in edges.tolist():
+        onward.setdefault((x1, y1), []).append((x2, y2))
+    rings = []
+    for start in sorted(onward):
+        while onward[start]:
+            at, to = start, onward[start].pop()
+            ring, first = [], (to[0] - at[0], to[1] - at[1])
+            way = first
+            while True:
+                at = to
+                out = onward[at]
+                if at == start and (not out or len(out) == 1 and (way[0], way[1]) and _left(way, (out[0][0] - at[0], out[0][1] - at[1])) <= _left(way, first)):
+                    if way != first:
+                        ring.append(at)
+                    break
+                k = max(range(len(out)), key=lambda i: _left(way, (out[i][0] - at[0], out[i][1] - at[1])))
+                to = out.pop(k)
+                turn = (to[0] - at[0], to[1] - at[1])
+                if turn != way:
+                    ring.append(at)
+                way = turn
+            rings.append(ring)
+    return rings
+
+
+def _left(a: tuple[int, int], b: tuple[int, int]) -> int:
+    return a[0] * b[1] - a[1] * b[0]
+
+
+def _twice(ring: list[tuple[int, int]]) -> int:
+    """Twice the signed area."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+
+
+def _holds(ring: list[tuple[int, int]], x: float, y: float) -> bool:
+    return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+
+def polygonize(cells: DataFrame, spec, by: list[str]) -> DataFrame:
+    """(by, polygons, holes, area, rings, wkt): the outlines of each group's cells as a multipolygon, one polygon for each
+    4-connected part, in coordinates of the grid. Cells are told apart by (row, col); rows of one cell count once.
+
+    Edges between two cells of a group cancel out in one aggregate, so only the outline of a group comes to one task; like the
+    polygon it must fit in memory. ``rings`` has for each polygon its shell, counter-clockwise, and its holes."""
+    kinds = dict(cells.dtypes)
+    r, c = F.col("row"), F.col("col")
+    pt = lambda x, y: (x.cast("int"), (-y).cast("int"))
+    sides = [(pt(c, r + 1), pt(c + 1, r + 1)), (pt(c + 1, r + 1), pt(c + 1, r)), (pt(c + 1, r), pt(c, r)), (pt(c, r), pt(c, r + 1))]
+    edge = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    e = cells.select(*by, *K).distinct().select(*by, F.explode(F.array(*[F.struct(F.least(edge(a, b), edge(b, a)).alias("k"), edge(a, b).alias("e")) for a, b in sides])).alias("s"))
+    rim = e.groupBy(*by, F.col("s.k").alias("_k")).agg(F.count("*").alias("_n"), F.first("s.e").alias("_e")).where("_n = 1").select(*by, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
+    half, x0, dx, y0, dy = spec.half, spec.xmin, spec.dx, spec.ymax, -spec.dy
+
+    def trace(p: pd.DataFrame) -> pd.DataFrame:
+        rings = _chain(p[["x1", "y1", "x2", "y2"]].to_numpy(np.int64))
+        shells = sorted((x for x in rings if _twice(x) > 0), key=lambda x: (_twice(x), min(x)))
+        parts = [[s] for s in shells]
+        for h in (x for x in rings if _twice(x) < 0):
+            (ax, ay), (bx, by_) = h[0], h[1]  # the hole's own side of its first edge lies to its right
+            n = max(abs(bx - ax), abs(by_ - ay))
+            ux, uy = (bx - ax) / n, (by_ - ay) / n
+            x, y = ax + 0.5 * ux + 0.5 * uy, ay + 0.5 * uy - 0.5 * ux
+            parts[next(i for i, s in enumerate(shells) if _holds(s, x, y))].append(h)
+        at = lambda q: {"x": x0 + (q[0] - half) * dx, "y": y0 + (q[1] + half) * dy}
+        closed = [[[at(q) for q in [*ring, ring[0]]] for ring in part] for part in parts]
+        area = sum(_twice(x) for x in rings) / 2 * dx * dy
+        return pd.DataFrame({k: [p[k].iloc[0]] for k in by} | {"polygons": [len(parts)], "holes": [len(rings) - len(parts)], "area": [area], "rings": [closed]})
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", polygons int, holes int, area double, rings array<array<array<struct<x: double, y: double>>>>"
+    return rim.groupBy(*by).applyInPandas(trace, schema).withColumn("wkt", geom.multipolygon_wkt(F.col("rings")))
+
+
 def collect_polygons(features: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
     """(by, wkt): the polygons of a group as one multipolygon text, without dissolving."""
     return features.groupBy(*by).agg(geom.multipolygon_wkt(F.array_sort(F.collect_list(rings))).alias("wkt"))

@@ -91,11 +91,15 @@ def _spat_meta(p, spec, by="src", **_):
 
 
 @gridder("coastline")
-def _coastline(p, spec, layers: list[DataFrame] | None = None, **_):
-    """Wet 0 and dry 1 by the first layer that says, the data's own mean last; and its parts as polygons' cells."""
+def _coastline(p, spec, layers: list[DataFrame] | None = None, most=8, **_):
+    """Wet 0 and dry 1 by the first layer that says, the data's own mean last; its parts; and the polygons of the ``most``
+    largest dry ones."""
     own = C.wet_dry(p.where(z_pass("z", 1.0, -1.0)), spec)
     mask = J.priority_fill(spec, [*(layers or []), own])
-    return {"dem": mask, "parts": V.components(mask)}
+    parts = materialize(V.components(mask), "coast-parts")
+    sizes = parts.groupBy("label").agg(F.count("*").alias("area"), F.first("v").alias("dn")).withColumnRenamed("label", "fid")
+    land = V.largest(sizes, int(most)).select(F.col("fid").alias("label"))
+    return {"dem": mask, "parts": parts, "coast": V.polygonize(parts.join(F.broadcast(land), "label"), spec, ["label"])}
 
 
 @gridder("landmask")
@@ -158,13 +162,22 @@ def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, sims=10, module="surface",
     return {"dem": both.select(*K, ((F.col("a") + F.coalesce("b", "a")) / 2).alias("v")), "tiles": tiles}
 
 
-def spatial_metadata(points: DataFrame, spec: GridSpec, by: str, attributes: DataFrame | None = None) -> DataFrame:
-    """Of each list: its cells, and the attributes of a table by name, defaults where it has none."""
-    fields = ["agency", "date", "type", "resolution", "hdatum", "vdatum", "url"]
-    c = spec.index(points).select(by, *K).distinct().groupBy(by).agg(F.count("*").alias("cells"))
-    if attributes is not None:
-        return c.join(attributes, by, "left").na.fill("unknown", fields)
-    return c.select(by, "cells", *[F.lit("unknown").alias(f) for f in fields])
+#: Attributes of a list in the order of its packed metadata (fixed values).
+ATTRIBUTES = ("name", "agency", "date", "type", "resolution", "hdatum", "vdatum", "url")
+
+
+def spatial_metadata(points: DataFrame, spec: GridSpec, by: str, metadata: DataFrame | None = None) -> DataFrame:
+    """(by, cells, polygons, area, wkt, the eight attributes): the area that each list covers. ``metadata`` (by, meta) has the
+    values of a list's packed metadata as an array; a list without eight of them has its own name and unknown attributes."""
+    c = spec.index(points).select(by, *K).distinct()
+    out = c.groupBy(by).agg(F.count("*").alias("cells")).join(V.polygonize(c, spec, [by]).select(by, "polygons", "area", "wkt"), by)
+    if metadata is not None:
+        out = out.join(metadata.select(by, "meta"), by, "left")
+    else:
+        out = out.withColumn("meta", F.lit(None).cast("array<string>"))
+    whole = F.size("meta") == len(ATTRIBUTES)
+    default = lambda a: F.col(by).cast("string") if a == "name" else F.lit("unknown")
+    return out.select(by, "cells", "polygons", "area", "wkt", *[F.when(whole, F.get("meta", F.lit(i))).otherwise(default(a)).alias(a) for i, a in enumerate(ATTRIBUTES)])
 
 
 @dataclass(frozen=True)

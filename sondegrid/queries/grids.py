@@ -342,11 +342,14 @@ def _(spark, d):
     return I.masked_spline(p.select("x", "y", "z"), SPEC, 3).join(at, K, "left").select(*K, F.when(F.col("own"), F.round(F.col("v") + 1.23e-6, 5)).alias("v"))
 
 
-@q("gr13_spatial_metadata", f"WITH {KEPT}, c AS (SELECT DISTINCT src, row, col FROM kept) SELECT src, count(*) AS cells, 'unknown' AS agency FROM c GROUP BY src")
+@q("gr13_spatial_metadata", f"WITH {KEPT}, c AS (SELECT DISTINCT src, row, col FROM kept), n AS (SELECT src, count(*) AS cells FROM c GROUP BY src), m AS (SELECT s_suppkey AS src, s_name AS name FROM supplier) SELECT n.src, cells, round(cells * 0.05E0 * 0.05E0, 6) AS area, coalesce(m.name, CAST(n.src AS VARCHAR)) AS name, CASE WHEN m.name IS NULL THEN 'unknown' ELSE '1 m' END AS resolution, CASE WHEN m.name IS NULL THEN 'unknown' ELSE 'u' END AS url FROM n LEFT JOIN m ON n.src = m.src AND n.src % 2 = 0")
 def _(spark, d):
     from sondegrid.plans.modules import spatial_metadata
 
-    return spatial_metadata(pts(spark, d), SPEC, "src").select("src", "cells", "agency")
+    s = table(spark, d, "supplier")
+    meta = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.col("s_name"), *map(F.lit, ("a", "2001", "bag", "1 m", "h", "v", "u")))).otherwise(F.array(F.col("s_name")))
+    m = spatial_metadata(pts(spark, d), SPEC, "src", s.select(F.col("s_suppkey").alias("src"), meta.alias("meta")))
+    return m.select("src", "cells", F.round("area", 6).alias("area"), "name", "resolution", "url")
 
 
 # --- polygons --------------------------------------------------------------------------------------------------------
@@ -386,6 +389,22 @@ def _(spark, d):
     return p.groupBy((F.floor(F.col("label") / F.lit(float(1 << 32))) * 100 + F.col("label") % F.lit(1 << 32)).cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
+# holes by Euler's number: cells less neighbours plus full blocks of four is parts less holes
+@q("ve05_polygons", f"WITH RECURSIVE {CELLS}, {_PARTS}, p AS (SELECT v.v, count(DISTINCT label) AS parts FROM l JOIN v ON l.a = v.row * 100 + v.col GROUP BY v.v), k AS (SELECT v, count(*) AS n FROM v GROUP BY v), j AS (SELECT a.v, count(*) AS n FROM v a JOIN v b ON a.v = b.v AND ((b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col)) GROUP BY a.v), f AS (SELECT a.v, count(*) AS n FROM v a JOIN v b ON a.v = b.v AND b.row = a.row AND b.col = a.col + 1 JOIN v c ON a.v = c.v AND c.row = a.row + 1 AND c.col = a.col JOIN v e ON a.v = e.v AND e.row = a.row + 1 AND e.col = a.col + 1 GROUP BY a.v) SELECT k.v, CAST(parts AS INT) AS polygons, CAST(parts - (k.n - coalesce(j.n, 0) + coalesce(f.n, 0)) AS INT) AS holes, round(k.n * 0.05E0 * 0.05E0, 6) AS area FROM k JOIN p ON k.v = p.v LEFT JOIN j ON k.v = j.v LEFT JOIN f ON k.v = f.v")
+def _(spark, d):
+    return V.polygonize(C.wet_dry(pts(spark, d), SPEC, "zc"), SPEC, ["v"]).select("v", "polygons", "holes", F.round("area", 6).alias("area"))
+
+
+@q("gr14_coast_polygons", f"WITH RECURSIVE {KEPT}, c0 AS (SELECT row, col, CASE WHEN avg(zc) >= 0 THEN 1 ELSE 0 END AS s FROM (SELECT * FROM kept WHERE zc < 100000 AND zc > -100000) GROUP BY row, col), v AS (SELECT row, col, s AS v FROM c0), e AS (SELECT a.row * 100 + a.col AS a, b.row * 100 + b.col AS b FROM v a JOIN v b ON a.v = b.v AND abs(a.row - b.row) + abs(a.col - b.col) <= 1), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a) SELECT label, round(count(*) * 0.05E0 * 0.05E0, 6) AS area FROM l JOIN v ON l.a = v.row * 100 + v.col WHERE v.v = 1 GROUP BY label ORDER BY count(*) DESC, label LIMIT 8")
+def _(spark, d):
+    from sondegrid.plans.modules import MODULES
+
+    p = pts(spark, d).withColumn("z", F.col("zc") / F.lit(100_000.0))
+    c = MODULES["coastline"](p, SPEC)["coast"]
+    label = (F.floor(F.col("label") / F.lit(float(1 << 32))) * 100 + F.col("label") % F.lit(1 << 32)).cast("int")
+    return c.select(label.alias("label"), F.round("area", 6).alias("area"))
+
+
 @q("ve06_area", "WITH b AS (SELECT DISTINCT file_id, minmax FROM inf_files WHERE minmax IS NOT NULL) SELECT file_id, round((minmax[2] - minmax[1]) * (minmax[4] - minmax[3]), 6) AS area FROM b")
 def _(spark, d):
     from sondegrid import geom

@@ -114,6 +114,26 @@ def test_delaunay_is_empty_of_other_points():
     assert len(interp.delaunay(np.arange(5.0), np.arange(5.0))) == 0
 
 
+def test_outlines_of_cells(spark):
+    from sondegrid import geom
+
+    art = ["####.", "#.##.", "####.", "....#", "#.#.#"]
+    cells = [(r, c, 1) for r, line in enumerate(art) for c, x in enumerate(line) if x == "#"] + [(0, 9, 2), (1, 10, 2), (0, 9, 2)]
+    spec = GridSpec(0.0, 5.0, 1.0, -1.0, 12, 5, registration="pixel")
+    d = vector.polygonize(spark.createDataFrame(cells, "row int, col int, k int"), spec, ["k"])
+    got = {r["k"]: r for r in d.withColumn("sum", F.aggregate(F.flatten("rings"), F.lit(0.0), lambda s, x: s + geom.signed_area(x))).collect()}
+    # cells that meet at a corner only are polygons of their own; a hole stays within its shell
+    assert (got[1]["polygons"], got[1]["holes"], got[1]["area"], got[1]["sum"]) == (4, 1, 15.0, 15.0)
+    assert (got[2]["polygons"], got[2]["holes"], got[2]["area"]) == (2, 0, 2.0)
+    assert got[2]["wkt"] == "MULTIPOLYGON (((9.0 4.0,10.0 4.0,10.0 5.0,9.0 5.0,9.0 4.0)),((10.0 3.0,11.0 3.0,11.0 4.0,10.0 4.0,10.0 3.0)))" or sorted(got[2]["wkt"]) == sorted("MULTIPOLYGON (((9.0 4.0,10.0 4.0,10.0 5.0,9.0 5.0,9.0 4.0)),((10.0 3.0,11.0 3.0,11.0 4.0,10.0 4.0,10.0 3.0)))")
+    # every cell is inside, every other place outside
+    rings = [[[(q["x"], q["y"]) for q in ring] for ring in part] for part in got[1]["rings"]]
+    for r in range(5):
+        for c in range(5):
+            n = sum((a[1] > 4.5 - r) != (b[1] > 4.5 - r) and c + 0.5 < a[0] + (4.5 - r - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for part in rings for ring in part for a, b in zip(ring, ring[1:]))
+            assert (n % 2 == 1) == (art[r][c] == "#")
+
+
 def test_outliers_iterated(spark):
     rng = np.random.default_rng(1)
     spec = GridSpec.from_region(Region(0, 12, 0, 12), 1)
