@@ -100,7 +100,9 @@ def int_or(text: Column, other=None) -> Column:
 
 
 def float_or(text: Column, other=None) -> Column:
-    return F.coalesce(text.try_cast("double"), F.lit(other).cast("double"))
+    """A decimal number, an infinity or NaN in any case; whatever else a cast would take (as 1d or 2f) is no number."""
+    number = text.rlike(r"(?i)\A\s*[+-]?(?:(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)\s*\z")
+    return F.coalesce(F.when(number, text.try_cast("double")), F.lit(other).cast("double"))
 
 
 def suffix_of(driver: Column) -> Column:

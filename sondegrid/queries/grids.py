@@ -587,12 +587,12 @@ def _(spark, d):
     return gmt_inf(boxes(spark, d).select("file_id", line.alias("line"))).select("file_id", "xmin", "zmax")
 
 
-@q("ag32_report_bounds", "SELECT file_id, minmax[1] AS xmin, minmax[2] AS xmax, -minmax[6] AS zmin, -minmax[5] AS zmax FROM (SELECT DISTINCT file_id, minmax FROM inf_files WHERE minmax IS NOT NULL AND abs(minmax[1]) > 0.01 AND abs(minmax[5]) > 0.01 AND abs(minmax[6]) > 0.01)")
+@q("ag32_report_bounds", "SELECT file_id, minmax[1] AS xmin, minmax[2] AS xmax, -minmax[6] AS zmin, -minmax[5] AS zmax FROM (SELECT DISTINCT file_id, minmax FROM inf_files WHERE minmax IS NOT NULL)")
 def _(spark, d):
     from sondegrid.queries._base import boxes
     from sondegrid.sources.catalog import mb_inf
 
-    b = boxes(spark, d).where("abs(xmin) > 0.01 and abs(zmin) > 0.01 and abs(zmax) > 0.01")
+    b = boxes(spark, d)
     text = lambda label, lo, hi: F.concat(F.lit(f"Minimum {label}: "), F.col(lo).cast("string"), F.lit(f" Maximum {label}: "), F.col(hi).cast("string"))
     lines = b.select("file_id", F.explode(F.array(text("Longitude", "xmin", "xmax"), text("Latitude", "ymin", "ymax"), text("Depth", "zmin", "zmax"))).alias("line"))
     return mb_inf(lines, ["file_id"]).select("file_id", "xmin", "xmax", "zmin", "zmax")

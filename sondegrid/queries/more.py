@@ -288,11 +288,11 @@ def _(spark, d):
     return thredds(table(spark, d, "orders").select(xml.alias("xml")), base="b/").select("url")
 
 
-@q("cn11_bounded_urls", f"WITH {BOXES} SELECT 'https://s/srtm_plus?west=' || xmin || '&east=' || xmax || '&south=' || ymin || '&north=' || ymax AS url FROM boxes WHERE xmin <> 0 AND abs(ymin) > 0.01 AND abs(ymax) > 0.01")
+@q("cn11_bounded_urls", f"WITH {BOXES} SELECT 'https://s/srtm_plus?west=' || xmin || '&east=' || xmax || '&south=' || ymin || '&north=' || ymax AS url FROM boxes")
 def _(spark, d):
     from sondegrid.sources.connectors import connectors
 
-    return connectors("https://s")["srtm_plus"].urls(boxes(spark, d).where("xmin <> 0 and abs(ymin) > 0.01 and abs(ymax) > 0.01")).select("url")
+    return connectors("https://s")["srtm_plus"].urls(boxes(spark, d)).select("url")
 
 
 @q("cn12_coverage_urls", f"WITH {BOXES} SELECT name || '.tif' AS file_name FROM boxes WHERE {_MEETS}")

@@ -92,9 +92,9 @@ def _(spark, d):
     return boxes(spark, d).select("file_id", *R.buffered(0.25))
 
 
-@q("fn11_region_format", f"WITH {BOXES} SELECT file_id, concat_ws('/', xmin, xmax, ymin, ymax) AS str, '-R' || concat_ws('/', xmin, xmax, ymin, ymax) AS gmt, concat_ws(',', xmin, ymin, xmax, ymax) AS bbox, concat_ws(',', ymin, xmin, ymax, xmax) AS osm, concat_ws(' ', xmin, ymin, xmax, ymax) AS te, concat_ws(' ', xmin, ymax, xmax, ymin) AS ul_lr FROM boxes WHERE xmin <> 0 AND abs(ymin) > 0.01 AND abs(ymax) > 0.01")
+@q("fn11_region_format", f"WITH {BOXES} SELECT file_id, concat_ws('/', xmin, xmax, ymin, ymax) AS str, '-R' || concat_ws('/', xmin, xmax, ymin, ymax) AS gmt, concat_ws(',', xmin, ymin, xmax, ymax) AS bbox, concat_ws(',', ymin, xmin, ymax, xmax) AS osm, concat_ws(' ', xmin, ymin, xmax, ymax) AS te, concat_ws(' ', xmin, ymax, xmax, ymin) AS ul_lr FROM boxes")
 def _(spark, d):
-    b = boxes(spark, d).where("xmin <> 0 and abs(ymin) > 0.01 and abs(ymax) > 0.01")
+    b = boxes(spark, d)
     return b.select("file_id", *[R.formatted(s).alias(n) for s, n in (("str", "str"), ("gmt", "gmt"), ("bbox", "bbox"), ("osm_bbox", "osm"), ("te", "te"), ("ul_lr", "ul_lr"))])
 
 
@@ -115,15 +115,15 @@ def _(spark, d):
     return w.select("file_id", F.size(geom.points_of(geom.wkt_rings(F.col("wkt")))).cast("bigint").alias("points"))
 
 
-@q("fn14_region2wkt", f"WITH {BOXES} SELECT file_id, 'POLYGON ((' || xmin || ' ' || ymin || ',' || xmin || ' ' || ymax || ',' || xmax || ' ' || ymax || ',' || xmax || ' ' || ymin || ',' || xmin || ' ' || ymin || '))' AS wkt FROM boxes WHERE xmin <> 0 AND abs(ymin) > 0.01 AND abs(ymax) > 0.01")
+@q("fn14_region2wkt", f"WITH {BOXES} SELECT file_id, 'POLYGON ((' || xmin || ' ' || ymin || ',' || xmin || ' ' || ymax || ',' || xmax || ' ' || ymax || ',' || xmax || ' ' || ymin || ',' || xmin || ' ' || ymin || '))' AS wkt FROM boxes")
 def _(spark, d):
-    b = boxes(spark, d).where("xmin <> 0 and abs(ymin) > 0.01 and abs(ymax) > 0.01")
+    b = boxes(spark, d)
     return b.select("file_id", geom.polygon_wkt(F.array(geom.box_ring(*[F.col(c) for c in B4]))).alias("wkt"))
 
 
-@q("fn14_wkt2region", f"WITH {BOXES} SELECT file_id, xmin, xmax, ymin, ymax FROM boxes WHERE xmin <> 0")
+@q("fn14_wkt2region", f"WITH {BOXES} SELECT file_id, xmin, xmax, ymin, ymax FROM boxes ")
 def _(spark, d):
-    b = boxes(spark, d).where("xmin <> 0")
+    b = boxes(spark, d)
     rings = geom.wkt_rings(geom.polygon_wkt(F.array(geom.box_ring(*[F.col(c) for c in B4]))))
     return b.select("file_id", *[v.alias(k) for k, v in geom.envelope(rings).items()])
 
@@ -168,9 +168,9 @@ def _(spark, d):
     return J.zone_lookup(table(spark, d, "orders").select("o_orderkey", zone.alias("z")), zones, "z").select("o_orderkey", "epsg")
 
 
-@q("jn14_tile_footprints", f"WITH {BOXES} SELECT a.file_id, b.file_id AS other FROM boxes a, boxes b WHERE a.file_id < b.file_id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin AND a.xmin <= a.xmax AND a.ymin <= a.ymax AND b.xmin <= b.xmax AND b.ymin <= b.ymax AND a.xmin <> 0 AND b.xmin <> 0")
+@q("jn14_tile_footprints", f"WITH {BOXES} SELECT a.file_id, b.file_id AS other FROM boxes a, boxes b WHERE a.file_id < b.file_id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin AND a.xmin <= a.xmax AND a.ymin <= a.ymax AND b.xmin <= b.xmax AND b.ymin <= b.ymax")
 def _(spark, d):
-    b = boxes(spark, d).where("xmin <> 0")
+    b = boxes(spark, d)
     return J.overlap_join(b, b.withColumnRenamed("file_id", "other"), 0.5, "file_id", "other").where("file_id < other")
 
 
@@ -279,11 +279,10 @@ def _(spark, d):
     return t.select("s", F.explode(S.options_map(F.col("s"))).alias("k", "v"))
 
 
-@q("fn28_int_float_or", f"WITH {ENTRIES} SELECT entry_id, coalesce(TRY_CAST(split_part(metadata, ';', 3) AS DOUBLE), -1) AS f FROM entries WHERE metadata IS NOT NULL AND split_part(metadata, ';', 3) NOT LIKE '%e%' AND split_part(metadata, ';', 3) NOT LIKE '%d%' AND split_part(metadata, ';', 3) NOT LIKE '%f%'")
+@q("fn28_int_float_or", f"WITH {ENTRIES}, t AS (SELECT entry_id, trim(split_part(metadata, ';', 3), ' ') AS t FROM entries WHERE metadata IS NOT NULL) SELECT entry_id, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(t AS DOUBLE) ELSE -1 END AS f FROM t")
 def _(spark, d):
     third = F.trim(F.split_part(F.col("metadata"), F.lit(";"), F.lit(3)))
-    e = entries(spark, d).where("metadata is not null").withColumn("t", F.split_part(F.col("metadata"), F.lit(";"), F.lit(3)))
-    return e.where("t not like '%e%' and t not like '%d%' and t not like '%f%'").select("entry_id", S.float_or(third, -1.0).alias("f"))
+    return entries(spark, d).where("metadata is not null").select("entry_id", S.float_or(third, -1.0).alias("f"))
 
 
 @q("fn29_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S') AS stamp, strftime(o_orderdate, '%Y') AS year FROM orders")
@@ -315,9 +314,9 @@ def _(spark, d):
     return table(spark, d, "raw_files").select("raw_id", S.survey_kind(F.col("file_name")).alias("kind"))
 
 
-@q("fn36_query_string", f"WITH {BOXES} SELECT file_id, 'west=' || xmin || '&east=' || xmax || '&format=geotiff' AS url FROM boxes WHERE xmin <> 0")
+@q("fn36_query_string", f"WITH {BOXES} SELECT file_id, 'west=' || xmin || '&east=' || xmax || '&format=geotiff' AS url FROM boxes ")
 def _(spark, d):
-    return boxes(spark, d).where("xmin <> 0").select("file_id", S.query_string({"west": F.col("xmin"), "east": F.col("xmax"), "format": F.lit("geotiff")}).alias("url"))
+    return boxes(spark, d).select("file_id", S.query_string({"west": F.col("xmin"), "east": F.col("xmax"), "format": F.lit("geotiff")}).alias("url"))
 
 
 _LISTING = "listing AS (SELECT o_orderkey, 'a/b/c/d/e/f/s' || CAST(o_custkey AS VARCHAR) || '/m/n/version' || CAST(o_orderkey % 3 + 1 AS VARCHAR) || '/file' AS url FROM orders)"
@@ -488,11 +487,11 @@ def _(spark, d):
     return there.union(e.where("path like 'http%'").select("entry_id")).distinct()
 
 
-@q("sk15_region_feature", f"""WITH {BOXES} SELECT file_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || xmin || ',' || ymin || '],[' || xmin || ',' || ymax || '],[' || xmax || ',' || ymax || '],[' || xmax || ',' || ymin || '],[' || xmin || ',' || ymin || ']]]}}}}' AS feature FROM boxes WHERE xmin <> 0 AND abs(ymin) > 0.01 AND abs(ymax) > 0.01""")
+@q("sk15_region_feature", f"""WITH {BOXES} SELECT file_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || xmin || ',' || ymin || '],[' || xmin || ',' || ymax || '],[' || xmax || ',' || ymax || '],[' || xmax || ',' || ymin || '],[' || xmin || ',' || ymin || ']]]}}}}' AS feature FROM boxes""")
 def _(spark, d):
     from sondegrid.sinks import region_feature
 
-    return boxes(spark, d).where("xmin <> 0 and abs(ymin) > 0.01 and abs(ymax) > 0.01").select("file_id", region_feature().alias("feature"))
+    return boxes(spark, d).select("file_id", region_feature().alias("feature"))
 
 
 @q("sk18_inf_rows", f"WITH {BOXES} SELECT name, numpts, zmin FROM boxes")
