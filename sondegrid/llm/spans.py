@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sondegrid.llm.bpe import mix, text_slices
-from sondegrid.session import materialize
+from sondegrid.session import checked_broadcast, materialize
 
 SPAN, ANCHOR = 160, 32
+#: Bytes of a set of keys that is sent to all executors.
+KEYS = 32 << 20
 _MUL = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
@@ -114,9 +116,10 @@ def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # documents of which exact copies exist, and of them all but the one that stands for the others
     classes = whole.groupBy("h", "hi").agg(F.min("k").alias("one"), F.max("k").alias("other")).where("one <> other")
     copies = whole.join(classes, ["h", "hi"]).select("k", "one", "hi")
-    spare = copies.where("k <> one").select("k")
-    several = runs.groupBy("anchor").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("anchor")
-    live = materialize(runs.join(several, "anchor").join(spare, "k", "left_anti"), "span-live")
+    # what most runs are tested against is small as a rule: sent to all executors if it is, else joined by shuffle
+    spare = checked_broadcast(copies.where("k <> one").select("k"), "span-spare", KEYS)
+    several = checked_broadcast(runs.groupBy("anchor").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("anchor"), "span-several", KEYS)
+    live = materialize(runs.join(several, "anchor", "left_semi").join(spare, "k", "left_anti"), "span-live")
     blocks = live.groupBy("anchor", "block").agg(F.min("k").alias("one"), F.max("k").alias("other"))
     mixed = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("one").alias("a"), F.max("other").alias("z")).where("n > 1 and a <> z").select("anchor")
     known = live.join(blocks, ["anchor", "block"])
