@@ -8,6 +8,7 @@ from sondegrid.llm.bpe import count_column, encode_column
 from sondegrid.llm.packing import pack
 from sondegrid.llm.quantiles import daily_percentiles
 from sondegrid.llm.spans import shared_chars
+from sondegrid.session import materialize
 
 
 def _table(spark, d, name):
@@ -36,13 +37,23 @@ def p9_bins(spark, d):
     return pack(count_column(_docs(spark, d)), 2048)
 
 
+def p9_loads(spark, d):
+    """Every text in containers of 8,192, sized in characters: what went in, and whether any container is too full."""
+    sizes = _docs(spark, d).select("doc_id", F.length("text").alias("n"))
+    bins = materialize(pack(sizes, 8192, size_col="n"), "loads")
+    load = bins.groupBy("bin").agg(F.sum("n").alias("load"), F.count("*").alias("pieces"))
+    per = bins.groupBy("doc_id").agg(F.count("*").alias("pieces")).agg(F.count("*").alias("docs"), F.sum((F.col("pieces") > 1).cast("bigint")).alias("split"))
+    total = load.agg(F.sum("load").alias("chars"), F.sum("pieces").alias("pieces"), F.sum((F.col("load") > 8192).cast("bigint")).alias("overfull"), (F.count("*") <= F.ceil(F.sum("load") / 8192 * 1.02) + 1).alias("tight"))
+    return per.unionByName(total, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("docs", "split", "chars", "pieces", "overfull", "tight")])
+
+
 def p10_found(spark, d):
     """Characters of each document in passages of 160 or more that another holds."""
     return shared_chars(_docs(spark, d))
 
 
 def queries() -> dict:
-    return {"p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found}
+    return {"p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_bins": p9_bins, "p9_loads": p9_loads, "p10_found": p10_found}
 
 
 P6 = """
@@ -55,6 +66,9 @@ names AS (SELECT file_id, min(name) AS name FROM inf_files GROUP BY file_id)
 SELECT names.file_id, names.name, coalesce(got.n, 0) AS n, least, greatest, p05, p25, p50, p75, p95 FROM names LEFT JOIN got ON names.file_id = got.file_id
 """
 
+P9_LOADS = """WITH d AS (SELECT length(text) AS n FROM documents WHERE length(text) > 0)
+SELECT count(*) AS docs, CAST(sum(CASE WHEN n > 8192 THEN 1 ELSE 0 END) AS BIGINT) AS split, CAST(sum(n) AS BIGINT) AS chars, CAST(sum((n + 8191) // 8192) AS BIGINT) AS pieces, CAST(0 AS BIGINT) AS overfull, true AS tight FROM d"""
+
 P10 = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 160),
 w AS (SELECT doc_id, i, md5(substr(text, i, 160)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM d)),
@@ -65,5 +79,5 @@ SELECT doc_id, CAST(sum(least(160, i - coalesce(p, i - 160))) AS BIGINT) AS shar
 
 
 def oracle_sql() -> dict:
-    """For percentiles and passages: SQL has no byte-pair merges and no packing; tests/llm compares those with a library and brute force."""
-    return {"p6_percentiles": P6, "p10_found": P10}
+    """For percentiles, loads and passages: SQL has no byte-pair merges and no packing; tests/llm compares those with a library and brute force."""
+    return {"p6_percentiles": P6, "p9_loads": P9_LOADS, "p10_found": P10}

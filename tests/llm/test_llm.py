@@ -267,3 +267,11 @@ def test_ranks_of_stored_day_sketches(spark, sf):
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_plans_have_no_nested_loops(spark, sf):
+    from sondegrid.llm.queries import queries
+
+    for name in ("p6_percentiles", "p9_bins", "p10_found"):
+        plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
