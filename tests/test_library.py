@@ -293,7 +293,7 @@ def test_service_answers(spark, tmp_path):
 def test_plans_have_no_nested_loops(spark, sf):
     from sondegrid.queries import queries
 
-    for name in ("jn01_point_raster_lookup", "jn06_entry_region", "jn07_catalog_filter", "jn12_bucket_join", "gr05_idw", "ag02_grid_mean", "p6_percentiles"):
+    for name in ("jn01_point_raster_lookup", "jn06_entry_region", "jn07_catalog_filter", "jn12_bucket_join", "gr05_idw", "ag02_grid_mean", "p7_found"):
         plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
     plan = queries()["ag02_grid_mean"](spark, sf)._jdf.queryExecution().executedPlan().toString()
