@@ -295,11 +295,11 @@ def _(spark, d):
     return connectors("https://s")["srtm_plus"].urls(boxes(spark, d)).select("url")
 
 
-@q("cn12_coverage_urls", f"WITH {BOXES} SELECT name || '.tif' AS file_name FROM boxes WHERE {_MEETS}")
+@q("cn12_coverage_urls", f"WITH {BOXES} SELECT name || '.tif' AS file_name, 'https://s/wcs?service=WCS&version=2.0.1&request=GetCoverage&coverageID=' || replace(url_encode(name), '%20', '+') || '&subset=Long(179.2,180.4)&subset=Lat(-40.0,20.0)' AS url FROM boxes WHERE {_MEETS}")
 def _(spark, d):
     from sondegrid.sources.connectors import connectors
 
-    return connectors("https://s")["emodnet"].urls(boxes(spark, d).withColumnRenamed("name", "id"), _R).select("file_name")
+    return connectors("https://s")["emodnet"].urls(boxes(spark, d).withColumnRenamed("name", "id"), _R).select("file_name", "url")
 
 
 @q("cn13_footprints", f"WITH {BOXES} SELECT name AS url FROM boxes WHERE {_MEETS}")
@@ -329,18 +329,18 @@ def _(spark, d):
     return fetch_all(files).select("ok", F.length("content").alias("size"))
 
 
-@q("ud01_module_registry", "SELECT 15 AS modules")
+@q("ud01_module_registry", "SELECT * FROM (VALUES ('IDW'), ('average'), ('coastline'), ('composite'), ('invdst'), ('landmask'), ('linear'), ('mbgrid'), ('nearest'), ('num'), ('spat-meta'), ('surface'), ('triangulate'), ('uncertainty'), ('vdatum')) t(name)")
 def _(spark, d):
     from sondegrid.plans.modules import MODULES
 
-    return one(spark, "modules int", len(MODULES))
+    return spark.createDataFrame([(n,) for n in MODULES], "name string")
 
 
-@q("ud04_source_registry", "SELECT 15 AS sources")
+@q("ud04_source_registry", "SELECT * FROM (VALUES ('charts'), ('chs'), ('dc'), ('emodnet'), ('gmrt'), ('hrdem'), ('mar_grav'), ('mb'), ('ncei_thredds'), ('ngs'), ('nos'), ('osm'), ('srtm_plus'), ('tnm'), ('usace')) t(name)")
 def _(spark, d):
     from sondegrid.sources.connectors import connectors
 
-    return one(spark, "sources int", len(connectors()))
+    return spark.createDataFrame([(n,) for n in connectors()], "name string")
 
 
 @q("ud06_letters", f"WITH {CELLS} SELECT k.x, k.y, k.zc - c.s AS d FROM kept k JOIN cells c ON k.row = c.row AND k.col = c.col")
