@@ -82,10 +82,17 @@ def zones(tiles: DataFrame, low: float, high: float, tolerance: float = 0.01) ->
     return tiles.withColumn("zone", z)
 
 
-def training(tiles: DataFrame, per_zone: int = 25, tolerance: float = 0.01) -> DataFrame:
-    """Of each zone the tiles of at most the zone's median density, the least dense first, up to a number."""
-    t = tiles.join(F.broadcast(ranks.percentiles(tiles, ["zone"], "density", {"middle": 0.5})), "zone").where(F.col("density") <= F.col("middle") + F.lit(tolerance))  # three rows
-    return t.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy("density", "trow", "tcol"))).where(F.col("rank") <= per_zone)
+def slope_zones(tiles: DataFrame, low: float, high: float, tolerance: float = 0.01) -> DataFrame:
+    """Tiles by the slope within them."""
+    z = F.when(F.col("slope") <= F.lit(low + tolerance), "low-slp").when(F.col("slope") < F.lit(high - tolerance), "mid-slp").when(F.col("slope").isNotNull(), "high-slp")
+    return tiles.withColumn("slope_zone", z)
+
+
+def training(tiles: DataFrame, per_zone: int = 25, tolerance: float = 0.01, zone: str = "zone", by: str = "density") -> DataFrame:
+    """Of each zone the tiles of at most the zone's median density (or what ``by`` names), the least first, up to a number."""
+    middle = ranks.percentiles(tiles.where(F.col(zone).isNotNull()), [zone], by, {"middle": 0.5})
+    t = tiles.join(F.broadcast(middle), zone).where(F.col(by) <= F.col("middle") + F.lit(tolerance))  # three rows
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy(zone).orderBy(by, "trow", "tcol"))).where(F.col("rank") <= per_zone)
 
 
 def sort_apart(boxes: list[tuple[float, float]], most: int = 25, seed: int = 0) -> list[int]:
@@ -106,6 +113,13 @@ def split_sample(points: DataFrame, keep_percent: float, seed: int = 0) -> DataF
     return points.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(10_000)) >= F.lit(int(keep_percent * 100)))
 
 
+def hold_out(cells: DataFrame, tile: list[str], seed: int = 0, keep: str = "keep") -> DataFrame:
+    """All cells of each tile but ``keep`` of them, drawn by a hash of seed and id, so that a retry draws the same. A tile's cells
+    are bounded in number."""
+    draw = F.row_number().over(Window.partitionBy(*tile).orderBy(F.xxhash64(F.lit(seed), "pid"), "pid"))
+    return cells.withColumn("_draw", draw).where(F.col("_draw") > F.col(keep)).drop("_draw")
+
+
 def held_out_errors(points: DataFrame, tile: list[str], power: float = 2.0) -> DataFrame:
     """(tile, pid, error, distance): each point held out against the inverse-distance mean of the block means (by row, col) of
     its tile's other points, and the distance to the nearest of them. A point meets as many rows as its tile has cells."""

@@ -126,31 +126,41 @@ def _composite(p, spec, coast: DataFrame | None = None, upper_limit=-0.1, **_):
 
 
 @gridder("uncertainty")
-def _uncertainty(p, spec, tile=5, keep=50.0, seed=0, sims=10, module="surface", options=None, **_):
+def _uncertainty(p, spec, tile=5, seed=0, sims=10, module="surface", options=None, **_):
     """Error by distance to data and by slope, from repeated split samples of training tiles, applied to the whole grid.
 
-    Each round holds out block means of all training tiles at once and grids the region again with the module; a tile has the
-    rest of the region as buffer. Errors count where 0 < distance < p95 and slope < p95. The two curves' errors are averaged,
-    slope counting only where there is no data; cells at the rim, which have no slope, have the error by distance."""
-    options, held = options or {}, replace(spec, border=True)
+    Tiles are sorted into zones by the 95th percentile of their distances to data and of their slopes, against the quartiles
+    of the region; training tiles are those of little density, or slope, in each zone. Each round draws from every training
+    tile as many block means as the sampling density (the 5th percentile of the tiles' densities) gives it, holds the others
+    out, all tiles at once, and grids the region again with the module; a tile has the rest of the region as buffer. Errors
+    count where 0 < distance < p95 and slope < p95. The two curves' errors are averaged, slope counting only where there is no
+    data; cells at the rim, which have no slope, have the error by distance."""
+    options, held, n = options or {}, replace(spec, border=True), int(tile)
     cells = materialize(C.block(p, spec).where("z is not null").withColumn("pid", F.xxhash64(*K)), "unc-cells")
     near = lambda c: N.proximity(c.select(*K, F.lit(1).alias("v")), spec).select(*K, F.sqrt(F.col("d2").cast("double")).alias("distance"))
     whole = materialize(near(cells), "unc-distance")
     slope = materialize(N.slope(MODULES[module](cells, held, **options)["dem"], spec).withColumnRenamed("v", "slope"), "unc-slope")
-    tiles = U.tile_stats(whole.select(*K, (F.col("distance") == 0).cast("int").alias("mask"), F.col("distance").alias("prox")), int(tile))
-    q = ranks.percentiles(tiles, [], "prox", {"low": 0.25, "high": 0.75}).first()
-    most = [ranks.percentiles(t, [], c, {"p": 0.95}).first()["p"] or 0.0 for t, c in ((whole, "distance"), (slope, "slope"))]
-    train = U.training(U.zones(tiles, q[0], q[1])).select(F.col("trow").alias("tr"), F.col("tcol").alias("tc"))
-    at = [F.floor(F.col(c) / int(tile)).cast("int").alias(t) for c, t in zip(K, ("tr", "tc"))]
-    inner = materialize(cells.select("*", *at).join(train, ["tr", "tc"], "left_semi"), "unc-inner")
+    at = [F.floor(F.col(c) / n).cast("int").alias(t) for c, t in zip(K, ("trow", "tcol"))]
+    steep = slope.groupBy(*at).agg(F.percentile("slope", F.lit(0.95)).alias("slope"))  # of the cells of a tile
+    tiles = U.tile_stats(whole.select(*K, (F.col("distance") == 0).cast("int").alias("mask"), F.col("distance").alias("prox")), n)
+    tiles = materialize(tiles.join(steep, ["trow", "tcol"], "left"), "unc-tiles")
+    quarters = {"low": 0.25, "high": 0.75, "most": 0.95}
+    d, s = (ranks.percentiles(t, [], c, quarters).first().asDict() for t, c in ((whole, "distance"), (slope, "slope")))
+    d, s = ({k: v or 0.0 for k, v in x.items()} for x in (d, s))
+    tiles = U.slope_zones(U.zones(tiles, d["low"], d["high"]), s["low"], s["high"])
+    density = ranks.percentiles(tiles, [], "density", {"p5": 0.05}).first()["p5"] or 0.0
+    train = U.training(tiles).select("trow", "tcol").unionByName(U.training(tiles, zone="slope_zone", by="slope").select("trow", "tcol")).distinct()
+    keep = F.when(F.col("density") < F.lit(density), 1).otherwise((F.col("cells") * F.lit(density / 100)).cast("int") + 1).alias("keep")
+    train = tiles.join(train, ["trow", "tcol"], "left_semi").select("trow", "tcol", keep)
+    inner = materialize(cells.select("*", *at).join(train, ["trow", "tcol"]), "unc-inner")
     errors = []
 
     def sample(sim):
-        out = U.split_sample(inner, float(keep), int(seed) + sim).where("held").select(*K, "z")
+        out = U.hold_out(inner, ["trow", "tcol"], int(seed) + sim).select(*K, "z")
         kept = materialize(cells.join(out, K, "left_anti"), "unc-kept")
         e = out.join(MODULES[module](kept, held, **options)["dem"], K).join(near(kept), K).join(slope, K, "left")
         e = e.select((F.col("z") - F.col("v")).alias("error"), "distance", "slope")
-        e = e.where((F.col("distance") > 0) & (F.col("distance") < F.lit(most[0])) & (F.col("slope").isNull() | (F.col("slope") < F.lit(most[1]))))
+        e = e.where((F.col("distance") > 0) & (F.col("distance") < F.lit(d["most"])) & (F.col("slope").isNull() | (F.col("slope") < F.lit(s["most"]))))
         errors.append(materialize(e, "unc-errors"))
         return errors[-1]
 

@@ -364,6 +364,17 @@ def test_report_numbers_with_exponents(spark):
     assert (r["zmin"], r["zmax"], r["numpts"]) == (-200.0, 1500.0, 12)
 
 
+def test_zones_and_held_out_cells(spark):
+    t = spark.createDataFrame([(i, 0, float(i), float(10 - i)) for i in range(10)] + [(10, 0, 3.0, None)], "trow int, tcol int, density double, slope double")
+    z = uncertainty.slope_zones(t, 2.0, 7.0)
+    assert {r["slope"]: r["slope_zone"] for r in z.collect()} == {None: None} | {float(v): "low-slp" if v <= 2 else "mid-slp" if v < 7 else "high-slp" for v in range(1, 11)}
+    got = sorted((r["slope_zone"], r["slope"]) for r in uncertainty.training(z, 2, zone="slope_zone", by="slope").collect())
+    assert got == [("high-slp", 7.0), ("high-slp", 8.0), ("low-slp", 1.0), ("mid-slp", 3.0), ("mid-slp", 4.0)]
+    c = spark.createDataFrame([(i % 3, i, 2 * (i % 3)) for i in range(30)], "tile int, pid int, keep int")
+    a, b = ({r["pid"] for r in uncertainty.hold_out(c, ["tile"], s).collect()} for s in (1, 2))
+    assert a != b and [sum(i % 3 == k for i in a) for k in range(3)] == [10, 8, 6] and a == {r["pid"] for r in uncertainty.hold_out(c, ["tile"], 1).collect()}
+
+
 def test_uncertainty_grids_again_with_its_module(spark, monkeypatch):
     """The error is of the module asked for: gridded once with all data and once for each split sample."""
     rng = np.random.default_rng(2)
