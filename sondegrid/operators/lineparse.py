@@ -216,7 +216,7 @@ def _valid() -> Column:
     )
     meaning = F.transform("names", lambda n: F.when(n == "lon", "x").when(n == "lat", "y").when(n == "depth", "z").otherwise(n))
     xyz = (F.size("vals") == F.size("names")) & (F.size(F.array_distinct(meaning)) == F.size("names")) & F.forall(F.zip_with("names", "vals", each), lambda ok: ok)
-    entry = (F.size("vals") == 3) & F.col("vals")[1].isin(*map(str, FORMATS)) & _in(F.col("vals")[2], 0.0)
+    entry = (F.size("vals") == 3) & F.get("vals", F.lit(1)).isin(*map(str, FORMATS)) & _in(F.get("vals", F.lit(2)), 0.0)
     plain = ~F.contains("line", F.lit('"')) & ~F.contains("line", F.lit("\x01"))
     return plain & F.when(F.col("fmt") == DATALIST, entry).otherwise(xyz)
 
@@ -229,7 +229,7 @@ def _record() -> list[Column]:
     entry = F.map_from_arrays(F.array(F.lit("path"), F.lit("fmt")), F.slice("vals", 1, 2))
     rest = F.when(F.col("fmt") == DATALIST, entry).otherwise(F.map_filter(values, lambda k, v: ~k.isin(*BOUNDS)))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    weight = F.when(F.col("fmt") == DATALIST, F.col("vals")[2].try_cast("double")).otherwise(number(("w", 1)))
+    weight = F.when(F.col("fmt") == DATALIST, F.get("vals", F.lit(2)).try_cast("double")).otherwise(number(("w", 1)))
     return [none("reason", "string"), none("col", "int"), none("detail", "string"), xyz(number(("x", 1), ("lon", 1))).alias("x"), xyz(number(("y", 1), ("lat", 1))).alias("y"), xyz(number(("z", 1), ("depth", -1))).alias("z"), weight.alias("w"), rest.alias("rest")]
 
 

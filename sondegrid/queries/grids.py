@@ -208,6 +208,11 @@ def _(spark, d):
     return N.outliers(summed(spark, d), 10, 0.75)
 
 
+@q("wn05_outlier_windows")
+def _(spark, d):
+    return N.outliers_iterated(summed(spark, d), SPEC, 10)
+
+
 _HORN = "o AS (SELECT CAST(a.range AS INT) - 1 AS dr, CAST(b.range AS INT) - 1 AS dc FROM range(3) a, range(3) b), h AS (SELECT c.row - dr AS row, c.col - dc AS col, count(*) AS k, CAST(sum(n * dc * (2 - abs(dr))) AS DOUBLE) AS gx, CAST(sum(n * dr * (2 - abs(dc))) AS DOUBLE) AS gy FROM cells c, o GROUP BY 1, 2 HAVING count(*) = 9 AND c.row - dr BETWEEN 0 AND 19 AND c.col - dc BETWEEN 0 AND 19)"
 
 
