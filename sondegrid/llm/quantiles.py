@@ -41,12 +41,7 @@ def combine(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def daily_sketches(df: DataFrame, id_col: str, group: str, value: str, loaded: str, width: float = WIDTH, hot: int = HOT) -> DataFrame:
-    """(group, day, bucket, n, lo, hi), the day being that of the first load of a row.
-
-    Rows that repeat (id, group, value) count once. They share their bucket, so one exchange by group and bucket both removes
-    them and adds up the sketches of the days. Groups of more than ``hot`` rows are counted first; their buckets are spread by
-    a salt of the id, so that no hot bucket falls to one task, and may come in several rows of a day."""
+def _daily(df: DataFrame, id_col: str, group: str, value: str, loaded: str, width: float, hot: int) -> DataFrame:
     v = F.col(f"`{value}`").cast("double")
     d = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{group}`").alias("g"), v.alias("v"), F.col(f"`{loaded}`").alias("at")).where(_finite(F.col("v")))
     many = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(hot))
@@ -54,7 +49,16 @@ def daily_sketches(df: DataFrame, id_col: str, group: str, value: str, loaded: s
     d = d.withColumn("salt", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / F.lit(hot)))).otherwise(F.lit(0)).cast("int"))
     once = d.repartition("g", "bucket", "salt").groupBy("g", "bucket", "salt", "id", "v").agg(F.min("at").alias("at"))
     days = once.groupBy("g", "bucket", "salt", F.to_date("at").alias("day")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return days.select(F.col("g").alias(group), "day", "bucket", "n", "lo", "hi")
+    return days.select("g", "day", "bucket", "n", "lo", "hi")
+
+
+def daily_sketches(df: DataFrame, id_col: str, group: str, value: str, loaded: str, width: float = WIDTH, hot: int = HOT) -> DataFrame:
+    """(group, day, bucket, n, lo, hi), the day being that of the first load of a row.
+
+    Rows that repeat (id, group, value) count once. They share their bucket, so one exchange by group and bucket both removes
+    them and adds up the sketches of the days. Groups of more than ``hot`` rows are counted first; their buckets are spread by
+    a salt of the id, so that no hot bucket falls to one task, and may come in several rows of a day."""
+    return _daily(df, id_col, group, value, loaded, width, hot).withColumnRenamed("g", group)
 
 
 def located(sketches: DataFrame, groups: list[str], percents: list[int]) -> DataFrame:
@@ -85,7 +89,7 @@ def daily_percentiles(df: DataFrame, id_col: str, group: str, value: str, loaded
 
     Rows that repeat (id, group, value) count once. Without ``exact`` values are within the relative width; with it, a bucket
     that holds a rank and several values is looked up again among the rows."""
-    stored = materialize(daily_sketches(df, id_col, group, value, loaded, width, hot).withColumnRenamed(group, "g"), "day-sketches")
+    stored = materialize(_daily(df, id_col, group, value, loaded, width, hot), "day-sketches")
     if not exact:
         return percentiles(stored, ["g"], percents).withColumnRenamed("g", group)
     at = materialize(located(stored, ["g"], percents), "ranks")

@@ -221,6 +221,8 @@ def test_percentiles_exact_on_short_values(spark):
         assert r[g]["n"] == len(v) and r[g]["least"] == v[0]
         assert [r[g][f"p{p:02d}"] for p in (5, 50, 95)] == [v[-(-len(v) * p // 100) - 1] for p in (5, 50, 95)]
     assert r[7]["p50"] == 0.0 and 8 not in r
+    clash = df.selectExpr("id AS lo", "g AS bucket", "v AS n", "at AS day", "id AS g", "v")
+    assert rows_of(quantiles.daily_percentiles(clash, "lo", "bucket", "n", "day", [5, 50, 95])) == rows_of(quantiles.daily_percentiles(df, "id", "g", "v", "at", [5, 50, 95]))
     spread = quantiles.daily_percentiles(df, "id", "g", "v", "at", [5, 50, 95], hot=100)
     assert rows_of(spread) == rows_of(quantiles.daily_percentiles(df, "id", "g", "v", "at", [5, 50, 95]))
     assert quantiles.daily_percentiles(df.limit(0), "id", "g", "v", "at", [50]).count() == 0
