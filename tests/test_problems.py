@@ -86,6 +86,36 @@ def test_code_lengths_decide(spark):
     assert split(both) == ["y", "Sand", "Gravel"]
 
 
+def test_pruned_dialects_as_all_dialects(spark):
+    """Against scoring every dialect of every field."""
+    rng = random.Random(12)
+    words = ["a", "b c", "Sand;Gravel", "x,y", "u|v", "NOAA", "1,2,3", "it's", "'Tis", '"q', "", "long unique "]
+    fields = set()
+    while len(fields) < 400:
+        n = rng.randint(1, 5)
+        vals = [w + (str(rng.randint(0, 999)) if w.startswith("long") else "") for w in rng.choices(words, k=n)]
+        vals = [f'"{v}"' if rng.random() < 0.35 else v for v in vals]
+        fields.add(vals[0] + "".join(rng.choice([",", ";", "|", " , "]) + v for v in vals[1:]))
+    fields = sorted(f for f in fields if f.strip())
+    count = {}
+    for f in fields:
+        for v in set(packed.parse(f)):
+            count[v] = count.get(v, 0) + 1
+    total = sum(count.values())
+    spelt = lambda v: 8.0 * (len(v) + 1)
+    bits = {v: min(spelt(v), math.log2(total / n) + spelt(v) / n) for v, n in count.items() if n > 1}
+    for charge in (0.0, 16.0):
+        want = {}
+        for k, f in enumerate(fields):
+            scored = [(round(sum(bits.get(v, spelt(v)) for v in vals) + left * charge, 6), -len(d), -len(q), i, vals) for i, (d, q, vals, left) in enumerate(packed.dialects(f))]
+            want[k] = min(scored)[4]
+        r = {}
+        for k, _, v in sorted(got(packed.split_packed(spark.createDataFrame([*enumerate(fields)], "entry_id bigint, metadata string"), "entry_id", "metadata", escape_bits=charge)), key=lambda x: x[:2]):
+            r.setdefault(k, []).append(v)
+        assert r == want
+        assert charge or any(want[k] != packed.parse(f) for k, f in enumerate(fields))
+
+
 def test_fields_count_once_however_often_repeated(spark):
     rows = [(i, "Hazel Sound,sand") for i in range(300)] + [(1000 + i, f"n{i},sand") for i in range(5)]
     r = got(packed.split_packed(spark.createDataFrame(rows, "entry_id bigint, metadata string"), "entry_id", "metadata"))
