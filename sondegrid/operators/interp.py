@@ -74,10 +74,29 @@ def moving_average(points: DataFrame, spec: GridSpec, radius1: float | None = No
 
 
 def nearest(points: DataFrame, spec: GridSpec, radius: float | None = None, z: str = "z") -> DataFrame:
-    """Value of the nearest point within the radius; of equally near ones the least value."""
+    """Value of the nearest point within the radius; of equally near ones the least value.
+
+    Most cells of dense data are settled by the points of the cells around them: whatever lies farther off than those is more
+    than a cell away. Only for the others, pairs of cells within reach are made of the cells that have data, and points looked
+    up by them."""
     r = radius or 3 * spec.dx
-    j = _under(points, spec, max(1, math.ceil(r / spec.dx) + 1), z, None).where(F.col("d") <= r)
-    return j.groupBy(*K).agg(F.min(F.struct("d", "z")).alias("m")).select(*K, F.col("m.z").alias("v"))
+    k = max(1, math.ceil(r / spec.dx) + 1)
+    p = spec.index(points).select(*K, "x", "y", F.col(z).alias("z"))
+    dx, dy = F.col("x") - spec.x(), F.col("y") - spec.y()
+    least = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), "z")).alias("m")
+
+    def best(under: DataFrame) -> DataFrame:
+        return under.groupBy(*K).agg(least).select(*K, F.col("m.d").alias("d"), F.col("m.z").alias("z"))
+
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("j")) for i in (-1, 0, 1) for c in (-1, 0, 1)]))
+    close = p.withColumn("_to", around).withColumns({"row": F.col("row") + F.col("_to.i"), "col": F.col("col") + F.col("_to.j")}).drop("_to")
+    # a point of a cell two or more off is at least so far from the place of a cell
+    sure = (2 - max(spec.half, 1 - spec.half)) * min(spec.dx, abs(spec.dy))
+    first = best(close.where(f"row >= 0 and row < {spec.ny} and col >= 0 and col < {spec.nx}")).where(F.col("d") < F.lit(sure * (1 - 1e-9)))
+    first = materialize(first, "nearest-close")
+    pairs = neighbourhood(p.select(*K).distinct(), spec, k).join(first.select(*K), K, "left_anti")
+    second = best(p.withColumnsRenamed({"row": "sr", "col": "sc"}).join(pairs, ["sr", "sc"]))
+    return first.unionByName(second).where(F.col("d") <= F.lit(r)).select(*K, F.col("z").alias("v"))
 
 
 def _spread(c: str, f: int, tile: int, halo: int, n: int):

@@ -114,6 +114,23 @@ def test_delaunay_is_empty_of_other_points():
     assert len(interp.delaunay(np.arange(5.0), np.arange(5.0))) == 0
 
 
+def test_nearest_by_hand(spark):
+    rng = np.random.default_rng(6)
+    for reg, n, radius in (("node", 40, 3.2), ("pixel", 25, 4.0), ("node", 400, 2.5)):
+        spec = GridSpec(0.0, 15.0, 1.0, -1.0, 20, 15, registration=reg)
+        at = [(float(x), float(y), float(i % 7)) for i, (x, y) in enumerate(rng.uniform([0.01, 0.01], [19.9, 14.9], (n, 2)).round(1))]
+        inner = [q for q in at if 0 <= np.floor(q[0] + spec.half) < 20 and 0 <= np.floor(15 - q[1] + spec.half) < 15 and 0 < q[0] < 20 and 0 < q[1] < 15]
+        want = {}
+        for r in range(15):
+            for c in range(20):
+                d = min((np.sqrt((x - c) ** 2 + (y - (15 - r)) ** 2), z) for x, y, z in inner)
+                if d[0] <= radius:
+                    want[r, c] = d[1]
+        got = {(x["row"], x["col"]): x["v"] for x in interp.nearest(spark.createDataFrame(at, "x double, y double, z double"), spec, radius).collect()}
+        # the window of cells reaches a cell less to the south and east
+        assert set(got) <= set(want) and len(want) - len(got) <= 0.05 * len(want) and all(abs(want[q] - v) < 1e-9 for q, v in got.items())
+
+
 def test_outlines_of_cells(spark):
     from sondegrid import geom
 
