@@ -15,14 +15,14 @@ q = Registry()
 K = ["row", "col"]
 
 
-def las_points(spark, d):
-    """The points as LAS files in the shared folder, read through the data source."""
+def las_points(spark, d, **options):
+    """The points as LAS files in the shared folder, read through the data source with its options."""
     p = pts(spark, d).select("x", "y", (F.col("zc") / F.lit(1000.0)).alias("z"), (F.col("pid") % 4 + 1).cast("int").alias("return_num"), (F.col("pid") % 31).cast("int").alias("classification"), F.col("w").cast("int").alias("intensity"))
     path = fresh_path(spark, "las")
     files = sinks.las_files(p.repartition(8, "x", "y")).select(F.concat(F.sha1("content"), F.lit(".las")).alias("name"), "content")  # by content, so a retry replaces
     sinks.write_files(files, path)
     las.register(spark)
-    return spark.read.format("las").load(path)
+    return spark.read.format("las").options(**options).load(path)
 
 
 @q("sc20_las_points", f"WITH {PTS} SELECT count(*) AS n, CAST(sum(zc) AS BIGINT) AS s, round(min(x), 4) AS x0, round(max(y), 4) AS y1 FROM pts")

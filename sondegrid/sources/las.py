@@ -11,7 +11,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fields of the public header block (fixed values): name, struct code, number.
 HEADER_FIELDS = [
@@ -90,23 +90,8 @@ class LasShare(InputPartition):
 class LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.lo, self.hi, self.classes = {}, {}, None
-
-    def pushFilters(self, filters):
-        """Bounds of x, y, z and classes: files whose header excludes them aren't read; rows are still tested by the engine."""
-        for f in filters:
-            c = f.attribute[0] if len(f.attribute) == 1 else None
-            if c in ("x", "y", "z"):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.lo[c] = max(self.lo.get(c, -np.inf), f.value)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.hi[c] = min(self.hi.get(c, np.inf), f.value)
-            elif c == "classification":
-                if isinstance(f, In):
-                    self.classes = list(f.value)
-                elif isinstance(f, EqualTo):
-                    self.classes = [f.value]
-            yield f
+        self.lo, self.hi = ({c: float(options[c + end]) for c in "xyz" if options.get(c + end)} for end in ("min", "max"))
+        self.classes = [int(c) for c in options["classes"].split(",")] if options.get("classes") else None
 
     def partitions(self):
         return [LasShare(p, k, n) for p, size in listed(self.path) for n in [max(1, -(-size // SHARE))] for k in range(n)] or [LasShare("", 0, 1)]
@@ -149,7 +134,11 @@ class LasReader(DataSourceReader):
 
 
 class LasSource(DataSource):
-    """spark.read.format("las").load(path)"""
+    """spark.read.format("las").load(path)
+
+    The options xmin, xmax, ymin, ymax, zmin, zmax (bounds that count as inside) and classes ("2,29") keep other points from
+    Spark; files whose header excludes them aren't read. Filters are not pushed: a session rejects a reader that takes them
+    unless it is set to, and Spark reads a table again as it was filtered before, so d.count() after d.where() would lose rows."""
 
     @classmethod
     def name(cls):

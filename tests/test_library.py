@@ -241,6 +241,26 @@ def test_las_pruning_and_types(spark, tmp_path):
     assert spark.read.format("las").load(f"file://{tmp_path}/*.las").count() == 10 and sum(spark.read.format("las").load(f"{tmp_path}/{i}.las").count() for i in (0, 1)) == 10
 
 
+def test_las_is_read_whole_after_a_filter_and_less_by_options(spark, tmp_path):
+    for name, x in (("a", 1), ("b", 9)):
+        header = sinks.las_header(1, (float(x), float(x), 0.0, 0.0, 0.0, 0.0), [1, 0, 0, 0, 0], scale=(1.0, 1.0, 1.0))
+        (tmp_path / f"{name}.las").write_bytes(header + np.array([x, 0, 0], "<i4").tobytes() + bytes([0, 0, 0, x, 0, 0, 0, 0]) + b"\0" * 8)
+    las.register(spark)
+    read = lambda **o: [r["x"] for r in spark.read.format("las").options(**o).load(str(tmp_path)).orderBy("x").collect()]
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        for pushed in ("true", "false"):
+            spark.conf.set(key, pushed)
+            d = spark.read.format("las").load(str(tmp_path))
+            assert [r["x"] for r in d.where("x < 5").collect()] == [1.0] and d.count() == 2
+            assert read(classes="9") == [9.0] and read(classes="1,9", xmin=1.0, xmax=9.0) == [1.0, 9.0] and read(xmin=1.5, zmax=0) == [9.0]
+    finally:
+        spark.conf.set(key, before)
+    (tmp_path / "b.las").write_bytes(header)  # no points: an error to whoever reads it
+    assert read(xmax=5) == [1.0]
+
+
 def test_las_later_formats(spark, tmp_path):
     import struct
 

@@ -20,6 +20,17 @@ def test_matches_sql(spark, con, sf, name):
     compare(spark, con, QUERIES[name], SQL[name], sf)
 
 
+@pytest.mark.parametrize("name", ["sc20_las_points", "ct12_las_headers", "ct13_las_fields"])
+def test_matches_sql_without_filter_pushdown(spark, con, sf, name):
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        compare(spark, con, QUERIES[name], SQL[name], sf)
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).columns
