@@ -32,7 +32,7 @@ def _(spark, d):
 
 @q("sc16_las_ground", f"WITH {PTS} SELECT pid % 31 AS classification, count(*) AS n FROM pts WHERE pid % 31 IN (2, 29) AND x >= -89.5E0 GROUP BY pid % 31")
 def _(spark, d):
-    p = las_points(spark, d).where(F.col("classification").isin(2, 29) & (F.col("x") >= F.lit(-89.5 - 1e-9)))
+    p = las_points(spark, d, classes="2,29", xmin=-89.5 - 1e-9).where(F.col("classification").isin(2, 29) & (F.col("x") >= F.lit(-89.5 - 1e-9)))
     return p.groupBy(F.col("classification").cast("bigint").alias("classification")).agg(F.count("*").alias("n"))
 
 
