@@ -40,7 +40,7 @@ def _(spark, d):
 def _(spark, d):
     from sondegrid.operators.filters import keep_classes
 
-    return keep_classes(las_points(spark, d)).agg(F.count("*").alias("n"))
+    return keep_classes(las_points(spark, d, classes="2,29")).agg(F.count("*").alias("n"))
 
 
 @q("sc22_las_dump", f"WITH {PTS} SELECT pid % 31 AS c, CAST(sum(zc) AS BIGINT) AS z FROM pts WHERE pid % 31 = 7 GROUP BY 1")
