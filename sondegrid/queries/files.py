@@ -45,7 +45,7 @@ def _(spark, d):
 
 @q("sc22_las_dump", f"WITH {PTS} SELECT pid % 31 AS c, CAST(sum(zc) AS BIGINT) AS z FROM pts WHERE pid % 31 = 7 GROUP BY 1")
 def _(spark, d):
-    p = las_points(spark, d).where("classification = 7")
+    p = las_points(spark, d, classes="7").where("classification = 7")
     line = sinks.xyz_text(F.col("classification"), F.round(F.col("z") * 1000).cast("bigint"), sep=",")
     t = F.split(line, ",")
     return p.groupBy(t[0].cast("bigint").alias("c")).agg(F.sum(t[1].cast("bigint")).alias("z"))
