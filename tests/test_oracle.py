@@ -20,7 +20,7 @@ def test_matches_sql(spark, con, sf, name):
     compare(spark, con, QUERIES[name], SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", ["sc20_las_points", "sc16_las_ground", "pr15_class_filter", "sc22_las_dump", "ag30_return_stats", "ct12_las_headers", "ct13_las_fields"])
+@pytest.mark.parametrize("name", ["sc20_las_points", "sc16_las_ground", "pr15_class_filter", "sc22_las_dump", "ag30_return_stats", "ag12_las_envelope", "ct12_las_headers", "ct13_las_fields"])
 def test_matches_sql_without_filter_pushdown(spark, con, sf, name):
     key = "spark.sql.python.filterPushdown.enabled"
     before = spark.conf.get(key)
