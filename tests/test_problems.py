@@ -357,6 +357,35 @@ def test_tail_fit():
     assert spikes.pareto(np.zeros(3), np.ones(3, np.int64)) == (0.0, 0.0)
 
 
+def test_faults_come_without_the_tail(spark, sf, monkeypatch):
+    from sondegrid.queries import problems
+
+    kinds = ["sounding_id", "impossible", "spike", "stuck"]
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    fitted = spikes.faulty(table("soundings"), table("xyz_sources"), time="measured_at").where("impossible or spike or stuck").select(kinds).collect()
+    monkeypatch.setattr(spikes, "tails", None)
+    got = problems.p4_faults(spark, sf).collect()
+    assert got and sorted(got) == sorted(fitted) and problems.p4_found(spark, sf).count() == len(got)
+
+
+def test_bound_is_that_of_the_exact_quantile(spark):
+    v = [0.0]
+    for i in range(101):  # all in one bucket; three of four stay within 1.000675
+        v.append(v[-1] + (1 + 0.000009 * i) * (-1) ** i)
+    v += [v[-1] - 0.0001, v[-1] + 8.0065, v[-1] - 0.0002, v[-1]]
+    got = spikes.faulty(spark.createDataFrame(series(v), SOUND), spark.createDataFrame([], SRC)).where("impossible or spike or stuck").collect()
+    assert [(r["sounding_id"], r["spike"]) for r in got] == [(103, True)] and brute(series(v), {}) == {103}
+
+
+def test_readings_delivered_again_at_another_hour_count_once(spark):
+    rng = random.Random(2)
+    v = [rng.gauss(0, 1) for _ in range(200)]
+    v[50:56] = [0.5] * 6
+    rows = [(*r, f"2024-01-01 {hour:02}:00:00") for r in series(v) for hour in (3, 5)]
+    got = spikes.faulty(spark.createDataFrame(rows, SOUND + ", at string"), spark.createDataFrame([], SRC), time="at").where("impossible or spike or stuck")
+    assert got.count() == 0 and not brute(series(v), {})
+
+
 def test_risk_decides_what_is_unusual(spark):
     rng = random.Random(11)
     rows = series([rng.gauss(0, 1) for _ in range(4000)])
