@@ -15,9 +15,14 @@ q = Registry()
 K = ["row", "col"]
 
 
-def las_points(spark, d, **options):
-    """The points as LAS files in the shared folder, read through the data source with its options."""
-    p = pts(spark, d).select("x", "y", (F.col("zc") / F.lit(1000.0)).alias("z"), (F.col("pid") % 4 + 1).cast("int").alias("return_num"), (F.col("pid") % 31).cast("int").alias("classification"), F.col("w").cast("int").alias("intensity"))
+def points(spark, d):
+    """The points with the columns of LAS files."""
+    return pts(spark, d).select("x", "y", (F.col("zc") / F.lit(1000.0)).alias("z"), (F.col("pid") % 4 + 1).cast("int").alias("return_num"), (F.col("pid") % 31).cast("int").alias("classification"), F.col("w").cast("int").alias("intensity"))
+
+
+def las_points(spark, d, p=None, **options):
+    """The points, or those of ``p``, as LAS files in the shared folder, read through the data source with its options."""
+    p = points(spark, d) if p is None else p
     path = fresh_path(spark, "las")
     files = sinks.las_files(p.repartition(8, "x", "y")).select(F.concat(F.sha1("content"), F.lit(".las")).alias("name"), "content")  # by content, so a retry replaces
     sinks.write_files(files, path)
@@ -25,6 +30,13 @@ def las_points(spark, d, **options):
     return spark.read.format("las").options(**options).load(path)
 
 
+def all_points(spark, d):
+    """The points through LAS files, and as they are those that no LAS file holds."""
+    p = points(spark, d)
+    held = sinks.las_holds(p)
+    return las_points(spark, d, p.where(held)).unionByName(p.where(~held), allowMissingColumns=True)
+
+
 @q("sc20_las_points", f"WITH {PTS} SELECT count(*) AS n, CAST(sum(zc) AS BIGINT) AS s, round(min(x), 4) AS x0, round(max(y), 4) AS y1 FROM pts")
 def _(spark, d):
     return las_points(spark, d).agg(F.count("*").alias("n"), F.sum(F.round(F.col("z") * 1000).cast("bigint")).alias("s"), F.round(F.min("x"), 4).alias("x0"), F.round(F.max("y"), 4).alias("y1"))
@@ -54,7 +66,7 @@ def _(spark, d):
 @q("ag30_return_stats", f"WITH {PTS} SELECT pid % 4 + 1 AS return_num, count(*) AS n, min(zc) AS lo, max(zc) AS hi FROM pts GROUP BY 1")
 def _(spark, d):
     z = F.round(F.col("z") * 1000).cast("bigint")
-    return las_points(spark, d).groupBy(F.col("return_num").cast("bigint").alias("return_num")).agg(F.count("*").alias("n"), F.min(z).alias("lo"), F.max(z).alias("hi"))
+    return all_points(spark, d).groupBy(F.col("return_num").cast("bigint").alias("return_num")).agg(F.count("*").alias("n"), F.min(z).alias("lo"), F.max(z).alias("hi"))
 
 
 @q("ag12_las_envelope", f"WITH {PTS} SELECT count(*) AS numpts, round(min(x), 4) AS xmin, round(max(x), 4) AS xmax FROM pts")

@@ -93,6 +93,8 @@ def ascii_header(spec: GridSpec) -> list[str]:
 
 #: Sizes of the public header block and of a point record of formats 0 and 1 (fixed values).
 HEADER, RECORD = 227, {0: 20, 1: 28}
+#: Fields of a point record after its coordinates.
+FIELDS = {"intensity": "<u2", "return_num": "u1", "classification": "u1", "scan_angle": "i1", "user_data": "u1", "point_source": "<u2", "gps_time": "<f8"}
 
 
 def las_header(n: int, box: tuple[float, ...], returns: list[int], fmt: int = 1, scale=(1e-7, 1e-7, 1e-3), offset=(0.0, 0.0, 0.0)) -> bytes:
@@ -102,13 +104,26 @@ def las_header(n: int, box: tuple[float, ...], returns: list[int], fmt: int = 1,
     return h + struct.pack("<12d", *scale, *offset, x1, x0, y1, y0, z1, z0)
 
 
+def las_holds(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> Column:
+    """Whether a LAS file holds a point as it is: it knows no nulls, and a number must fit its field (of a return number, three bits)."""
+    ok = F.lit(True)
+    for c, s in zip("xyz", scale):
+        ok &= F.abs(F.col(c) / F.lit(s)) <= F.lit(float(2**31 - 1))
+    for c in [c for c in FIELDS if c in points.columns]:
+        if c == "gps_time":
+            ok &= F.col(c).isNotNull()
+        else:
+            kind = np.iinfo(FIELDS[c])
+            ok &= F.col(c).between(int(kind.min), 7 if c == "return_num" else int(kind.max))
+    return F.coalesce(ok, F.lit(False))
+
+
 def las_files(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> DataFrame:
     """(n, content): a LAS file, format 1, of the points of each partition; columns x, y, z and, where there are, those of the
-    reader. Nothing comes to the driver."""
+    reader. Nothing comes to the driver. Points must be such as ``las_holds``."""
     have = set(points.columns)
-    want = {"intensity": "<u2", "return_num": "u1", "classification": "u1", "scan_angle": "i1", "user_data": "u1", "point_source": "<u2", "gps_time": "<f8"}
-    cols = ["x", "y", "z", *[c for c in want if c in have]]
-    rec = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), *want.items()])
+    cols = ["x", "y", "z", *[c for c in FIELDS if c in have]]
+    rec = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), *FIELDS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [b for b in batches if b.num_rows]
