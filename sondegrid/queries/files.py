@@ -71,7 +71,7 @@ def _(spark, d):
 
 @q("ag12_las_envelope", f"WITH {PTS} SELECT count(*) AS numpts, round(min(x), 4) AS xmin, round(max(x), 4) AS xmax FROM pts")
 def _(spark, d):
-    return C.envelope(las_points(spark, d)).select("numpts", F.round("xmin", 4).alias("xmin"), F.round("xmax", 4).alias("xmax"))
+    return C.envelope(all_points(spark, d)).select("numpts", F.round("xmin", 4).alias("xmin"), F.round("xmax", 4).alias("xmax"))
 
 
 @q("sc18_las_header", "SELECT true AS same, 2 AS records")

@@ -31,7 +31,7 @@ def test_matches_sql_without_filter_pushdown(spark, con, sf, name):
         spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["ag30_return_stats"])
+@pytest.mark.parametrize("name", ["ag30_return_stats", "ag12_las_envelope"])
 def test_matches_sql_with_points_no_las_file_holds(spark, con, tmp_path, name):
     odd = {1: ("l_orderkey", "null"), 2: ("l_partkey", "null"), 3: ("l_extendedprice", "null"), 4: ("l_extendedprice", "9e8"), 5: ("l_orderkey", "-l_orderkey"), 6: ("l_quantity", "null"), 7: ("l_quantity", "7e4")}
     cols = {c: " ".join(f"WHEN {k} THEN {v}" for k, (of, v) in odd.items() if of == c) for c, _ in odd.values()}
