@@ -24,8 +24,7 @@ def las_points(spark, d, p=None, **options):
     """The points, or those of ``p``, as LAS files in the shared folder, read through the data source with its options."""
     p = points(spark, d) if p is None else p
     path = fresh_path(spark, "las")
-    files = sinks.las_files(p.repartition(8, "x", "y")).select(F.concat(F.sha1("content"), F.lit(".las")).alias("name"), "content")  # by content, so a retry replaces
-    sinks.write_files(files, path)
+    sinks.write_las(p.repartition(8, "x", "y").sortWithinPartitions(*p.columns), path)  # in order, so a retry replaces files by the same
     las.register(spark)
     return spark.read.format("las").options(**options).load(path)
 

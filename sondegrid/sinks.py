@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sondegrid.grid import GridSpec
@@ -118,17 +119,27 @@ def las_holds(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def las_files(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> DataFrame:
-    """(n, content): a LAS file, format 1, of the points of each partition; columns x, y, z and, where there are, those of the
-    reader. Nothing comes to the driver. Points must be such as ``las_holds``."""
-    have = set(points.columns)
-    cols = ["x", "y", "z", *[c for c in FIELDS if c in have]]
+def _las_columns(points: DataFrame) -> list[str]:
+    return ["x", "y", "z", *[c for c in FIELDS if c in points.columns]]
+
+
+def _las_contents(batches: Iterator[pa.RecordBatch], cols: list[str], scale, most: int) -> Iterator[tuple[int, bytes]]:
+    """Numbers of points and contents of LAS files with ``most`` points in each but the last."""
     rec = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), *FIELDS.items()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = [b for b in batches if b.num_rows]
-        if not t:
-            return
+    def pieces():
+        t, n = [], 0
+        for b in batches:
+            while n + b.num_rows >= most:
+                yield [*t, b.slice(0, most - n)]
+                b, t, n = b.slice(most - n), [], 0
+            if b.num_rows:
+                t.append(b)
+                n += b.num_rows
+        if t:
+            yield t
+
+    for t in pieces():
         d = pa.Table.from_batches(t).to_pandas()
         a = np.zeros(len(d), rec)
         for c, s in zip("xyz", scale):
@@ -137,27 +148,55 @@ def las_files(points: DataFrame, scale=(1e-7, 1e-7, 1e-3)) -> DataFrame:
             a[c] = d[c]
         counts = [int((np.maximum(a["return_num"] & 7, 1) == k).sum()) for k in range(1, 6)]
         box = tuple(float(v) for c in "xyz" for v in (d[c].min(), d[c].max()))
-        yield pa.RecordBatch.from_arrays([pa.array([len(d)], pa.int64()), pa.array([las_header(len(d), box, counts, 1, scale) + a.tobytes()], pa.binary())], ["n", "content"])
+        yield len(d), las_header(len(d), box, counts, 1, scale) + a.tobytes()
+
+
+def las_files(points: DataFrame, scale=(1e-7, 1e-7, 1e-3), most: int = 1 << 18) -> DataFrame:
+    """(n, content): LAS files, format 1, of the points of each partition, with ``most`` in each but the last; columns x, y, z and,
+    where there are, those of the reader. Nothing comes to the driver. Points must be such as ``las_holds``."""
+    cols = _las_columns(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, content in _las_contents(batches, cols, scale, most):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([content], pa.binary())], ["n", "content"])
 
     return points.select(*cols).mapInArrow(run, "n bigint, content binary")
 
 
+def write_las(points: DataFrame, folder: str, scale=(1e-7, 1e-7, 1e-3), most: int = 1 << 18) -> int:
+    """Writes the files of ``las_files`` into a folder as write_files does, without passing them through Spark; returns their number.
+    They are named by partition and place in it: a retried task replaces its files, so a partition's points must keep their order."""
+    cols = _las_columns(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for k, (_, content) in enumerate(_las_contents(batches, cols, scale, most), 1):
+            _save(folder, f"{part}-{k}.las", content)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["n"])
+
+    return points.select(*cols).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def _save(folder: str, name: str, content: bytes) -> None:
+    from pyarrow import fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    aside = f"{root}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(aside) as f:
+        f.write(content)
+    fs.move(aside, f"{root}/{name}")
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Writes (name, content) as files of a folder on any file system that pyarrow knows; returns their number. Each is written
     aside and then moved, so a retried task replaces what it wrote."""
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
         n = 0
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs, root = pafs.FileSystem.from_uri(folder)
-                fs.create_dir(root, recursive=True)
-                aside = f"{root}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(aside) as f:
-                    f.write(content)
-                fs.move(aside, f"{root}/{name}")
+                _save(folder, name, content)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 

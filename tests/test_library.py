@@ -241,6 +241,19 @@ def test_las_pruning_and_types(spark, tmp_path):
     assert spark.read.format("las").load(f"file://{tmp_path}/*.las").count() == 10 and sum(spark.read.format("las").load(f"{tmp_path}/{i}.las").count() for i in (0, 1)) == 10
 
 
+def test_las_files_are_of_bounded_size_and_replaced(spark, tmp_path):
+    las.register(spark)
+    for rows, most, sizes in ((10, 4, [4, 4, 2]), (8, 4, [4, 4]), (3, 4, [3]), (25_000, 12_345, [12_345, 12_345, 310]), (0, 4, [])):
+        p = spark.range(rows).selectExpr("cast(id % 100 as double) x", "1.0D y", "cast(id as double) z", "cast(id % 5 as int) classification").coalesce(1).sortWithinPartitions("z")
+        folder = tmp_path / f"{rows}"
+        for _ in range(2):  # as a retry does
+            assert sinks.write_las(p, f"file://{folder}", most=most) == len(sizes)
+        assert sorted((f.stat().st_size - sinks.HEADER) // sinks.RECORD[1] for f in folder.glob("*")) == sorted(sizes)
+        got = spark.read.format("las").load(str(folder)).select(F.round("x").alias("x"), F.round("z").alias("z"), "classification").collect()
+        assert sorted((r["z"], r["x"], r["classification"]) for r in got) == [(float(i), float(i % 100), i % 5) for i in range(rows)]
+        assert [r["n"] for r in sinks.las_files(p, most=most).collect()] == sizes
+
+
 def test_las_is_read_whole_after_a_filter_and_less_by_options(spark, tmp_path):
     for name, x in (("a", 1), ("b", 9)):
         header = sinks.las_header(1, (float(x), float(x), 0.0, 0.0, 0.0, 0.0), [1, 0, 0, 0, 0], scale=(1.0, 1.0, 1.0))
