@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sondegrid import geom
 from sondegrid.session import materialize
@@ -136,32 +139,151 @@ def hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
-def convex_hull(points: DataFrame, by: list[str]) -> DataFrame:
+def _small_hulls(x: np.ndarray, y: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the corners, group after group, and their numbers, of groups of at least 3 sorted points; the steps are those of
+    ``hull``, of all groups at once: in each a group drops its last point or takes its next one."""
+
+    def half(first: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(n), n.max()), np.int64)
+        out[:, 0], out[:, 1] = first, first + way
+        m, i, at = np.full(len(n), 2), np.full(len(n), 2), np.arange(len(n))
+        while len(at):
+            q, k = first[at] + way * i[at], m[at]
+            u, v = out[at, np.maximum(k - 2, 0)], out[at, k - 1]
+            drop = (k >= 2) & ((x[v] - x[u]) * (y[q] - y[u]) - (y[v] - y[u]) * (x[q] - x[u]) <= 0)
+            m[at[drop]] -= 1
+            to = at[~drop]
+            out[to, m[to]] = q[~drop]
+            m[to] += 1
+            i[to] += 1
+            at = at[i[at] < n[at]]
+        return out, np.arange(out.shape[1]) < m[:, None] - 1
+
+    (low, of_low), (up, of_up) = half(start, 1), half(start + n - 1, -1)
+    of = np.hstack([of_low, of_up])
+    return np.hstack([low, up])[of], of.sum(axis=1)
+
+
+def _outside(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether points, group after group, are not strictly inside the octagon of their group's extreme points in eight directions."""
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(g)]))
+    ends = []
+    for w in (x, x + y, y, y - x, -x, -x - y, -y, x - y):  # counter-clockwise
+        top = np.flatnonzero(w == np.maximum.reduceat(w, start)[group])
+        ends.append(top[np.searchsorted(top, start)])
+    inside = np.ones(len(x), bool)
+    for a, b in zip(ends, ends[1:] + ends[:1]):
+        same = (x[a] == x[b]) & (y[a] == y[b])
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        inside &= (dx[group] * (y - y[a][group]) - dy[group] * (x - x[a][group]) > 0) | same[group]
+    flat = (x[ends[0]] == x[ends[4]]) | (y[ends[2]] == y[ends[6]])
+    return ~inside | flat[group]
+
+
+def hulls(x: np.ndarray, y: np.ndarray, g: np.ndarray, small: int = 32) -> np.ndarray:
+    """Places of the corners of each group's hull, groups (whole numbers) in order and corners in that of ``hull``. Groups of up to
+    ``small`` points are done together; of larger ones, what is not inside their octagon comes to ``hull`` one by one."""
+    o = np.lexsort((y, x, g))
+    o = o[np.r_[True, (x[o][1:] != x[o][:-1]) | (y[o][1:] != y[o][:-1]) | (g[o][1:] != g[o][:-1])]] if len(o) else o
+    n = np.bincount(g[o]) if len(o) else np.zeros(0, np.int64)
+    if (big := n[g[o]] > small).any():
+        stay = ~big
+        stay[big] = _outside(*(v[o][big] for v in (x, y, g)))
+        o = o[stay]
+        n = np.bincount(g[o], minlength=len(n))
+    x, y, start = x[o], y[o], np.cumsum(n) - n
+    at = [np.flatnonzero(n[g[o]] <= 2)]
+    if len(k := np.flatnonzero((n > 2) & (n <= small))):
+        at.append(_small_hulls(x, y, start[k], n[k])[0])
+    for k in np.flatnonzero(n > small).tolist():
+        own = slice(start[k], start[k] + n[k])
+        h = hull(np.column_stack([x[own], y[own]]))
+        place = {c: i for i, c in enumerate(zip(x[own].tolist(), y[own].tolist()), int(start[k]))}
+        at.append(np.array([place[c] for c in map(tuple, h.tolist())], np.int64))
+    at = o[np.concatenate(at)]
+    return at[np.argsort(g[at], kind="stable")]
+
+
+def _numbered(t: pa.Table, by: list[str]) -> np.ndarray:
+    """Numbers of the groups of rows sorted by their keys, from 0; nulls are equal, and so are NaN."""
+    new = np.zeros(len(t), bool)
+    for c in by:
+        v = t.column(c).combine_chunks()
+        if pa.types.is_floating(v.type):
+            f, null = v.to_numpy(zero_copy_only=False), v.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= ((f[1:] != f[:-1]) & ~(np.isnan(f[1:]) & np.isnan(f[:-1]))) | (null[1:] != null[:-1])
+        elif pa.types.is_nested(v.type):
+            p = v.to_pylist()
+            new[1:] |= np.array([a != b for a, b in zip(p[1:], p)], bool)
+        else:
+            i = v.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= i[1:] != i[:-1]
+    return np.cumsum(new)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows with the corners of whole groups, many groups at a time, and the groups' numbers. Of the group that goes on in the next
+    batch only the corners so far are kept. A group without points has one row, with NaN."""
+
+    def corners(t: pa.Table, g: np.ndarray) -> np.ndarray:
+        x, y = (t.column(c).to_numpy() for c in "xy")
+        ok = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+        h = ok[hulls(x[ok], y[ok], g[ok])]
+        none = np.setdiff1d(np.arange(g[-1] + 1), g[h])
+        at = np.r_[h, np.searchsorted(g, none)]
+        return at[np.argsort(g[at], kind="stable")]
+
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held, rows = [*held, pa.Table.from_batches([b])], rows + b.num_rows
+        if rows < most:
+            continue
+        t = pa.concat_tables(held).combine_chunks()
+        g = _numbered(t, by)
+        at = corners(t, g)
+        t, g = t.take(at), g[at]
+        if (end := int(np.searchsorted(g, g[-1]))) > 0:
+            yield t.slice(0, end), g[:end]
+        held, rows = [t.slice(end)], 0
+    if held:
+        t = pa.concat_tables(held).combine_chunks()
+        g = _numbered(t, by)
+        at = corners(t, g)
+        yield t.take(at), g[at]
+
+
+def convex_hull(points: DataFrame, by: list[str], empty: bool = False, most: int = 1 << 17) -> DataFrame:
     """(by, corners, wkt) of the hull of each group.
 
-    The extreme points in eight directions, which are corners, are found first by one aggregate; points strictly inside their
-    octagon are no corners and are dropped before anything is gathered. Rows with a null or NaN coordinate are left out."""
-    d = points.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    kinds = dict(d.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by)
-    x, y = F.col("x"), F.col("y")
-    ways = [x, x + y, y, y - x, -x, -x - y, -y, x - y]  # counter-clockwise
-    ext = d.groupBy(*by).agg(*[F.max_by(F.struct("x", "y"), w).alias(f"_e{i}") for i, w in enumerate(ways)]).withColumnsRenamed({c: f"_{c}" for c in by})
-    inside = None
-    for i in range(8):
-        a, b = F.col(f"_e{i}"), F.col(f"_e{(i + 1) % 8}")
-        left = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) > 0
-        side = left | ((a["x"] == b["x"]) & (a["y"] == b["y"]))
-        inside = side if inside is None else inside & side
-    flat = (F.col("_e0")["x"] == F.col("_e4")["x"]) | (F.col("_e2")["y"] == F.col("_e6")["y"])
-    rim = d.join(ext, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).where(~inside | flat).select(*by, "x", "y").distinct()
-
-    def whole(p: pd.DataFrame) -> pd.DataFrame:
-        h = hull(p[["x", "y"]].to_numpy(float))
-        ring = [*map(tuple, h), tuple(h[0])]
-        return pd.DataFrame({c: [p[c].iloc[0]] for c in by} | {"corners": [len(h)], "wkt": ["POLYGON ((" + ",".join(f"{a} {b}" for a, b in ring) + "))"]})
-
-    return rim.groupBy(*by).applyInPandas(whole, f"{schema}, corners int, wkt string")
+    Each partition, sorted by group, sends only the corners of its part of a group; the corners of all parts have the group's hull.
+    Many groups are done at once, some ``most`` rows, so that small groups don't cost a call each. Rows with a null or NaN coordinate
+    are left out; with ``empty``, a group that has no others counts, with 0 corners and without text."""
+    nan = F.lit(float("nan"))
+    d = points.select(*by, *[F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in "xy"])
+    d = d if empty else d.where("not isnan(x) and not isnan(y)")
+    keys = list(d.select(*by).schema)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in _groups(batches, by, most):
+            yield from t.combine_chunks().to_batches()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in _groups(batches, by, most):
+            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            x, y = (t.column(c).to_numpy() for c in "xy")
+            none = np.isnan(x[start]) | np.isnan(y[start])
+            end = np.r_[start[1:], len(g)]
+            at = [f"{a} {b}" for a, b in zip(x.tolist(), y.tolist())]
+            wkt = [None if no else f"POLYGON (({','.join(at[i:j])},{at[i]}))" for i, j, no in zip(start.tolist(), end.tolist(), none.tolist())]
+            out = t.select(by).take(start).append_column("corners", pa.array(np.where(none, 0, end - start), pa.int32())).append_column("wkt", pa.array(wkt, pa.string()))
+            yield from out.combine_chunks().to_batches()
+
+    parts = d.sortWithinPartitions(*by).mapInArrow(part, d.schema)
+    schema = T.StructType([*keys, T.StructField("corners", T.IntegerType()), T.StructField("wkt", T.StringType())])
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(whole, schema)
 
 
 def clip_ring(ring: list[tuple[float, float]], box) -> list[tuple[float, float]]:

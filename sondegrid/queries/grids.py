@@ -371,8 +371,8 @@ def _(spark, d):
 @q("ve01_order_hulls", f"WITH {PTS}, p AS (SELECT DISTINCT pid // 8 AS g, CAST(floor((x + 90) * 10000 + 0.5E0) AS BIGINT) AS x, CAST(floor((y - 29) * 10000 + 0.5E0) AS BIGINT) AS y FROM pts), n AS (SELECT g, count(*) AS n FROM p GROUP BY g), e AS (SELECT a.g, a.x, a.y FROM p a JOIN p b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.g = c.g GROUP BY a.g, a.x, a.y, b.x, b.y HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)))), k AS (SELECT g, count(DISTINCT (x, y)) AS k FROM e GROUP BY g) SELECT n.g, CAST(coalesce(k.k, 1) AS INT) AS corners FROM n LEFT JOIN k ON n.g = k.g")
 def _(spark, d):
     whole = lambda c, o: F.floor((F.col(c) - F.lit(o)) * 10000 + F.lit(0.5)).cast("double")
-    p = pts(spark, d).select(F.floor(F.col("pid") / 8).cast("bigint").alias("g"), whole("x", -90.0).alias("x"), whole("y", 29.0).alias("y"))
-    return V.convex_hull(p, ["g"]).select("g", "corners")
+    p = pts(spark, d).select(F.expr("pid div 8").alias("g"), whole("x", -90.0).alias("x"), whole("y", 29.0).alias("y"))
+    return V.convex_hull(p, ["g"], empty=True).select("g", F.greatest("corners", F.lit(1)).alias("corners"))  # orders without points count as one
 
 
 @q("ve02_mask_union", f"WITH {CELLS} SELECT n % 3 AS k, count(*) AS polygons FROM cells GROUP BY n % 3")

@@ -408,6 +408,33 @@ def test_hull_of_groups(spark):
         assert sorted(corners) == sorted(map(tuple, h.tolist()))
 
 
+@pytest.mark.parametrize("most", [7, 1 << 17])
+def test_hulls_of_many_groups_are_made_together(spark, most):
+    rng = np.random.default_rng(3)
+    keys = [(k, s) for k in (None, float("nan"), -1.5, 0.0, *map(float, range(9))) for s in (None, "a", "b")]
+    rows = [(*k, float(a), float(b)) for k in dict.fromkeys(keys) for a, b in rng.integers(0, 12, (int(rng.integers(1, 90)), 2))]
+    rows += [(99.0, "none", None, 1.0), (99.0, "none", float("nan"), 1.0), (98.0, "one", None, 1.0), (98.0, "one", 2.0, 3.0)]
+    rng.shuffle(order := list(range(len(rows))))
+    d = spark.createDataFrame([rows[i] for i in order], "k double, s string, x double, y double").repartition(3)
+    h = vector.convex_hull(d, ["k", "s"], empty=True, most=most)
+    assert "FlatMapGroups" not in h._jdf.queryExecution().toString()  # no call for each group
+    name = lambda k, s: (repr(k), s)
+    got = {name(r["k"], r["s"]): r for r in h.collect()}
+    want = {}
+    for k, s, x, y in rows:
+        want.setdefault(name(k, s), []).extend([(x, y)] if x is not None and x == x else [])
+    assert set(got) == set(want) and (got[name(99.0, "none")]["corners"], got[name(99.0, "none")]["wkt"]) == (0, None)
+    for k, p in want.items():
+        c = [tuple(map(float, v.split())) for v in got[k]["wkt"][10:-2].split(",")] if p else []
+        assert c[:-1] == (list(map(tuple, vector.hull(np.array(p)).tolist())) if p else []) and len(c[:-1]) == got[k]["corners"]
+
+
+def test_hulls_by_nested_keys(spark):
+    rows = [((g % 3, [g % 2]), float(g), float(g * g)) for g in range(60)]
+    h = vector.convex_hull(spark.createDataFrame(rows, "k struct<a: int, b: array<int>>, x double, y double"), ["k"], most=8)
+    assert sorted((r["k"]["a"], r["k"]["b"][0], r["corners"]) for r in h.collect()) == [(a, b, 10) for a in range(3) for b in range(2)]
+
+
 def test_report_numbers_with_exponents(spark):
     d = spark.createDataFrame([(1, "Minimum Depth: -1.5e+3 Maximum Depth: 2E2"), (1, "Number of Records: 12")], "f int, line string")
     r = catalog.mb_inf(d, ["f"]).first()

@@ -39,6 +39,12 @@ def test_matches_sql_with_points_no_las_file_holds(spark, con, tmp_path, name):
     compare(spark, connect(str(tmp_path)), QUERIES[name], SQL[name], str(tmp_path))
 
 
+def test_order_hulls_of_orders_without_points(spark, con, tmp_path):
+    odd = "l_orderkey % 9 WHEN 1 THEN null WHEN 2 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey, CASE l_orderkey % 7 WHEN 1 THEN null WHEN 2 THEN if(l_linenumber > 2, l_partkey, null) ELSE l_partkey END AS l_partkey"
+    con.execute(f"COPY (SELECT * REPLACE (CASE {odd}) FROM lineitem) TO '{tmp_path}/lineitem.parquet'")
+    compare(spark, connect(str(tmp_path)), QUERIES["ve01_order_hulls"], SQL["ve01_order_hulls"], str(tmp_path))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).columns
