@@ -319,6 +319,17 @@ def test_text_archives_and_lists(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/dl").count() == 2
 
 
+def test_tee_has_files_by_size_and_keeps_keys(spark, tmp_path):
+    key = F.when(F.col("id") % 50 == 0, F.lit("")).when(F.col("id") % 50 == 1, F.lit("01")).when(F.col("id") % 50 > 2, (F.col("id") % 401).cast("string"))
+    d = spark.range(0, 12000, 1, 6).select("id", key.alias("k"), (F.col("id") % 3).alias("j"))
+    t = sinks.tee(d, f"file://{tmp_path}/tee", ["k", "j"])
+    assert t.dtypes == d.dtypes and t.exceptAll(d).count() == d.exceptAll(t).count() == 0
+    assert len(list((tmp_path / "tee").rglob("*.parquet"))) <= 8  # of over a thousand groups
+    at = t.select("k", "j", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
+    of = at.groupBy("k", "j").agg(F.countDistinct("f").alias("files"), F.count("*").alias("n"), (F.max("n") - F.min("n") + 1).alias("span"))
+    assert of.count() > 1000 and of.where("files > 1 or n <> span").isEmpty()  # each in one file, together
+
+
 def test_zone_maps_are_replaced(spark, tmp_path):
     path = f"file://{tmp_path}/inf"
     sinks.write_inf(spark.createDataFrame([("a", 1), ("b", 2)], "name string, numpts int"), path)
